@@ -509,8 +509,8 @@ Primary = Id | NUM | STR STR* | '...' | 'None' | 'True' | 'False' | (Paren) | [L
 Paren = | Star | Yield | Starred Comp
 List = | Star | Starred Comp
 Braces = | Star | Starred Comp | Dict | Expr ':' Expr Comp
-Dict = KV | KV ',' | KV ',' Dict
-KV = Expr ':' Expr | '**' Unary BitMore
+Dict = Pair | Pair ',' | Pair ',' Dict
+Pair = Expr ':' Expr | '**' Unary BitMore
 Comp = CompFor CompRest*
 CompFor = 'async'? 'for' Star 'in' Or
 CompRest = CompFor | 'if' CompIf
@@ -862,7 +862,7 @@ class Python:
         self.id, self.num, self.str, self.nl = (c(x) for x in ("ID", "NUM", "STR", "NL"))
 
     def scan(self, text: str) -> str:
-        text = text.removeprefix("\ufeff")
+        text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
         if "\0" in text:
             raise Reject("a null byte")
         st, match, n = Stack(self.g.folder), _PY.match, len(text)

@@ -9,11 +9,23 @@ from pyspark.sql import functions as F
 
 from codelode.tables import table
 
-from . import corpus_bpe, splitting, vamana
+from . import corpus_bpe, splitting, syntax, vamana
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_flags(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.flag(table(spark, d, "code_files"), table(spark, d, "file_contents")).drop("why")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.rates(syntax.flag(table(spark, d, "code_files"), table(spark, d, "file_contents")))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.flag(table(spark, d, "code_files"), table(spark, d, "file_contents")).filter("invalid").select("file_id")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.oversized(table(spark, d, "code_embeddings"), table(spark, d, "code_modules"), table(spark, d, "file_contents"))
 
@@ -35,7 +47,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return corpus_bpe.encode(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p3_found, p3_pieces, p4_found, p4_neighbours, p6_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_flags, p2_rates, p3_found, p3_pieces, p4_found, p4_neighbours, p6_ids)}
 
 #: Only where SQL can say the same over whole tables.
 ORACLE: dict[str, str] = {
