@@ -9,11 +9,23 @@ from pyspark.sql import functions as F
 
 from codelode.tables import table
 
-from . import corpus_bpe, splitting, syntax, vamana
+from . import corpus_bpe, docpairs, splitting, syntax, vamana
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _p1(spark: SparkSession, d: str, code: bool) -> DataFrame:
+    return docpairs.pairs(*(table(spark, d, t) for t in ("code_functions", "code_modules", "code_classes", "code_files", "file_contents")), code=code)
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p1(spark, d, False).select("function_id")
+
+
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return _p1(spark, d, True)
+
+
 def p2_flags(spark: SparkSession, d: str) -> DataFrame:
     return syntax.flag(table(spark, d, "code_files"), table(spark, d, "file_contents")).drop("why")
 
@@ -47,7 +59,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return corpus_bpe.encode(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_flags, p2_rates, p3_found, p3_pieces, p4_found, p4_neighbours, p6_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_flags, p2_rates, p3_found, p3_pieces, p4_found, p4_neighbours, p6_ids)}
 
 #: Only where SQL can say the same over whole tables.
 ORACLE: dict[str, str] = {
