@@ -55,6 +55,13 @@ class Grammar:
             nt = self._nt(name.strip())
             self.alts[nt] = [tuple(self._symbol(s) for s in alt.split()) for alt in self._alternatives(body)]
         self._analyse()
+        # rules that are a list of items: a concatenation of such lists is one again
+        self.lists = {nt for nt, alts in enumerate(self.alts) if len(alts) == 1 and len(alts[0]) == 1 and alts[0][0][0] == "n" and any(k[-1] == "*" and v == alts[0][0][1] for k, v in self.names.items())}
+        self.at = self.char("@")
+        self.ends = {self.char(t) for t in (";", "NL")}
+        self.goes_on = {self.char(t) for t in ("else", "elif", "elseif", "while", "catch", "finally", "except", "{")}
+        self.heads = {self.char(t) for t in ("if", "for", "while", "await")}
+        self.begins = {self.char(t) for t in ("if", "for", "foreach", "return", "const", "let", "var", "function", "class", "export", "import", "try", "throw", "switch", "public", "private", "protected", "static", "interface", "abstract", "final", "def", "async", "@")}
 
     @staticmethod
     def _alternatives(body: str) -> list[str]:
@@ -171,9 +178,29 @@ class Grammar:
         key = (start, s)
         got = self.memo.get(key)
         if got is None:
-            got = self.memo[key] = self._run(start, s)
+            got = start in self.lists and len(s) > 8 and self._in_parts(start, s)
+            got = self.memo[key] = got or self._run(start, s)
         return got
 
+    def _in_parts(self, start: int, s: str) -> bool:
+        """Whether s, cut where items are likely to end, is a list in each part. Then all of it is one; if not, that says nothing."""
+        groups = self.folder.groups
+        kinds = [c if ord(c) < BASE else groups[ord(c) - BASE][0] for c in s] + ["\0", "\0"]
+        cuts, at, n = [], 0, len(s)
+        for i in range(n - 1):
+            k, after = kinds[i], kinds[i + 1]
+            if k in self.ends:
+                if after in self.goes_on or (kinds[i - 1] == "(" and kinds[i - 2] in self.heads) or (kinds[at] == self.at and "{" not in kinds[at:i]):
+                    continue
+            elif k != "{" or after not in self.begins:
+                continue
+            cuts.append(s[at : i + 1])
+            at = i + 1
+        if not cuts:
+            return False
+        cuts.append(s[at:])
+        return all(self.derives(start, c) for c in cuts)
+
     def reset_if_full(self) -> None:
         if len(self.folder.groups) > ROOM or len(self.memo) > 4 * ROOM:
             self.folder = Folder()
