@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codelode.tables import table
 
-from . import corpus_bpe, docpairs, splitting, syntax, vamana
+from . import corpus_bpe, docpairs, handwritten, splitting, syntax, vamana
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,11 +55,23 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "neighbour").alias("id_a"), F.greatest("id", "neighbour").alias("id_b")).distinct()
 
 
+def _p5(spark: SparkSession, d: str) -> DataFrame:
+    return handwritten.not_handwritten(table(spark, d, "code_files"), table(spark, d, "file_contents"), table(spark, d, "repositories"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p5(spark, d).select("file_id")
+
+
+def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return _p5(spark, d).groupBy("repository_id", "why").agg(F.count("*").alias("files"))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return corpus_bpe.encode(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_flags, p2_rates, p3_found, p3_pieces, p4_found, p4_neighbours, p6_ids)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_flags, p2_rates, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_reasons, p6_ids)}
 
 #: Only where SQL can say the same over whole tables.
 ORACLE: dict[str, str] = {
