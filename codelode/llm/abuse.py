@@ -215,9 +215,13 @@ class Decoder:
 
 
 # whole letters with signs between or for letters; single letters spaced by one sign; runs
-_SPACED = re.compile(r"(?<![\w.])(?:[^\W_](?:[ .\-_*~|·]|\. )){3,}[^\W_](?![\w])")
-_MASKED = re.compile(r"[^\W_]*(?:[0-9@$!|+€£*#•%(]+[^\W_]+)+[*]*|[^\W\d_]+[*#•]{2,}[^\W_]*|[^\W\d_]{1,3}[*#•]{2,}")
-_RUN = re.compile(r"[^\W\d_]*([^\W\d_])\1{2,}[^\W\d_]*")
+_SPACED = re.compile(r"(?<![\w.])(?:[^\W_](?:[ .\-_*~|·]|\. )){3,40}[^\W_](?![\w])")
+_LETTER, _SIGN = "a-zß-öø-ɏ", "0-9@$!|+€£*#•%("
+#: a word with a sign in it; possessive, so a long run is read once
+_MASKED = re.compile(rf"(?<![{_LETTER}{_SIGN}])[{_LETTER}]*+[{_SIGN}][{_LETTER}{_SIGN}]*+")
+#: a run of one letter and the letters around it, as long as a word may be
+_RUN = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?<=[^\W\d_])")
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _SPLIT = re.compile(r"[.!?。！？]+(?=\s|$)|[。！？]|\n+|\s[-–—]\s")
 _CHAT = re.compile(r"^\s*(?:<\w+>|[-*>#=|]+|q:|a:|//|\"\"\")\s*")
 
@@ -245,6 +249,10 @@ def restore(text: str, decoder: Decoder) -> str:
 
     def run(m: re.Match[str]) -> str:
         s = m.group()
+        if not _TRIPLE.search(s):
+            return s
+        if len(s) > 48:
+            return re.sub(r"(.)\1{2,}", r"\1", s) if len(set(s)) > 2 else s
         for k in (1, 2):
             w = re.sub(r"(.)\1{2,}", lambda x: x.group(1) * k, s)
             if w in decoder.words:
@@ -254,7 +262,7 @@ def restore(text: str, decoder: Decoder) -> str:
     if _SPACED.search(t):
         t = _SPACED.sub(spaced, t)
     t = _MASKED.sub(masked, t)
-    if _RUN.search(t):
+    if _TRIPLE.search(t):
         t = _RUN.sub(run, t)
     return t
 

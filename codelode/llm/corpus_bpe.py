@@ -6,8 +6,8 @@ again together with the right one's text until a pre-token boundary agrees with
 there on its ids stand as they are. Pre-tokens are matched from left to right without looking back, so the result is
 exactly the encoding of the whole text.
 
-Defined results: null and empty texts give an empty list; special tokens' strings in a text are ordinary text; rows with
-the same doc_id and the same text give one row each (doc_id is unique in the table).
+Defined results: null and empty texts give an empty list; special tokens' strings in a text are ordinary text; every row
+of the table gives one row, a repeated one too.
 """
 
 from __future__ import annotations
@@ -119,29 +119,31 @@ def joined(enc, parts: list[tuple[list[int], int, list[tuple[int, int]]]]) -> li
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, ids array<int>) for every row of docs."""
-    src = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    # rows are told apart by their place, so a row that is there twice comes out twice
+    src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, seq, digest, body = [], [], [], []
+            doc, key_, seq, digest, body = [], [], [], [], []
             seen: set[bytes] = set()
-            texts = [(t or "").encode() for t in b.column(1).to_pylist()]
+            texts = [(t or "").encode() for t in b.column(2).to_pylist()]
             asked = cut_points(np.frombuffer(b"".join(texts), np.uint8))
             lo = 0
-            for d, data in zip(b.column(0).to_pylist(), texts):
+            for r, d, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts):
                 here = asked[np.searchsorted(asked, lo, "right") : np.searchsorted(asked, lo + len(data), "left")]
                 for i, c in enumerate(chunks_of(data, here, lo)):
                     h = hashlib.blake2b(c, digest_size=16).digest()
-                    doc.append(d)
+                    doc.append(r)
+                    key_.append(d)
                     seq.append(i)
                     digest.append(h)
                     body.append(None if h in seen else c)
                     seen.add(h)
                 lo += len(data)
-            yield pa.RecordBatch.from_arrays([pa.array(doc, b.column(0).type), pa.array(seq, pa.int32()), pa.array(digest, pa.binary()), pa.array(body, pa.binary())], ["doc_id", "seq", "digest", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key_, b.column(1).type), pa.array(seq, pa.int32()), pa.array(digest, pa.binary()), pa.array(body, pa.binary())], ["row", "doc_id", "seq", "digest", "body"])
 
     kind = dict(src.dtypes)["doc_id"]
-    parts = src.mapInArrow(cut, f"doc_id {kind}, seq int, digest binary, body binary")
+    parts = src.mapInArrow(cut, f"row long, doc_id {kind}, seq int, digest binary, body binary")
     distinct = parts.filter(F.col("body").isNotNull()).groupBy("digest").agg(F.first("body").alias("body"))
 
     def encode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,16 +156,16 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
 
     coded = distinct.mapInArrow(encode_chunks, "digest binary, ids binary, last int, ends binary")
     # of a chunk that a third of all texts share, the references are one skewed partition, which AQE splits
-    lists = parts.select("doc_id", "seq", "digest").join(coded, "digest").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "ids", "last", "ends"))).alias("parts"))
+    lists = parts.select("row", "doc_id", "seq", "digest").join(coded, "digest").groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "ids", "last", "ends"))).alias("parts"))
 
     def join_up(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(vocabulary)
         for b in frames:
             out = []
-            for ps in b.column(1).to_pylist():
+            for ps in b.column(2).to_pylist():
                 got = [(np.frombuffer(p["ids"], np.uint16).tolist(), p["last"], list(map(tuple, np.frombuffer(p["ends"], np.int32).reshape(-1, 2).tolist()))) for p in ps]
                 out.append(joined(enc, got))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     done = lists.mapInArrow(join_up, f"doc_id {kind}, ids array<int>")
     empty = src.filter(F.coalesce(F.length("text"), F.lit(0)) == 0).select("doc_id", F.array().cast("array<int>").alias("ids"))

@@ -27,7 +27,7 @@ _PY_DEF = re.compile(r"[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)")
 _PY_SKIP = re.compile(r"(?:[ \t\f]*(?:\#[^\n]*)?\r?\n)*[ \t\f]*")
 _PY_DOC = re.compile(r"(?i:r|u|)(\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')", re.S)
 _PY_SIG = re.compile(r"\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\#[^\n]*|[()\[\]{}:]", re.S)
-_BRACE = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|//[^\n]*|/\*.*?\*/|[{};]", re.S)
+_BRACE = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|//[^\n]*|/\*.*?(?:\*/|\Z)|[{};]", re.S)
 _ANNOTATION = re.compile(r"\s*(?:@[\w.]+(?:\(.*\))?|#\[.*\])\s*$")
 
 

@@ -58,6 +58,19 @@ class Grammar:
         # rules that are a list of items: a concatenation of such lists is one again
         self.lists = {nt for nt, alts in enumerate(self.alts) if len(alts) == 1 and len(alts[0]) == 1 and alts[0][0][0] == "n" and any(k[-1] == "*" and v == alts[0][0][1] for k, v in self.names.items())}
         self.at = self.char("@")
+        self.comma = self.char(",")
+        # rules that are items with commas between: the item's symbol, and whether a comma may end it
+        own: dict[int, tuple[tuple, bool]] = {}
+        for nt, alts in enumerate(self.alts):
+            for alt in alts:
+                if len(alt) == 3 and alt[1] == ("t", self.comma) and alt[2] == ("n", nt) and (alt[0],) in alts and alt[0][0] == "n":
+                    own[nt] = (alt[0], (alt[0], ("t", self.comma)) in alts or () in alts)
+        self.commas = dict(own)
+        for _ in range(3):
+            for nt, alts in enumerate(self.alts):
+                for alt in alts:
+                    if nt not in self.commas and len(alt) == 1 and alt[0][0] == "n" and alt[0][1] in self.commas:
+                        self.commas[nt] = self.commas[alt[0][1]]
         self.ends = {self.char(t) for t in (";", "NL")}
         self.goes_on = {self.char(t) for t in ("else", "elif", "elseif", "while", "catch", "finally", "except", "{")}
         self.heads = {self.char(t) for t in ("if", "for", "while", "await")}
@@ -178,10 +191,18 @@ class Grammar:
         key = (start, s)
         got = self.memo.get(key)
         if got is None:
-            got = start in self.lists and len(s) > 8 and self._in_parts(start, s)
+            got = (start in self.lists and len(s) > 8 and self._in_parts(start, s)) or (start in self.commas and len(s) > 24 and self._by_commas(start, s))
             got = self.memo[key] = got or self._run(start, s)
         return got
 
+    def _by_commas(self, start: int, s: str) -> bool:
+        """Whether s is an item between any two commas. Then it derives from the rule; if not, that says nothing."""
+        item, ending = self.commas[start]
+        parts = s.split(self.comma)
+        if ending and not parts[-1]:
+            parts.pop()
+        return all(p and self.derives(item[1], p) for p in dict.fromkeys(parts))
+
     def _in_parts(self, start: int, s: str) -> bool:
         """Whether s, cut where items are likely to end, is a list in each part. Then all of it is one; if not, that says nothing."""
         groups = self.folder.groups

@@ -615,6 +615,8 @@ class Ecma:
                 at = m.end()
                 continue
             block = not st.open or st.open[-1][0] == "{"
+            if what == "op" and text.startswith("/*", at):
+                raise Reject("a comment is never closed")
             if what == "op" and t[0] == "/" and not value:
                 m = _REGEX.match(text, at)
                 if m is None:
@@ -747,6 +749,8 @@ class Java:
                 else:
                     st.now.append(words.get(t) or self.id)
             elif what == "op":
+                if t == "/" and text.startswith("*", at):
+                    raise Reject("a comment is never closed")
                 st.now.append(ops.get(t) or char(t))
             elif what == "open":
                 st.push(t)
@@ -802,6 +806,8 @@ class Php:
             elif what == "var":
                 st.now.append(self.var)
             elif what == "op":
+                if t == "/" and text.startswith("*", at):
+                    raise Reject("a comment is never closed")
                 st.now.append(ops.get(t) or char(t))
             elif what == "open":
                 st.push(t)

@@ -168,7 +168,7 @@ def by_path(path: str) -> str | None:
 
 # --- content ----------------------------------------------------------------------------------------------------------
 _HEAD_PY = re.compile(r"\s*(?:\#[^\n]*\n?|(?:r|u)?\"\"\"(?:[^\\]|\\.)*?\"\"\"|(?:r|u)?'''(?:[^\\]|\\.)*?'''|\"[^\"\n]*\"(?=\s*\n)|'[^'\n]*'(?=\s*\n))", re.S)
-_HEAD_C = re.compile(r"\s*(?://[^\n]*\n?|/\*.*?\*/|\#![^\n]*\n|<\?php\b|declare\(strict_types=1\);|['\"]use strict['\"];?)", re.S)
+_HEAD_C = re.compile(r"\s*(?://[^\n]*\n?|/\*.*?(?:\*/|\Z)|\#![^\n]*\n|<\?php\b|declare\(strict_types=1\);|['\"]use strict['\"];?)", re.S)
 
 
 def head_of(text: str, ext: str) -> str:
@@ -193,7 +193,7 @@ _MARKS = re.compile(
             r"\b(?:this|the) \w+ (?:is|was|has been) (?:automatically|auto-?|machine-?)\s?(?:generated|created|produced)\b",
             r"\bis an auto-?generated\b",
             r"\bcode generated (?:by|from|with)\b",
-            r"(?:^|[\s*#/])(?:auto(?:matically)? ?)?generated (?:by|from|with|using|on) [\w./@<\"'-]+(?: [\w./-]+){0,3}\s*(?:$|[.;,:\-–—(]| do not|don't|on )",
+            r"(?:^|(?<=[\s*#/]))(?:auto(?:matically)? ?)?generated (?:by|from|with|using|on) [\w./@<\"'-]+(?: [\w./-]+){0,3}\s*(?:$|[.;,:\-–—(]| do not|don't|on )",
             r"\b(?:do not|don't|never) (?:edit|modify|change|touch)\b[^\n]{0,40}\b(?:generated|rebuilt|regenerated|overwritten|by hand|manually|directly)",
             r"\b(?:do not|don't) (?:edit|modify|touch)\b\s*(?:$|[.!*\-–—]|this file)",
             r"\bmachine[- ]?(?:made|generated|written)\b",
@@ -204,7 +204,7 @@ _MARKS = re.compile(
             r"\brerun `[^`\n]+` to (?:refresh|regenerate|update|rebuild)",
             r"\boutput, rerun\b",
             r"\bderived from \S+\.\w+, see the \S+ target of the build",
-            r"^[\s#/*\"']*[\w-]+ export of \S+\.\w+",
+            r"^[ \t#/*\"']{0,16}[\w-]{1,64} export of \S+\.\w+",
             r"\bproduced by [\w-]+ v?\d+\.\d+",
             r"\brebuilt by [\w-]+ (?:every|on each|each)",
             r"\bedit \S+\.\w+ and (?:rebuild|regenerate)",
@@ -220,12 +220,12 @@ _MARKS = re.compile(
 _HUMAN = re.compile(r"\b(?:edit freely|replaced the generated|hand-?written|generates? the|generated here|carries its own mark|checks that|ids generated|talks to|no longer generated|was once generated|written by hand)\b", re.I)
 _FOREIGN = re.compile(
     r"\bpart of (?P<a>[\w.@/-]+) v?\d+\.\d+[\w.]*\. see the licen[cs]e of"
-    r"|^[\s#/*\"']*(?P<b>[\w.@/-]+) v\d+\.\d+[\w.]* \| [\w.+-]+ licen[cs]ed"
+    r"|^[ \t#/*\"']{0,16}(?P<b>[\w.@/-]{1,80}) v\d+\.\d+[\w.]* \| [\w.+-]+ licen[cs]ed"
     r"|\bspdx-filecopyrighttext: (?:\d{4}\S* )?(?:the )?(?P<c>[\w.@/ -]+?)(?: project| authors| contributors)?\s*(?:\*/)?\s*$"
-    r"|^[\s#/*\"']*(?P<d>[\w.@/-]+) - [^\n]*\n(?:[\s#/*]*)\*?[\s#/*]*version:? v?\d+\.\d+[^\n]*\n[\s#/*]*licen[cs]e:",
+    r"|^[ \t#/*\"']{0,16}(?P<d>[\w.@/-]{1,80}) - [^\n]*\n[ \t#/*]{0,16}version:? v?\d+\.\d+[^\n]*\n[ \t#/*]{0,16}licen[cs]e:",
     re.I | re.M,
 )
-_COMMENT_OUT = re.compile(r"\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|\#[^\n]*|//[^\n]*|/\*.*?\*/", re.S)
+_COMMENT_OUT = re.compile(r"\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|\#[^\n]*|//[^\n]*|/\*.*?(?:\*/|\Z)", re.S)
 _NUMBER = re.compile(r"-?\b0[xX][\da-fA-F]+\b|-?\b\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?\b")
 _BLOB = re.compile(r"[\"'][A-Za-z0-9+/=_\\-]{40,}[\"']")
 _DIGITS = re.compile(r"\d+")
