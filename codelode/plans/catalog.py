@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aggregates, graphs, lookups, parsing, ranks, rules, scalars, streams, vectors  # noqa: F401
+from . import aggregates, domain, graphs, lookups, parsing, ranks, rules, scalars, streams, vectors  # noqa: F401
 from .base import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

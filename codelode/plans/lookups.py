@@ -239,12 +239,6 @@ def jn4_embeddings_of_repository(d: Data):
     return d.embs.join(f, "file_id", "left_semi").select("id")
 
 
-@query("SELECT 'base' AS direction, c.id, b.id AS other FROM (SELECT id, unnest(base_classes) AS base FROM classes) c JOIN classes b ON b.name = c.base UNION ALL SELECT 'derived', b.id, c.id FROM (SELECT id, unnest(base_classes) AS base FROM classes) c JOIN classes b ON b.name = c.base", "classes")
-def jn5_both_directions(d: Data):
-    e = d.classes.select("id", F.explode("base_classes").alias("base")).join(d.classes.select(F.col("id").alias("other"), F.col("name").alias("base")), "base").select("id", "other")
-    return e.select(F.lit("base").alias("direction"), "id", "other").unionByName(e.select(F.lit("derived").alias("direction"), F.col("other").alias("id"), F.col("id").alias("other")))
-
-
 @query(
     """SELECT s.s_nationkey AS source, c.c_nationkey AS target, count(*) AS relations FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN customer c ON c.c_custkey = o.o_custkey
     WHERE s.s_nationkey <> c.c_nationkey GROUP BY ALL""",
