@@ -25,7 +25,7 @@ def agg2_language_histogram(d: Data):
     return d.files.filter("not is_deleted and language is not null").groupBy("repository_id", "language").agg(F.count("*").alias("files"))
 
 
-@query("SELECT repository_id, language, count(*) AS files, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY repository_id), 2) AS percent FROM files WHERE language IS NOT NULL GROUP BY ALL", "files")
+@query("WITH g AS (SELECT repository_id, language, count(*) AS files FROM files WHERE language IS NOT NULL GROUP BY repository_id, language) SELECT repository_id, language, files, round(100.0::DOUBLE * files / sum(files) OVER (PARTITION BY repository_id), 2) AS percent FROM g", "files")
 def agg3_language_percent(d: Data):
     g = d.files.filter("language is not null").groupBy("repository_id", "language").agg(F.count("*").alias("files"))
     return g.withColumn("percent", F.round(100.0 * F.col("files") / F.sum("files").over(Window.partitionBy("repository_id")), 2))
