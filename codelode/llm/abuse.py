@@ -143,12 +143,14 @@ class Decoder:
     def lattice(self, token: str) -> list[tuple[str, float, bool]]:
         """(letters it may stand for, cost, may be skipped) for each character or run of the token."""
         out: list[tuple[str, float, bool]] = []
-        for c in token:
+        for i, c in enumerate(token):
             if c in _AT:
                 out.append((c, 0.0, False))
             elif c in SIGNS:
                 s = SIGNS[c]
-                out.append((LETTERS if s == "?" else s, 1.2 if s == "?" else 0.8, s == "?"))
+                # in a row of them each masks one letter; one alone may also be a mark between letters
+                alone = c not in (token[i - 1 : i], token[i + 1 : i + 2])
+                out.append((LETTERS if s == "?" else s, 1.2 if s == "?" else 0.8, s == "?" and alone))
             else:
                 out.append(("", 0.4, True))
         return out
@@ -176,7 +178,7 @@ class Decoder:
                     k = (node, last)
                     if cost + price < then.get(k, math.inf):
                         then[k] = cost + price
-                if last and last in letters:
+                if last and last in letters and len(letters) < 5:
                     k = (node, last)
                     v = cost + price + 1.0
                     if v < then.get(k, math.inf):

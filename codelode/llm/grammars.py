@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from .gll import CLOSER, Folder, Grammar, Reject
+from .gll import BASE, CLOSER, Folder, Grammar, Reject
 
 ECMA = r"""
 JsModule = Item*
@@ -625,7 +625,8 @@ class Ecma:
             if line and block and st.now:
                 last = st.now[-1]
                 ends = value or last in self.stop
-                if (t not in _ECMA_GO_ON or (t in ("(", "[", "`", "/") and False)) and ends and last != nl or (t in ("++", "--") and value):
+                goes_on = t in _ECMA_GO_ON and not (t == "else" and (ord(last) < BASE or self.g.folder.groups[ord(last) - BASE][0] != "{"))
+                if not goes_on and ends and last not in (nl, self.semi) or (t in ("++", "--") and value):
                     st.now.append(nl)
             line = False
             at = m.end()
@@ -801,6 +802,8 @@ class Php:
             if what == "id":
                 if prev in ("->", "?->", "::") and t.lower() != "class":
                     st.now.append(self.id)
+                elif prev == "yield" and t == "from":
+                    st.now.append(char("from"))
                 else:
                     st.now.append(words.get(t) or words.get(t.lower()) or self.id)
             elif what == "var":
@@ -933,7 +936,7 @@ class Python:
                 st.pop(t)
         if depth:
             raise Reject("a bracket is never closed")
-        if st.now and st.now[-1] != self.nl and ord(st.now[-1]) < 0x30000:
+        if st.now and st.now[-1] != self.nl and ord(st.now[-1]) < BASE:
             st.now.append(self.nl)
         elif st.now and not fresh and st.now[-1] != self.nl:
             st.now.append(self.nl)
