@@ -93,8 +93,8 @@ class Criteria:
 def rank(results: DataFrame, c: Criteria, as_of: Column | None = None) -> DataFrame:
     """results (file_id, file_path, similarity, complexity, lines, last_modified, imports, has_docstring) with ``score``, best first.
 
-    Columns are normalised over the filtered rows; a constant column gives 0. One aggregate of bounds joins back, so no
-    window over all rows is needed.
+    Columns are normalised over the filtered rows; a constant column gives 0. The bounds are one row, a scalar
+    subquery, so no window over all rows is needed.
     """
     c.check()
     r = results
@@ -105,11 +105,11 @@ def rank(results: DataFrame, c: Criteria, as_of: Column | None = None) -> DataFr
     age = -(F.unix_timestamp(as_of if as_of is not None else F.lit("2024-01-31").cast("timestamp")) - F.unix_timestamp("last_modified"))
     r = r.withColumn("_age", age)
     cols = ["similarity", "complexity", "lines", "_age"]
-    b = r.agg(*[f(x).alias(f"{n}_{x}") for x in cols for n, f in (("lo", F.min), ("hi", F.max))])
-    r = r.crossJoin(F.broadcast(b))  # one row of bounds
+    bounds = r.agg(F.struct(*[f(x).alias(f"{n}_{x}") for x in cols for n, f in (("lo", F.min), ("hi", F.max))])).scalar()
+    r = r.withColumn("_b", bounds)
 
     def unit(x: str) -> Column:
-        lo, hi = F.col(f"lo_{x}"), F.col(f"hi_{x}")
+        lo, hi = F.col("_b")[f"lo_{x}"], F.col("_b")[f"hi_{x}"]
         return F.coalesce(F.when(lo == hi, 0.0).otherwise((F.col(x) - lo) / (hi - lo)), F.lit(0.0))
 
     s = F.lit(0.0)
@@ -133,7 +133,7 @@ def rank(results: DataFrame, c: Criteria, as_of: Column | None = None) -> DataFr
             s = s + F.col("similarity") * 0.0
     if c.scorer is not None:
         s = s + F.coalesce(c.scorer(r), F.lit(0.0))
-    out = r.withColumn("score", F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0))).drop("_age", *[f"{n}_{x}" for x in cols for n in ("lo", "hi")])
+    out = r.withColumn("score", F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0))).drop("_age", "_b")
     return out.orderBy(F.desc("score"), "file_id")
 
 

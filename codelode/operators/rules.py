@@ -22,7 +22,7 @@ def pair_counts(relations: DataFrame) -> DataFrame:
 
 
 def _with_mean(pairs: DataFrame) -> DataFrame:
-    return pairs.crossJoin(F.broadcast(pairs.agg(F.avg("n").alias("mean"))))  # one row
+    return pairs.withColumn("mean", pairs.agg(F.avg("n")).scalar())
 
 
 def advice(pairs: DataFrame, high: float = 1.2) -> DataFrame:

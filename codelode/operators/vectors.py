@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 
@@ -25,26 +25,23 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.try_divide(dot(a, b), F.nullif(norm(a) * norm(b), F.lit(0.0))))
 
 
-def similar_to(df: DataFrame, vec_id: int, limit: int = 10, threshold: float | None = None, but: Column | None = None, key: str = "vec_id") -> DataFrame:
-    """The nearest of a stored vector, itself excluded. The one row is broadcast; the rest is a scan and a top-k.
+def similar_to(df: DataFrame, vec_id: int, limit: int = 10, threshold: float | None = None, but: Callable[[Row], Column] | None = None, key: str = "vec_id") -> DataFrame:
+    """The nearest of a stored vector, itself excluded. The one row is looked up and becomes a literal; the rest is a scan and a top-k.
 
-    An unknown id is an error, raised when the plan is built.
+    ``but`` makes a further filter of that row. An unknown id is an error, raised when the plan is built.
     """
-    one = df.filter(F.col(key) == vec_id)
-    if one.limit(1).count() == 0:
+    row = df.filter(F.col(key) == vec_id).first()
+    if row is None:
         raise ValueError(f"no vector {vec_id}")
-    q = F.broadcast(one.limit(1).select(F.col("embedding").alias("q"), *[F.col(c).alias(f"q_{c}") for c in df.columns if c != "embedding"]))
-    got = df.join(q, F.col(key) != F.col(f"q_{key}")).withColumn("similarity", F.round(cosine("embedding", "q"), 6))
-    if threshold is not None:
-        got = got.filter(F.col("similarity") >= threshold)
+    got = df.filter(F.col(key) != vec_id)
     if but is not None:
-        got = got.filter(but)
-    return got.filter("similarity is not null").orderBy(F.desc("similarity"), key).limit(limit)
+        got = got.filter(but(row))
+    return search(got, row["embedding"], limit, threshold, key)
 
 
 def search(df: DataFrame, vector: list[float], limit: int = 10, threshold: float | None = None, key: str = "vec_id") -> DataFrame:
     """The nearest of a given vector."""
-    q = F.lit([float(x) for x in vector])
+    q = F.array(*[F.lit(float(x)) for x in vector])
     got = df.withColumn("similarity", F.round(cosine("embedding", q), 6))
     if threshold is not None:
         got = got.filter(F.col("similarity") >= threshold)

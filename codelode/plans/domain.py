@@ -118,6 +118,5 @@ def vec11_domain_search(d: Data):
 
     src = d.classes.filter(F.contains(F.lower("name"), F.lit("token"))).select("module_id").join(d.modules.select(F.col("id").alias("module_id"), "file_id"), "module_id").select("file_id").distinct().withColumn("near", F.lit(True))
     ok = d.embs.filter((F.size("embedding") == 64) & ~F.exists("embedding", lambda x: F.isnan(x)) & F.exists("embedding", lambda x: x != 0)).select("id", "file_id", "embedding")
-    one = ok.orderBy("id").limit(1).select(F.col("embedding").alias("q"))
-    e = ok.crossJoin(F.broadcast(one)).withColumn("sim", cosine("embedding", "q"))
+    e = ok.withColumn("q", ok.agg(F.min_by("embedding", "id")).scalar()).withColumn("sim", cosine("embedding", "q"))
     return e.join(src, "file_id", "left").select("id", F.round(F.col("sim") * F.when(F.col("near"), 1.2).otherwise(1.0), 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)

@@ -18,12 +18,12 @@ def vec2_similar(d: Data):
 
 @query(f"SELECT b.vec_id, {COS} AS similarity FROM embeddings a, embeddings b WHERE a.vec_id = 0 AND b.vec_id <> 0 AND b.label IN (1, 2, 3) AND {COS} >= 0.1 ORDER BY similarity DESC, b.vec_id LIMIT 20")
 def vec1_scoped_threshold(d: Data):
-    return vx.similar_to(d.embeddings, 0, 20, 0.1, F.col("label").isin(1, 2, 3)).select("vec_id", "similarity")
+    return vx.similar_to(d.embeddings, 0, 20, 0.1, lambda _: F.col("label").isin(1, 2, 3)).select("vec_id", "similarity")
 
 
 @query(f"SELECT b.vec_id, {COS} AS similarity FROM embeddings a, embeddings b WHERE a.vec_id = 3 AND b.vec_id <> 3 AND a.label <> b.label ORDER BY similarity DESC, b.vec_id LIMIT 10")
 def vec2_exclude_same_file(d: Data):
-    return vx.similar_to(d.embeddings, 3, 10, None, F.col("label") != F.col("q_label")).select("vec_id", "similarity")
+    return vx.similar_to(d.embeddings, 3, 10, None, lambda r: F.col("label") != r["label"]).select("vec_id", "similarity")
 
 
 @query("SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], list_transform(range(64), lambda i: 0.1::DOUBLE)), 6) AS similarity FROM embeddings ORDER BY similarity DESC, vec_id LIMIT 10")
