@@ -72,10 +72,14 @@ def edges(imports: DataFrame, files: DataFrame, packages: DataFrame) -> DataFram
     """
     f = files.select(F.col("id").alias("file_id"), "repository_id", dirname("path").alias("source"))
     p = packages.select("repository_id", F.col("path").alias("target"))
-    i = imports.join(f, "file_id").withColumn("dotted", F.replace("module_name", F.lit("."), F.lit("/"))).withColumn("n", F.monotonically_increasing_id())
-    pre = ancestors(i, "dotted", own=True).filter("depth > 0").select("n", "repository_id", "source", F.col("dir").alias("target"), "depth")
-    longest = pre.join(p, ["repository_id", "target"]).groupBy("n", "repository_id", "source").agg(F.max_by("target", "depth").alias("target"))
-    return longest.filter("source <> target").groupBy("repository_id", "source", "target").agg(F.count("*").alias("import_count"))
+    i = imports.join(f, "file_id").withColumn("dotted", F.replace("module_name", F.lit("."), F.lit("/"))).groupBy("repository_id", "source", "dotted").agg(F.count("*").alias("times"))
+    own = ["repository_id", "source", "dotted"]
+    pre = ancestors(i, "dotted", own=True).filter("depth > 0").select(*own, F.col("dir").alias("target"), "depth")
+    longest = pre.join(p, ["repository_id", "target"]).groupBy(*own).agg(F.max_by("target", "depth").alias("longest"))
+    named = packages.groupBy("repository_id", F.col("name").alias("first")).agg(F.min("path").alias("named"))
+    i = i.withColumn("first", F.regexp_extract("dotted", "^([^/]+)", 1)).select(*own, "first", "times")
+    both = i.join(longest, own, "left").join(named, ["repository_id", "first"], "left").withColumn("target", F.coalesce("longest", "named"))
+    return both.filter("source <> target").groupBy("repository_id", "source", "target").agg(F.sum("times").alias("import_count"))
 
 
 def coupling(edges_: DataFrame, packages: DataFrame) -> DataFrame:
