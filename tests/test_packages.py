@@ -2,7 +2,7 @@ import pytest
 
 from codelode.operators import packages as pk
 
-FILES = [(1, "__init__.py", 10), (2, "main.py", 100), (3, "README.md", 500), (4, "src/__init__.py", 20), (5, "src/utils.py", 200), (6, "src/helpers.py", 150), (7, "src/core/__init__.py", 30), (8, "src/core/engine.py", 300), (9, "tests/__init__.py", 5), (10, "tests/test_utils.py", 150), (11, "namespace/module1.py", 100), (12, "namespace/module2.py", 120)]
+FILES = [(1, "__init__.py", 10), (2, "main.py", 100), (3, "README.md", 500), (4, "src/__init__.py", 20), (5, "src/utils.py", 200), (6, "src/extras.py", 150), (7, "src/core/__init__.py", 30), (8, "src/core/motor.py", 300), (9, "tests/__init__.py", 5), (10, "tests/test_utils.py", 150), (11, "namespace/one.py", 100), (12, "namespace/two.py", 120)]
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +18,7 @@ def test_five_packages(files):
 
 
 def test_edges_by_longest_prefix(spark, files):
-    imports = spark.createDataFrame([(5, "src.core.engine"), (10, "src.utils"), (5, "os.path"), (5, "src.helpers")], "file_id long, module_name string")
+    imports = spark.createDataFrame([(5, "src.core.motor"), (10, "src.utils"), (5, "os.path"), (5, "src.extras")], "file_id long, module_name string")
     got = {(r.source, r.target): r.import_count for r in pk.edges(imports, files, pk.discover(files)).collect()}
     assert got == {("src", "src/core"): 1, ("tests", "src"): 1}
     c = {r.path: (r.dependencies, r.dependents) for r in pk.coupling(pk.edges(imports, files, pk.discover(files)), pk.discover(files)).collect()}
@@ -27,7 +27,7 @@ def test_edges_by_longest_prefix(spark, files):
 
 def test_rollup(spark, files):
     modules = spark.createDataFrame([(1, 5)], "id long, file_id long")
-    classes = spark.createDataFrame([(1, 1, "UtilityClass")], "id long, module_id long, name string")
+    classes = spark.createDataFrame([(1, 1, "Tool")], "id long, module_id long, name string")
     functions = spark.createDataFrame([(1, 1, None, "f", 5), (2, 1, 1, "m", 3)], "id long, module_id long, class_id long, name string, complexity int")
     got = {r.path: r for r in pk.rollup(files, functions, classes, modules, pk.discover(files)).collect()}
     s = got["src"]

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 from codelode.operators import ranking as rk
 
 ROWS = [
-    (1, "src/core/database.py", 0.95, 10, 50, 1, ["psycopg2", "sqlalchemy"], True),
-    (2, "tests/test_database.py", 0.90, 3, 20, 30, ["pytest", "unittest"], False),
-    (3, "src/utils/db_helper.py", 0.85, 15, 100, 0, ["psycopg2", "logging"], True),
+    (1, "src/core/store.py", 0.96, 10, 50, 1, ["alpha", "beta"], True),
+    (2, "tests/test_store.py", 0.91, 3, 20, 30, ["gamma", "delta"], False),
+    (3, "src/util/rows.py", 0.84, 15, 100, 0, ["alpha", "epsilon"], True),
 ]
 
 
@@ -28,7 +28,7 @@ def order(df):
         (dict(recency=1.0), [3, 1, 2]),
         (dict(similarity=1.0, exclude_tests=True), [1, 3]),
         (dict(similarity=1.0, min_similarity=0.9), [1, 2]),
-        (dict(similarity=0.5, boost_imports=("sqlalchemy",)), [1, 2, 3]),
+        (dict(similarity=0.5, boost_imports=("beta",)), [1, 2, 3]),
         (dict(), [1, 2, 3]),
     ],
 )
