@@ -157,8 +157,15 @@ def _reverse(x: np.ndarray, graph: np.ndarray, own: np.ndarray, degree: int, alp
     src, dst = src[order], dst[order]
     nodes, start, counts = np.unique(dst, return_index=True, return_counts=True)
     span = degree * most
-    for k in range(0, len(nodes), 2048):
-        v, st, ct = nodes[k : k + 2048], start[k : k + 2048], counts[k : k + 2048]
+    by_count = np.argsort(counts, kind="stable")  # nodes with as many new edges go together, so little is padding
+    nodes, start, counts = nodes[by_count], start[by_count], counts[by_count]
+    k = 0
+    while k < len(nodes):
+        rows = 1024
+        while rows > 64 and rows * (degree + min(int(counts[min(k + rows, len(nodes)) - 1]), span)) ** 2 > 8_000_000:
+            rows //= 2
+        v, st, ct = nodes[k : k + rows], start[k : k + rows], counts[k : k + rows]
+        k += rows
         c = int(min(ct.max(), span))
         pos = st[:, None] + np.arange(c)
         new = np.where(np.arange(c) < ct[:, None], src[np.minimum(pos, len(src) - 1)], -1)
@@ -168,9 +175,9 @@ def _reverse(x: np.ndarray, graph: np.ndarray, own: np.ndarray, degree: int, alp
                 new[j] = mine[np.argsort(-(x[mine] @ x[v[j]]))[:c]]
         both = np.concatenate([graph[v], new], axis=1)
         full = (both >= 0).sum(axis=1) > degree
-        for rows in (np.flatnonzero(~full), np.flatnonzero(full)):
-            if len(rows):
-                graph[v[rows]] = robust_prune(x, v[rows], both[rows], degree, alpha if full[rows[0]] else 1e9)
+        for some in (np.flatnonzero(~full), np.flatnonzero(full)):
+            if len(some):
+                graph[v[some]] = robust_prune(x, v[some], both[some], degree, alpha if full[some[0]] else 1e9)
 
 
 # --- on Spark --------------------------------------------------------------------------------------------------------
@@ -202,7 +209,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (y / np.linalg.norm(y, axis=1, keepdims=True)).astype(np.float32)
 
 
-def nearest(df: DataFrame, k: int = 10, shard_rows: int = 32768, degree: int = 32, width: int = 48, query_rows: int = 4096, dim: int = DIM) -> DataFrame:
+def nearest(df: DataFrame, k: int = 10, shard_rows: int = 32768, degree: int = 32, width: int = 48, query_rows: int = 65536, dim: int = DIM) -> DataFrame:
     """(id, neighbour, similarity) of the k nearest of every valid vector.
 
     Two tables go to the shared folder: the valid vectors, and one node per distinct vector with its shard. Both are
@@ -227,7 +234,8 @@ def nearest(df: DataFrame, k: int = 10, shard_rows: int = 32768, degree: int = 3
     want = k + min(int(multiple), 8 * k)  # so many nodes may be the query's own entity's
     width = max(width, want)
     shards = max(1, -(-n // shard_rows))
-    blocks = max(1, -(-n // query_rows))
+    # a shard's graph goes to one task per block of queries: few blocks, but work for every core
+    blocks = max(1, -(-n // query_rows), min(-(-n // 2048), -(-spark.sparkContext.defaultParallelism // shards)))
     sharded = nodes.select("node", "vec", F.col("members.id").alias("m_id"), F.col("members.entity").alias("m_entity"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"))
 
     def graph_of(pdf: pd.DataFrame) -> pd.DataFrame:
