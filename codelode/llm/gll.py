@@ -12,7 +12,8 @@ import re
 
 #: Characters from here on stand for folded groups.
 BASE = 0x30000
-ROOM = 0xA0000
+#: So many distinct groups, and four times as many answers, are kept; a worker then starts anew.
+ROOM = 60_000
 CLOSER = {"(": ")", "[": "]", "{": "}", "`": "`"}
 
 
