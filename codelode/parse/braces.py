@@ -82,9 +82,70 @@ def imports(text: str, language: str) -> list[dict]:
     return out
 
 
+#: Types that no reference is made of.
+_PLAIN = {"int", "long", "short", "byte", "char", "float", "double", "boolean", "bool", "void", "string", "String", "Object", "number", "any", "unknown", "never", "null", "undefined", "array", "iterable", "callable", "mixed", "self", "static", "parent", "object", "false", "true", "var", "T", "K", "V"}
+_TYPE_USE = {
+    "java": re.compile(r"(?:[(,]\s*(?:final\s+|@\w+\s+)*|\b(?:public|private|protected|static|final)\s+|\bnew\s+)([A-Z][\w.]*)(?:<([^<>(){};]*)>)?(?:\[\])*(?:\s+\w+\s*[,)(=;]|\s*\()"),
+    "php": re.compile(r"(?:[(,]\s*(?:(?:public|private|protected|readonly)\s+)*\??([\w\\|&]+)\s+&?(?:\.\.\.)?\$\w+)|\)\s*:\s*\??([\w\\|&]+)|\bnew\s+([\w\\]+)"),
+    "ts": re.compile(r"[\w)\]?]\s*:\s*([A-Z][\w.]*)(?:<([^<>(){};]*)>)?"),
+}
+_TRAIT = re.compile(r"^\s+use\s+([\w\\, ]+)[;{]", re.M)
+_ALIAS = re.compile(r"\b(?:export\s+)?type\s+([A-Za-z_$][\w$]*)\s*(?:<[^=]*>)?\s*=")
+_EXPORT = re.compile(r"\bexport\s+(?:default\s+)?(?:declare\s+|abstract\s+|async\s+)*(?:class|interface|enum|type|function\s*\*?|const|let|var|namespace)\s+([A-Za-z_$][\w$]*)|\bexport\s*\{([^}]*)\}")
+
+
+def exports(text: str, language: str = "ts") -> list[str]:
+    """Names a JavaScript or TypeScript module exports, in order."""
+    out = []
+    for m in _EXPORT.finditer(blank(text, language)):
+        if m.group(1):
+            out.append(m.group(1))
+        else:
+            out += [x.split(" as ")[-1].strip() for x in m.group(2).split(",") if x.strip()]
+    return out
+
+
+def type_aliases(text: str) -> list[str]:
+    return _ALIAS.findall(blank(text, "ts"))
+
+
 def references(text: str, language: str) -> list[dict]:
-    """(source, target, type, line): import and inherit."""
-    out = [{"source": "", "target": i["module_name"], "type": "import", "line": i["line"]} for i in imports(text, language)]
-    for e in entities(text, language):
-        out += [{"source": e["name"], "target": b, "type": "inherit", "line": e["start_line"]} for b in e["bases"] or ()]
+    """(source, target, type, line): import per name, inherit, implement, interface_extends, trait_use, type_use."""
+    t = blank(text, language)
+    line = lambda at: t.count("\n", 0, at) + 1
+    out = []
+    for i in imports(text, language):
+        names = i["names"] if language in ("js", "ts") and i["names"] else [None]
+        out += [{"source": "", "target": i["module_name"] if n is None else f"{i['module_name']}.{n}", "type": "import", "line": i["line"]} for n in names]
+    for m in _CLASS.finditer(t):
+        rest = re.sub(r"<[^<>]*>", "", m.group("rest"))
+        for word, names in re.findall(r"\b(extends|implements)\s+([^{]*?)(?=\bextends\b|\bimplements\b|$)", rest.strip()):
+            kind = "implement" if word == "implements" else "interface_extends" if m.group("kind") == "interface" else "inherit"
+            out += [{"source": m.group("name"), "target": b, "type": kind, "line": line(m.start("name"))} for b in re.findall(r"[\w.\\$]+", names)]
+    spans = [(m.start(), close_of(t, m.end() - 1), m.group("name")) for m in _CLASS.finditer(t)]
+    owner = lambda at: max((s for s in spans if s[0] < at < s[1]), default=(0, 0, ""))[2]
+    if language == "php":
+        for m in _TRAIT.finditer(t):
+            if owner(m.start(1)):
+                out += [{"source": owner(m.start(1)), "target": x.strip(), "type": "trait_use", "line": line(m.start(1))} for x in m.group(1).split(",")]
+    if language in _TYPE_USE:
+        seen = set()
+        for m in _TYPE_USE[language].finditer(t):
+            for g in filter(None, m.groups()):
+                for x in re.findall(r"[A-Za-z_][\w.\\]*", g.lstrip("?")):
+                    key = (owner(m.start()), x, line(m.start()))
+                    if x not in _PLAIN and key not in seen:
+                        seen.add(key)
+                        out.append({"source": key[0], "target": x, "type": "type_use", "line": key[2]})
     return out
+
+
+def external(statements: list[str], stdlib: frozenset[str] = frozenset()) -> list[str]:
+    """Modules that import statements name, without relative ones and those of the standard library, sorted."""
+    out = set()
+    for s in statements:
+        m = re.search(r"\bfrom\s+['\"]([^'\"]+)['\"]|require\(\s*['\"]([^'\"]+)['\"]", s)
+        name = next(filter(None, m.groups())) if m else (s.split() + ["", ""])[1].rstrip(";")
+        if name and not name.startswith((".", "/")) and re.split(r"[./\\]", name)[0] not in stdlib:
+            out.add(name)
+    return sorted(out)

@@ -51,7 +51,7 @@ def agg5_complexity_ranges(d: Data):
 @query(f"SELECT {EXT} AS extension, count(*) AS files, sum(size)::BIGINT AS size, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 2) AS percent FROM files GROUP BY 1", "files")
 def agg6_file_types(d: Data):
     g = d.files.groupBy(extension("path").alias("extension")).agg(F.count("*").alias("files"), F.sum("size").alias("size"))
-    return g.withColumn("percent", F.round(100.0 * F.col("files") / F.sum("files").over(Window.partitionBy()), 2))
+    return g.withColumn("percent", F.round(100.0 * F.col("files") / g.agg(F.sum("files")).scalar(), 2))
 
 
 @query("SELECT module_id, count(*) AS function_count, list_sort(list(name)) AS functions FROM functions WHERE name IS NOT NULL GROUP BY 1", "functions")
@@ -207,7 +207,7 @@ def win3_first_methods(d: Data):
 @query("SELECT branch, count(*) AS files, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 3) AS percent FROM files GROUP BY 1", "files")
 def win4_percent_of_total(d: Data):
     g = d.files.groupBy("branch").agg(F.count("*").alias("files"))
-    return g.withColumn("percent", F.round(100.0 * F.col("files") / F.sum("files").over(Window.partitionBy()), 3))
+    return g.withColumn("percent", F.round(100.0 * F.col("files") / g.agg(F.sum("files")).scalar(), 3))
 
 
 @query(

@@ -56,3 +56,16 @@ def test_java_and_php_and_typescript():
     ts = "import { A, B as C } from './a';\nexport interface I { x: number }\nexport class K extends A { async run(x: string): Promise<void> { return; } }\nconst f = (a: number) => { return a; };\n"
     assert {(r["kind"], r["name"]) for r in braces.entities(ts, "ts")} >= {("interface", "I"), ("class", "K"), ("method", "run"), ("function", "f")}
     assert braces.imports(ts, "ts")[0]["names"] == ["A", "C"]
+
+
+def test_references_of_other_languages():
+    kinds = lambda text, lang: {(r["source"], r["target"], r["type"]) for r in braces.references(text, lang)}
+    java = "import a.b.Node;\nclass A extends B implements C, D {\n  private Node node;\n  List<Node> f(Token t, int n) { return new Queue(n); }\n}\n"
+    assert kinds(java, "java") >= {("", "a.b.Node", "import"), ("A", "B", "inherit"), ("A", "C", "implement"), ("A", "D", "implement"), ("A", "Node", "type_use"), ("A", "Token", "type_use"), ("A", "Queue", "type_use")}
+    assert not any(t == "int" for _, t, _ in kinds(java, "java"))
+    php = "<?php\nuse App\\Node;\nclass A extends B implements C {\n  use Loud, Quiet;\n  public function f(?Node $n, string $s): Token { return new Queue(); }\n}\n"
+    assert kinds(php, "php") >= {("A", "Loud", "trait_use"), ("A", "Quiet", "trait_use"), ("A", "Node", "type_use"), ("A", "Token", "type_use"), ("A", "Queue", "type_use"), ("A", "B", "inherit")}
+    ts = "import { X, Y as Z } from './m';\nexport interface I extends J { a: Map<Key, number> }\nexport type P = X | null;\nclass K { b: Token; }\nexport { K, Z as W };\nexport const q = 1;\n"
+    assert kinds(ts, "ts") >= {("", "./m.X", "import"), ("", "./m.Z", "import"), ("I", "J", "interface_extends"), ("I", "Map", "type_use"), ("I", "Key", "type_use"), ("K", "Token", "type_use")}
+    assert braces.exports(ts) == ["I", "P", "K", "W", "q"] and braces.type_aliases(ts) == ["P"]
+    assert braces.external(["import x from 'react'", "const y = require('./own')", "import os", "use App\\Node;"], frozenset({"os"})) == ["App\\Node", "react"]

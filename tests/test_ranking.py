@@ -43,6 +43,12 @@ def test_weights_out_of_range(results):
         rk.final(*[F.lit(0.5)] * 4, weights={"semantic": 0.5})
 
 
+def test_custom_scorer_adds_and_clamps(results):
+    low = rk.Criteria(similarity=0.5, scorer=lambda df: F.when(df["file_id"] == 3, 5.0))
+    top = rk.rank(results, low).first()
+    assert (top.file_id, top.score) == (3, 1.0)
+
+
 def test_missing_date_counts_nothing(spark, results):
     df = results.withColumn("last_modified", F.when(F.col("file_id") == 3, F.lit(None)).otherwise(F.col("last_modified")))
     assert order(rk.rank(df, rk.Criteria(recency=1.0)))[0] == 1
