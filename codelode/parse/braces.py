@@ -13,8 +13,8 @@ _HASH = re.compile(r"#(?!\[)[^\n]*")
 _NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "function", "foreach", "match", "new", "throw", "else", "elseif", "do", "try", "synchronized", "super", "this", "echo", "isset", "empty", "array", "list", "unset", "fn", "use", "assert"}
 _CLASS = re.compile(r"\b(?P<abstract>abstract\s+)?(?:final\s+|readonly\s+)*(?P<kind>class|interface|trait|enum|record)\s+(?P<name>[A-Za-z_$][\w$]*)(?P<rest>[^{;]*)\{")
 _FUNCTION = {
-    "js": re.compile(r"(?:(?P<mods>(?:(?:export|default|async|static|public|private|protected|readonly|abstract|override|get|set)\s+)*)(?:function\s*\*?\s*)?(?P<name>[A-Za-z_$#][\w$]*)\s*(?:<[^>{}()]*>)?\((?P<args>[^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?::\s*(?P<ret>[^={;]+?))?\s*\{|(?:const|let|var)\s+(?P<arrow>[A-Za-z_$][\w$]*)\s*(?::[^=]+)?=\s*(?P<amods>async\s+)?\(?(?P<aargs>[^()=]*)\)?\s*(?::\s*[^=]+?)?=>)"),
-    "java": re.compile(r"(?P<mods>(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*)(?:<[^>()]*>\s*)?(?P<ret>[A-Za-z_][\w.]*(?:<[^(){};]*>)?(?:\[\])*\s+)?(?P<name>[A-Za-z_]\w*)\s*\((?P<args>[^()]*)\)\s*(?:throws\s+[\w., ]+)?\s*\{"),
+    "js": re.compile(r"(?:(?P<mods>(?:(?:export|default|async|static|public|private|protected|readonly|abstract|override|get|set)\s++)*+)(?:function\s*+\*?\s*+)?(?P<name>[A-Za-z_$#][\w$]*+)\s*+(?:<[^>{}()]*+>)?\((?P<args>[^()]*+(?:\([^()]*+\)[^()]*+)*+)\)\s*+(?::(?P<ret>[^={;]*+))?\{|(?:const|let|var)\s++(?P<arrow>[A-Za-z_$][\w$]*+)\s*+(?::[^=;]*+)?=\s*+(?P<amods>async\s++)?\(?(?P<aargs>[^()=;{}]*+)\)?\s*+(?::[^=;]*+)?=>)"),
+    "java": re.compile(r"(?P<mods>(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*)(?:<[^>()]*>\s*)?(?P<ret>[A-Za-z_][\w.]*(?:<[^(){};]*>)?(?:\[\])*\s+)?(?P<name>[A-Za-z_]\w*)\s*\((?P<args>[^()]*+)\)\s*+(?:throws\s+[\w., ]++)?\{"),
     "php": re.compile(r"(?P<mods>(?:(?:public|private|protected|static|final|abstract)\s+)*)function\s+&?(?P<name>[A-Za-z_]\w*)\s*\((?P<args>[^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?::\s*(?P<ret>\??[\w\\|&]+))?\s*\{"),
 }
 _FUNCTION["ts"] = _FUNCTION["js"]

@@ -10,6 +10,7 @@ from codelode.operators import packages as pk
 from codelode.operators import tables as tb
 from codelode.operators import vectors as vx
 from codelode.parse import registry as rg
+from codelode.session import shared_dir
 
 from .aggregates import DIRS
 from .base import Data, query
@@ -218,7 +219,8 @@ def snk8_touch_synced(d: Data):
 
 @query()
 def snk9_store_parsed(d: Data):
-    e = rg.entities(d.files, d.contents).filter("kind <> 'module'").withColumn("id", F.xxhash64("file_id", "kind", "name", "start_line"))
+    shared_dir(d.spark)
+    e = rg.entities(d.files, d.contents).filter("kind <> 'module'").withColumn("id", F.xxhash64("file_id", "kind", "name", "start_line")).checkpoint()  # parsed once for both sides
     c = e.filter("kind in ('class', 'interface', 'trait', 'enum', 'record')").groupBy("file_id", F.col("name").alias("class_name")).agg(F.min("id").alias("class_id"))
     return e.filter("kind in ('function', 'method')").join(c, ["file_id", "class_name"], "left").select("file_id", "id", "name", "class_id", "complexity")
 
@@ -233,9 +235,9 @@ def snk17_remove_inactive(d: Data):
     return tb.cascade_delete(d.raw("repositories").filter("not is_active").select("id"), [(d.files, "repository_id")])[0].select("id")
 
 
-@query("SELECT user_id AS session_id, event_type AS query_type, count(*) AS results_count, round(avg(value) * 10, 3) AS response_time_ms, max(ts) AS created_at FROM events GROUP BY 1, 2")
+@query("SELECT user_id AS session_id, event_type AS query_type, count(*) AS results_count, round(avg(value) * 10, 6) AS response_time_ms, max(ts) AS created_at FROM events GROUP BY 1, 2")
 def snk13_search_log(d: Data):
-    return d.events.groupBy(F.col("user_id").alias("session_id"), F.col("event_type").alias("query_type")).agg(F.count("*").alias("results_count"), F.round(F.avg("value") * 10, 3).alias("response_time_ms"), F.max("ts").alias("created_at"))
+    return d.events.groupBy(F.col("user_id").alias("session_id"), F.col("event_type").alias("query_type")).agg(F.count("*").alias("results_count"), F.round(F.avg("value") * 10, 6).alias("response_time_ms"), F.max("ts").alias("created_at"))
 
 
 @query("SELECT t AS table_name, t IN ('repositories', 'code_files', 'code_modules', 'code_classes', 'code_functions', 'code_embeddings', 'file_contents') AS present FROM (VALUES ('repositories'), ('code_files'), ('code_modules'), ('code_classes'), ('code_functions'), ('code_embeddings'), ('file_contents'), ('commits')) AS v(t)")
