@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -26,6 +28,25 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, memory: str = "
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers if they can't import it by themselves: once per application, from the driver."""
+    sc = spark.sparkContext
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    if getattr(sc, "_codelode_shipped", False) or os.path.isfile(root):
+        return
+    sc._codelode_shipped = True
+    if root in {os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p}:
+        return
+    at = os.path.join(tempfile.mkdtemp(prefix="codelode-"), "codelode.zip")
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(package):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), root))
+    sc.addPyFile(at)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, as the cluster names it in spark.checkpoint.dir; a temporary one only where that is unset."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
