@@ -274,7 +274,9 @@ def pairs(functions: DataFrame, modules: DataFrame, classes: DataFrame, files: D
     """
     f = functions.select("id", "module_id", "class_id", "name", "docstring", F.transform("parameters", lambda p: p["name"]).alias("params"), "start_line").dropDuplicates(["id"])
     c = classes.filter(F.col("docstring").isNotNull()).select(F.col("id").alias("class_id"), F.col("docstring").alias("class_docstring")).dropDuplicates(["class_id"])
-    f = f.join(c, "class_id", "left").drop("class_id")
+    # functions outside of classes, most of them, would be one key: they get keys of their own and lose what those find
+    f = f.withColumn("loose", F.col("class_id").isNull()).withColumn("class_id", F.coalesce("class_id", -F.col("id"))).join(c, "class_id", "left")
+    f = f.withColumn("class_docstring", F.when(~F.col("loose"), F.col("class_docstring"))).drop("class_id", "loose")
     need = f if code else f.filter(F.col("docstring").isNull())
     m = modules.select(F.col("id").alias("module_id"), "file_id").dropDuplicates(["module_id"])
     ext = files.select(F.col("id").alias("file_id"), F.regexp_extract("path", r"\.(py|js|ts|java|php)$", 1).alias("ext")).dropDuplicates(["file_id"])

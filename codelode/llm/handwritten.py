@@ -332,5 +332,6 @@ def not_handwritten(files: DataFrame, contents: DataFrame, repositories: DataFra
 
     seen = src.mapInArrow(look, "file_id long, repository_id long, path string, why string, key binary").checkpoint()
     shared = seen.filter(F.col("key").isNotNull()).select("key", "repository_id").distinct().groupBy("key").count().filter(F.col("count") >= copies).select("key", F.lit(True).alias("copied"))
-    both = seen.join(shared, "key", "left")
+    keyed = F.col("key").isNotNull()
+    both = seen.filter(keyed).join(shared, "key", "left").unionByName(seen.filter(~keyed).withColumn("copied", F.lit(None).cast("boolean")))
     return both.withColumn("why", F.coalesce("why", F.when(F.col("copied"), F.lit("the same code in several repositories")))).filter(F.col("why").isNotNull()).select("file_id", "repository_id", "path", "why").dropDuplicates(["file_id"])
