@@ -91,6 +91,13 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_foun
 
 #: Only where SQL can say the same over whole tables.
 ORACLE: dict[str, str] = {
+    "p4_found": """
+        WITH v AS (SELECT DISTINCT ON (id) id, entity_type, entity_id, embedding::DOUBLE[] AS e FROM code_embeddings
+            WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        s AS (SELECT a.id AS a, b.id AS b, round(list_cosine_similarity(a.e, b.e), 9) AS c FROM v a JOIN v b ON a.entity_type <> b.entity_type OR a.entity_id <> b.entity_id),
+        r AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS k FROM s)
+        SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE k <= 10
+    """,
     "p3_found": """
         SELECT DISTINCT 'embedding' AS item_kind, id AS item_id FROM code_embeddings WHERE length(content) > 3000
         UNION ALL

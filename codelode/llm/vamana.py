@@ -73,7 +73,6 @@ def beam_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries:
     """Ids [q, width] (-1: none) and similarities of the best nodes met; ``step`` nodes of each beam are opened at a time."""
     n, q = len(x), len(queries)
     seen = np.zeros((q, n), bool)
-    rows = np.arange(q)[:, None]
     first = queries @ x[entries].T
     m = min(width, len(entries))
     top = np.argpartition(-first, m - 1, axis=1)[:, :m]
@@ -83,7 +82,8 @@ def beam_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries:
     ids[:, :m], sims[:, :m], opened[:, :m] = entries[top], _take(first, top), False
     order = np.argsort(-sims, axis=1)
     ids, sims, opened = _take(ids, order), _take(sims, order), _take(opened, order)
-    seen[rows, np.maximum(ids, 0)] |= ids >= 0
+    r, c = np.nonzero(ids >= 0)
+    seen[r, ids[r, c]] = True
     live = np.arange(q)
     while len(live):
         o, i, s = opened[live], ids[live], sims[live]

@@ -50,6 +50,12 @@ def test_like_brute_force(spark, rows):
     assert [n for _, n in sorted(got[1005])] == want[1005] and [n for _, n in sorted(got[2003])] == want[2003]
 
 
+def test_fewer_vectors_than_the_beam_is_exact(spark, rows):
+    few = rows[:30]
+    got = {(r.id, r.neighbour) for r in vm.nearest(frame(spark, few)).collect()}
+    assert got == {(i, n) for i, ns in brute(few).items() for n in ns}
+
+
 def test_several_shards_and_blocks(spark, rows):
     got = {(r.id, r.neighbour) for r in vm.nearest(frame(spark, rows), shard_rows=100, query_rows=64).collect()}
     want = {(i, n) for i, ns in brute(rows).items() for n in ns}
