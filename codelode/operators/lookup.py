@@ -1,6 +1,7 @@
 """Symbol lookup, keyword search and filters over the code model. Every function maps DataFrames to a DataFrame.
 
-Limits come last and after a total order (the id breaks ties), so a result does not depend on the partitioning.
+Limits come last and after a total order (the id breaks ties), so a result does not depend on the partitioning. Searches
+drop repeats after their filters, so the filters reach the scans and only hits are shuffled.
 """
 
 from __future__ import annotations
@@ -40,21 +41,21 @@ def keyword_search(sym: DataFrame, query: str, limit: int = 20) -> DataFrame:
     words = [w for w in query.lower().split() if w]
     hit = any_of([contains("name", w) | F.coalesce(contains("docstring", w), F.lit(False)) for w in words])
     first = F.when(contains("name", query), 0).otherwise(1)
-    return sym.filter(hit).withColumn("rank_group", first).orderBy("rank_group", "name", "symbol_type", "id").limit(limit)
+    return sym.filter(hit).dropDuplicates(["symbol_type", "id"]).withColumn("rank_group", first).orderBy("rank_group", "name", "symbol_type", "id").limit(limit)
 
 
 def positional_search(sym: DataFrame, text: str, limit: int = 20) -> DataFrame:
     """Substring in name or docstring, earliest position in the name first, docstring-only hits last; similarity 0.8."""
     at = F.locate(text.lower(), F.lower("name"))
     hit = contains("name", text) | F.coalesce(contains("docstring", text), F.lit(False))
-    return sym.filter(hit).withColumn("position", F.when(at > 0, at).otherwise(F.lit(2147483647))).withColumn("similarity", F.lit(0.8)).orderBy("position", "name", "symbol_type", "id").limit(limit)
+    return sym.filter(hit).dropDuplicates(["symbol_type", "id"]).withColumn("position", F.when(at > 0, at).otherwise(F.lit(2147483647))).withColumn("similarity", F.lit(0.8)).orderBy("position", "name", "symbol_type", "id").limit(limit)
 
 
 def partial_name(sym: DataFrame, text: str, limit: int = 20) -> DataFrame:
     """Exact 1.0, prefix 0.8, suffix 0.6, elsewhere 0.4; scored first, limited once."""
     name, t = F.lower("name"), text.lower()
     score = F.when(name == t, 1.0).when(name.startswith(t), 0.8).when(name.endswith(t), 0.6).otherwise(0.4)
-    return sym.filter(contains("name", text)).withColumn("score", score).orderBy(F.desc("score"), "name", "symbol_type", "id").limit(limit)
+    return sym.filter(contains("name", text)).dropDuplicates(["symbol_type", "id"]).withColumn("score", score).orderBy(F.desc("score"), "name", "symbol_type", "id").limit(limit)
 
 
 def by_signature(functions: DataFrame, name: str, types: list[str]) -> DataFrame:

@@ -22,23 +22,23 @@ def agg1_embedding_stats(d: Data):
 
 @query("SELECT f.repository_id, f.language, count(*) AS files FROM files f WHERE NOT is_deleted AND language IS NOT NULL GROUP BY ALL", "files")
 def agg2_language_histogram(d: Data):
-    return d.files.filter("not is_deleted and language is not null").groupBy("repository_id", "language").agg(F.count("*").alias("files"))
+    return d.where("files", "not is_deleted and language is not null").groupBy("repository_id", "language").agg(F.count("*").alias("files"))
 
 
 @query("WITH g AS (SELECT repository_id, language, count(*) AS files FROM files WHERE language IS NOT NULL GROUP BY repository_id, language) SELECT repository_id, language, files, round(100.0::DOUBLE * files / sum(files) OVER (PARTITION BY repository_id), 2) AS percent FROM g", "files")
 def agg3_language_percent(d: Data):
-    g = d.files.filter("language is not null").groupBy("repository_id", "language").agg(F.count("*").alias("files"))
+    g = d.where("files", "language is not null").groupBy("repository_id", "language").agg(F.count("*").alias("files"))
     return g.withColumn("percent", F.round(100.0 * F.col("files") / F.sum("files").over(Window.partitionBy("repository_id")), 2))
 
 
 @query("SELECT id, path, size FROM files WHERE size IS NOT NULL ORDER BY size DESC, id LIMIT 10", "files")
 def agg3_largest_files(d: Data):
-    return d.files.filter("size is not null").select("id", "path", "size").orderBy(F.desc("size"), "id").limit(10)
+    return d.where("files", "size is not null").select("id", "path", "size").orderBy(F.desc("size"), "id").limit(10)
 
 
 @query("SELECT r.id, r.name, count(f.id) AS files, max(f.last_modified) AS last_change FROM repos r LEFT JOIN files f ON f.repository_id = r.id AND NOT f.is_deleted GROUP BY ALL", "repos files")
 def agg4_repository_listing(d: Data):
-    f = d.files.filter("not is_deleted").groupBy(F.col("repository_id").alias("id")).agg(F.count("*").alias("files"), F.max("last_modified").alias("last_change"))
+    f = d.where("files", "not is_deleted").groupBy(F.col("repository_id").alias("id")).agg(F.count("*").alias("files"), F.max("last_modified").alias("last_change"))
     return d.repos.select("id", "name").join(f, "id", "left").withColumn("files", F.coalesce("files", F.lit(0)))
 
 
@@ -56,7 +56,7 @@ def agg6_file_types(d: Data):
 
 @query("SELECT module_id, count(*) AS function_count, list_sort(list(name)) AS functions FROM functions WHERE name IS NOT NULL GROUP BY 1", "functions")
 def agg7_functions_by_module(d: Data):
-    return d.functions.filter("name is not null").groupBy("module_id").agg(F.count("*").alias("function_count"), F.array_sort(F.collect_list("name")).alias("functions"))
+    return d.where("functions", "name is not null").groupBy("module_id").agg(F.count("*").alias("function_count"), F.array_sort(F.collect_list("name")).alias("functions"))
 
 
 @query(
@@ -110,7 +110,7 @@ def agg13_file_metrics(d: Data):
 @query("SELECT m.file_id, round(avg(f.complexity), 3) AS avg_c, max(f.complexity) AS max_c, count(*) FILTER (WHERE f.complexity > 20) AS very, list_sort(list(f.name) FILTER (WHERE f.complexity <= 5)) AS simple FROM functions f JOIN modules m ON m.id = f.module_id WHERE f.complexity IS NOT NULL GROUP BY 1 HAVING count(*) FILTER (WHERE f.complexity <= 5) > 0", "functions modules")
 def agg14_complexity_profile(d: Data):
     m = d.modules.select(F.col("id").alias("module_id"), "file_id")
-    g = d.functions.filter("complexity is not null").join(m, "module_id").groupBy("file_id")
+    g = d.where("functions", "complexity is not null").join(m, "module_id").groupBy("file_id")
     return g.agg(F.round(F.avg("complexity"), 3).alias("avg_c"), F.max("complexity").alias("max_c"), F.count_if(F.col("complexity") > 20).alias("very"), F.array_sort(F.collect_list(F.when(F.col("complexity") <= 5, F.col("name")))).alias("simple")).filter(F.size("simple") > 0)
 
 
@@ -123,7 +123,7 @@ def agg15_complexity_distribution(d: Data):
     from codelode.functions.text import complexity_level
 
     buckets = d.spark.createDataFrame([("simple",), ("moderate",), ("complex",), ("very complex",)], "bucket string")
-    n = d.functions.filter("complexity is not null").groupBy(complexity_level("complexity").alias("bucket")).agg(F.count("*").alias("functions"))
+    n = d.where("functions", "complexity is not null").groupBy(complexity_level("complexity").alias("bucket")).agg(F.count("*").alias("functions"))
     return buckets.join(n, "bucket", "left").withColumn("functions", F.coalesce("functions", F.lit(0)))
 
 
@@ -187,21 +187,21 @@ def agg30_distinct_files(d: Data):
 @query("SELECT id, CASE WHEN max(size) OVER w = min(size) OVER w THEN 0.0::DOUBLE ELSE round((size - min(size) OVER w)::DOUBLE / (max(size) OVER w - min(size) OVER w), 6) END AS norm FROM files WHERE size IS NOT NULL WINDOW w AS (PARTITION BY repository_id)", "files")
 def win1_min_max(d: Data):
     # two aggregates joined back: a repository with a third of all files isn't one window partition
-    f = d.files.filter("size is not null").select("id", "repository_id", "size")
+    f = d.where("files", "size is not null").select("id", "repository_id", "size")
     b = f.groupBy("repository_id").agg(F.min("size").alias("lo"), F.max("size").alias("hi"))
     return f.join(b, "repository_id").select("id", F.when(F.col("lo") == F.col("hi"), 0.0).otherwise(F.round((F.col("size") - F.col("lo")) / (F.col("hi") - F.col("lo")), 6)).alias("norm"))
 
 
 @query("SELECT repository_id, max_by(id, (last_modified, id)) AS id, max(last_modified) AS last_modified FROM files WHERE last_modified IS NOT NULL GROUP BY 1", "files")
 def win2_latest_per_repository(d: Data):
-    f = d.files.filter("last_modified is not null")
+    f = d.where("files", "last_modified is not null")
     return f.groupBy("repository_id").agg(F.max_by("id", F.struct("last_modified", "id")).alias("id"), F.max("last_modified").alias("last_modified"))
 
 
 @query("SELECT class_id, id, name, rn FROM (SELECT class_id, id, name, row_number() OVER (PARTITION BY class_id ORDER BY start_line NULLS FIRST, id)::INTEGER AS rn FROM functions WHERE class_id IS NOT NULL) WHERE rn <= 5", "functions")
 def win3_first_methods(d: Data):
     w = Window.partitionBy("class_id").orderBy(F.asc_nulls_first("start_line"), "id")
-    return d.functions.filter("class_id is not null").withColumn("rn", F.row_number().over(w)).filter("rn <= 5").select("class_id", "id", "name", "rn")
+    return d.where("functions", "class_id is not null").withColumn("rn", F.row_number().over(w)).filter("rn <= 5").select("class_id", "id", "name", "rn")
 
 
 @query("SELECT branch, count(*) AS files, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 3) AS percent FROM files GROUP BY 1", "files")
@@ -221,5 +221,5 @@ def win6_merge_small_chunks(d: Data):
     from codelode.operators.chunks import merge_small
 
     m = d.modules.select(F.col("id").alias("module_id"), "file_id")
-    f = d.functions.filter("start_line is not null and end_line is not null").select("id", "module_id", "start_line", "end_line").join(m, "module_id")
+    f = d.where("functions", "start_line is not null and end_line is not null").select("id", "module_id", "start_line", "end_line").join(m, "module_id")
     return merge_small(f, 10)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from codelode.tables import once, table
 
@@ -40,6 +40,12 @@ class Data:
     embs = cached_property(lambda s: once(s.raw("code_embeddings")))
     contents = cached_property(lambda s: once(s.raw("file_contents"), "file_id"))
 
+    def where(self, name: str, condition: Column | str) -> DataFrame:
+        """The rows of a table that meet a condition, each once. Repeats carry the same values, so the condition may come
+        first: it reaches the scan, and only what meets it is shuffled."""
+        raw = {"repos": "repositories", "contents": "file_contents", "embs": "code_embeddings"}.get(name, f"code_{name}")
+        return once(self.raw(raw).filter(condition), "file_id" if name == "contents" else "id")
+
     def __getattr__(self, name: str) -> DataFrame:
         return self.raw(name)
 

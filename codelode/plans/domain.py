@@ -12,12 +12,12 @@ from .rules import PAIRS, relations
 
 @query("SELECT id, list_transform(list_filter(regexp_split_to_array(replace(name, '_', ' '), ' +'), lambda w: length(w) > 3), lambda w: concat(upper(w[1]), lower(w[2:]))) AS concepts FROM functions WHERE regexp_full_match(name, '[a-z_]+')", "functions")
 def vec12_concepts(d: Data):
-    return d.functions.filter(F.col("name").rlike("^[a-z_]+$")).select("id", dm.concepts(F.replace("name", F.lit("_"), F.lit(" "))).alias("concepts"))
+    return d.where("functions", F.col("name").rlike("^[a-z_]+$")).select("id", dm.concepts(F.replace("name", F.lit("_"), F.lit(" "))).alias("concepts"))
 
 
 @query("SELECT name, is_abstract AS kind, list_sort(list_distinct(flatten(list(base_classes)))) AS base_classes, max(end_line) AS end_line FROM classes WHERE base_classes IS NOT NULL GROUP BY ALL", "classes")
 def agg26_merge_entities(d: Data):
-    return dm.merge_entities(d.classes.filter("base_classes is not null").withColumn("kind", F.col("is_abstract")), ["name", "kind"], ["base_classes"], numbers=["end_line"])
+    return dm.merge_entities(d.where("classes", "base_classes is not null").withColumn("kind", F.col("is_abstract")), ["name", "kind"], ["base_classes"], numbers=["end_line"])
 
 
 @query(
@@ -46,7 +46,7 @@ def gr9_context_splits(d: Data):
     "contents functions modules",
 )
 def gr23_usages(d: Data):
-    defs = d.functions.filter("name = 'report_failure'").select("module_id", F.col("start_line").alias("line")).join(d.modules.select(F.col("id").alias("module_id"), "file_id"), "module_id").select("file_id", "line")
+    defs = d.where("functions", "name = 'report_failure'").select("module_id", F.col("start_line").alias("line")).join(d.modules.select(F.col("id").alias("module_id"), "file_id"), "module_id").select("file_id", "line")
     return dm.usages(d.contents, "report_failure", defs)
 
 
@@ -58,7 +58,7 @@ def dom9_numbered_names(d: Data):
 
 @query("SELECT id, array_to_string(list_filter(list_transform(string_split(regexp_replace(docstring, '^\\s*/\\*+|\\*+/\\s*$', '', 'g'), chr(10)), lambda x: trim(regexp_replace(x, '^\\s*\\*+\\s?', ''))), lambda x: x <> '' AND NOT starts_with(x, '@')), ' ') AS prose FROM functions WHERE starts_with(docstring, '/**') AND NOT contains(docstring, chr(9)) AND NOT contains(docstring, chr(13))", "functions")
 def str10_docblock(d: Data):
-    return d.functions.filter(F.col("docstring").startswith("/**") & ~F.contains("docstring", F.lit("\t")) & ~F.contains("docstring", F.lit("\r"))).select("id", dm.docblock("docstring").alias("prose"))
+    return d.where("functions", F.col("docstring").startswith("/**") & ~F.contains("docstring", F.lit("\t")) & ~F.contains("docstring", F.lit("\r"))).select("id", dm.docblock("docstring").alias("prose"))
 
 
 @query("SELECT id, concat_ws(chr(10), concat('Function: ', name), CASE WHEN len(parameters) > 0 THEN concat('Parameters: ', array_to_string(list_transform(parameters, lambda p: p.name), ', ')) END, CASE WHEN return_type IS NOT NULL THEN concat('Returns: ', return_type) END, CASE WHEN docstring IS NOT NULL THEN concat('Description: ', substr(docstring, 1, 200)) END) AS text FROM functions", "functions")
@@ -116,7 +116,7 @@ def dom16_entity_context(d: Data):
 def vec11_domain_search(d: Data):
     from codelode.operators.vectors import cosine
 
-    src = d.classes.filter(F.contains(F.lower("name"), F.lit("token"))).select("module_id").join(d.modules.select(F.col("id").alias("module_id"), "file_id"), "module_id").select("file_id").distinct().withColumn("near", F.lit(True))
-    ok = d.embs.filter((F.size("embedding") == 64) & ~F.exists("embedding", lambda x: F.isnan(x)) & F.exists("embedding", lambda x: x != 0)).select("id", "file_id", "embedding")
+    src = d.where("classes", F.contains(F.lower("name"), F.lit("token"))).select("module_id").join(d.modules.select(F.col("id").alias("module_id"), "file_id"), "module_id").select("file_id").distinct().withColumn("near", F.lit(True))
+    ok = d.where("embs", (F.size("embedding") == 64) & ~F.exists("embedding", lambda x: F.isnan(x)) & F.exists("embedding", lambda x: x != 0)).select("id", "file_id", "embedding")
     e = ok.withColumn("q", ok.agg(F.min_by("embedding", "id")).scalar()).withColumn("sim", cosine("embedding", "q"))
     return e.join(src, "file_id", "left").select("id", F.round(F.col("sim") * F.when(F.col("near"), 1.2).otherwise(1.0), 6).alias("score")).orderBy(F.desc("score"), "id").limit(20)

@@ -112,5 +112,5 @@ def agg20_degrees(d: Data):
 
 @query("WITH f AS (SELECT f.id, f.name, f.module_id FROM functions f WHERE NOT starts_with(f.name, '_')) SELECT f.id FROM f WHERE NOT EXISTS (SELECT 1 FROM embs e WHERE e.entity_type = 'function' AND e.entity_id = f.id)", "functions embs")
 def gr24_unreferenced(d: Data):
-    e = d.embs.filter("entity_type = 'function'").select(F.col("entity_id").alias("id"))
-    return d.functions.filter(~F.col("name").startswith("_")).select("id").join(e, "id", "left_anti")
+    e = d.where("embs", "entity_type = 'function'").select(F.col("entity_id").alias("id"))
+    return d.where("functions", ~F.col("name").startswith("_")).select("id").join(e, "id", "left_anti")

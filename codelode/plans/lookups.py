@@ -12,7 +12,12 @@ SYM = "sym AS (SELECT 'function' AS symbol_type, id, name, docstring, module_id,
 
 
 def sym(d: Data):
-    return lk.symbols(d.functions, d.classes, d.modules)
+    """All symbols as delivered; what reads them drops repeats after its filters."""
+    return lk.symbols(d.raw("code_functions"), d.raw("code_classes"), d.raw("code_modules"))
+
+
+def once_each(symbols):
+    return symbols.dropDuplicates(["symbol_type", "id"])
 
 
 @query("SELECT id, github_url, owner, name, is_active FROM repos", "repos")
@@ -22,7 +27,7 @@ def src1_list_all(d: Data):
 
 @query("SELECT id, path, branch, size FROM files WHERE repository_id = 1 AND branch = 'main' AND path LIKE '%.py'", "files")
 def src2_by_repository_branch(d: Data):
-    return d.files.filter((F.col("repository_id") == 1) & (F.col("branch") == "main") & F.col("path").endswith(".py")).select("id", "path", "branch", "size")
+    return d.where("files", (F.col("repository_id") == 1) & (F.col("branch") == "main") & F.col("path").endswith(".py")).select("id", "path", "branch", "size")
 
 
 @query("SELECT r.id, r.github_url FROM repos r WHERE r.github_url = (SELECT min(github_url) FROM repositories)", "repos")
@@ -33,7 +38,7 @@ def src2_by_url(d: Data):
 
 @query("SELECT id, name, module_id FROM functions WHERE id = 7", "functions")
 def src3_entity_by_id(d: Data):
-    return lk.entity("function", {"function": d.functions}, 7).select("id", "name", "module_id")
+    return lk.entity("function", {"function": d.where("functions", F.col("id") == 7)}, 7).select("id", "name", "module_id")
 
 
 @query(
@@ -42,7 +47,7 @@ def src3_entity_by_id(d: Data):
     "functions modules contents",
 )
 def src15_function_code(d: Data):
-    spans = d.functions.filter("start_line is not null and end_line is not null").select("id", "module_id", "start_line", "end_line").join(d.modules.select(F.col("id").alias("module_id"), "file_id"), "module_id")
+    spans = d.where("functions", "start_line is not null and end_line is not null").select("id", "module_id", "start_line", "end_line").join(d.modules.select(F.col("id").alias("module_id"), "file_id"), "module_id")
     return lk.source_lines(d.contents, spans).select("id", "code")
 
 
@@ -52,7 +57,7 @@ def src15_function_code(d: Data):
     "functions modules contents",
 )
 def src16_chunk_with_context(d: Data):
-    spans = d.functions.filter("start_line is not null and end_line is not null").select("id", "module_id", "start_line", "end_line").join(d.modules.select(F.col("id").alias("module_id"), "file_id"), "module_id")
+    spans = d.where("functions", "start_line is not null and end_line is not null").select("id", "module_id", "start_line", "end_line").join(d.modules.select(F.col("id").alias("module_id"), "file_id"), "module_id")
     return lk.source_lines(d.contents, spans, 3).select("id", "code")
 
 
@@ -63,7 +68,7 @@ def src16_chunk_with_context(d: Data):
     "classes modules contents files",
 )
 def src17_raw_and_contextual(d: Data):
-    py = d.files.filter(F.col("path").endswith(".py")).select(F.col("id").alias("file_id"))
+    py = d.where("files", F.col("path").endswith(".py")).select(F.col("id").alias("file_id"))
     spans = d.classes.select("id", "module_id", "start_line", "end_line").join(d.modules.select(F.col("id").alias("module_id"), "file_id"), "module_id").join(py, "file_id", "left_semi")
     raw = lk.source_lines(d.contents, spans).withColumnRenamed("code", "raw")
     return lk.source_lines(d.contents, raw, 5).select("id", "raw", F.col("code").alias("contextual"))
@@ -71,7 +76,7 @@ def src17_raw_and_contextual(d: Data):
 
 @query("SELECT file_id, length(content) AS n FROM contents WHERE length(content) <= 1000", "contents")
 def src18_size_capped(d: Data):
-    return d.contents.filter(F.length("content") <= 1000).select("file_id", F.length("content").cast("long").alias("n"))
+    return d.where("contents", F.length("content") <= 1000).select("file_id", F.length("content").cast("long").alias("n"))
 
 
 @query("SELECT id, path FROM files WHERE NOT EXISTS (SELECT 1 FROM code_embeddings e WHERE e.file_id = files.id) ORDER BY id LIMIT 100", "files")
@@ -83,7 +88,7 @@ def src19_unindexed_files(d: Data):
 def src22_file_entities(d: Data):
     m = d.modules.select(F.col("id").alias("module_id"), "file_id")
     one = lambda df, kind: df.join(m, "module_id").select("file_id", F.lit(kind).alias("kind"), "id", "name")
-    return one(d.classes, "class").unionByName(one(d.functions.filter("class_id is null"), "function")).unionByName(d.modules.select("file_id", F.lit("module").alias("kind"), "id", "name"))
+    return one(d.classes, "class").unionByName(one(d.where("functions", "class_id is null"), "function")).unionByName(d.modules.select("file_id", F.lit("module").alias("kind"), "id", "name"))
 
 
 @query(f"WITH {SYM} SELECT symbol_type, id, name, CASE WHEN contains(lower(name), 'load queue') THEN 0 ELSE 1 END AS rank_group FROM sym WHERE contains(lower(name), 'load') OR contains(lower(name), 'queue') OR contains(lower(coalesce(docstring, '')), 'load') OR contains(lower(coalesce(docstring, '')), 'queue') ORDER BY rank_group, name, symbol_type, id LIMIT 20", "functions classes modules")
@@ -98,73 +103,74 @@ def flt3_positional_search(d: Data):
 
 @query(f"WITH {SYM} SELECT symbol_type, id, module_id FROM sym WHERE name = 'run'", "functions classes modules")
 def flt4_exact_name(d: Data):
-    return sym(d).filter(F.col("name") == "run").select("symbol_type", "id", "module_id")
+    return once_each(sym(d).filter(F.col("name") == "run")).select("symbol_type", "id", "module_id")
 
 
 @query("SELECT f.id, f.name, c.name AS class_name FROM functions f LEFT JOIN classes c ON c.id = f.class_id WHERE f.name LIKE 'parse%'", "functions classes")
 def flt5_functions_with_class(d: Data):
     c = d.classes.select(F.col("id").alias("class_id"), F.col("name").alias("class_name"))
-    return d.functions.filter(F.col("name").startswith("parse")).select("id", "name", "class_id").join(c, "class_id", "left").select("id", "name", "class_name")
+    return d.where("functions", F.col("name").startswith("parse")).select("id", "name", "class_id").join(c, "class_id", "left").select("id", "name", "class_name")
 
 
 @query(f"WITH {SYM} SELECT id, name FROM sym WHERE symbol_type = 'class'", "functions classes modules")
 def flt6_by_type(d: Data):
-    return sym(d).filter(F.col("symbol_type") == "class").select("id", "name")
+    return once_each(sym(d).filter(F.col("symbol_type") == "class")).select("id", "name")
 
 
 @query(f"WITH {SYM} SELECT s.symbol_type, s.id, s.name FROM sym s JOIN modules m ON m.id = s.module_id WHERE m.file_id = 5", "functions classes modules")
 def flt7_in_file(d: Data):
-    return lk.located(sym(d), d.modules, d.files).filter(F.col("file_id") == 5).select("symbol_type", "id", "name")
+    of_file = d.where("modules", F.col("file_id") == 5).select(F.col("id").alias("module_id"))
+    return once_each(sym(d).join(of_file, "module_id", "left_semi")).select("symbol_type", "id", "name")
 
 
 @query("SELECT id FROM functions WHERE name = 'run' AND list_has_all(list_transform(parameters, lambda p: p.type), ['string'])", "functions")
 def flt8_by_signature(d: Data):
-    return lk.by_signature(d.functions, "run", ["string"]).select("id")
+    return lk.by_signature(d.where("functions", F.col("name") == "run"), "run", ["string"]).select("id")
 
 
 @query("SELECT id, name FROM classes WHERE list_contains(base_classes, 'Token')", "classes")
 def flt9_subclasses(d: Data):
-    return lk.has_base(d.classes, "Token").select("id", "name")
+    return lk.has_base(d.where("classes", F.array_contains("base_classes", "Token")), "Token").select("id", "name")
 
 
 @query("SELECT 'function' AS kind, id, name FROM functions WHERE is_async UNION ALL SELECT 'class', id, name FROM classes WHERE is_abstract", "functions classes")
 def flt10_async_and_abstract(d: Data):
-    return d.functions.filter("is_async").select(F.lit("function").alias("kind"), "id", "name").unionByName(d.classes.filter("is_abstract").select(F.lit("class").alias("kind"), "id", "name"))
+    return d.where("functions", "is_async").select(F.lit("function").alias("kind"), "id", "name").unionByName(d.where("classes", "is_abstract").select(F.lit("class").alias("kind"), "id", "name"))
 
 
 @query(f"WITH {SYM} SELECT symbol_type, id, name FROM sym WHERE regexp_matches(name, '^(load|save)_[a-z]+$')", "functions classes modules")
 def flt11_regex(d: Data):
-    return sym(d).filter(F.col("name").rlike("^(load|save)_[a-z]+$")).select("symbol_type", "id", "name")
+    return once_each(sym(d).filter(F.col("name").rlike("^(load|save)_[a-z]+$"))).select("symbol_type", "id", "name")
 
 
 @query("SELECT id, path, last_modified FROM files WHERE repository_id = 1 AND last_modified > TIMESTAMP '2023-06-01'", "files")
 def flt12_modified_since(d: Data):
-    return d.files.filter((F.col("repository_id") == 1) & (F.col("last_modified") > F.to_timestamp_ntz(F.lit("2023-06-01 00:00:00")))).select("id", "path", "last_modified")
+    return d.where("files", (F.col("repository_id") == 1) & (F.col("last_modified") > F.to_timestamp_ntz(F.lit("2023-06-01 00:00:00")))).select("id", "path", "last_modified")
 
 
 @query("SELECT id, embedding_type FROM embs WHERE entity_type = 'function' ORDER BY id LIMIT 100", "embs")
 def flt13_embeddings_by_entity_type(d: Data):
-    return d.embs.filter(F.col("entity_type") == "function").select("id", "embedding_type").orderBy("id").limit(100)
+    return d.where("embs", F.col("entity_type") == "function").select("id", "embedding_type").orderBy("id").limit(100)
 
 
 @query("SELECT e.id FROM embs e WHERE e.entity_type IN ('function', 'class') AND (contains(lower(e.content), 'index') OR contains(lower(e.content), 'queue')) ORDER BY e.id LIMIT 20", "embs")
 def flt14_relevant_entities(d: Data):
-    return d.embs.filter(F.col("entity_type").isin("function", "class") & (lk.contains("content", "index") | lk.contains("content", "queue"))).select("id").orderBy("id").limit(20)
+    return d.where("embs", F.col("entity_type").isin("function", "class") & (lk.contains("content", "index") | lk.contains("content", "queue"))).select("id").orderBy("id").limit(20)
 
 
 @query("SELECT id, path FROM files WHERE suffix(path, '_queue.py') OR suffix(path, '/queue.py')", "files")
 def flt15_path_suffix(d: Data):
-    return d.files.filter(F.col("path").endswith("_queue.py") | F.col("path").endswith("/queue.py")).select("id", "path")
+    return d.where("files", F.col("path").endswith("_queue.py") | F.col("path").endswith("/queue.py")).select("id", "path")
 
 
 @query("SELECT id, replace(regexp_replace(path, '\\.py$', ''), '/', '.') AS module FROM files WHERE path LIKE 'src/%' AND path LIKE '%.py'", "files")
 def flt16_submodules(d: Data):
-    return d.files.filter(F.col("path").endswith(".py")).select("id", F.replace(F.regexp_replace("path", r"\.py$", ""), F.lit("/"), F.lit(".")).alias("module")).filter(F.col("module").startswith("src."))
+    return d.where("files", F.col("path").endswith(".py")).select("id", F.replace(F.regexp_replace("path", r"\.py$", ""), F.lit("/"), F.lit(".")).alias("module")).filter(F.col("module").startswith("src."))
 
 
 @query("SELECT id, name FROM functions WHERE list_contains(decorators, 'staticmethod')", "functions")
 def flt17_array_contains(d: Data):
-    return d.functions.filter(F.array_contains("decorators", "staticmethod")).select("id", "name")
+    return d.where("functions", F.array_contains("decorators", "staticmethod")).select("id", "name")
 
 
 @query("SELECT id, len(parameters)::INTEGER AS n FROM functions WHERE len(parameters) = 0 OR len(parameters) > 2", "functions")
@@ -174,12 +180,12 @@ def flt18_array_length(d: Data):
 
 @query("SELECT id, name FROM functions WHERE class_id IS NULL", "functions")
 def flt19_module_level(d: Data):
-    return d.functions.filter("class_id is null").select("id", "name")
+    return d.where("functions", "class_id is null").select("id", "name")
 
 
 @query("SELECT id, path FROM files WHERE NOT starts_with(path, 'tests/') AND size >= 2000", "files")
 def flt20_post_filters(d: Data):
-    return d.files.filter(~F.col("path").startswith("tests/") & (F.col("size") >= 2000)).select("id", "path")
+    return d.where("files", ~F.col("path").startswith("tests/") & (F.col("size") >= 2000)).select("id", "path")
 
 
 @query(
@@ -217,7 +223,7 @@ def prj4_page_info(d: Data):
 @query("SELECT f.id, f.name, m.name AS module, l.path FROM functions f JOIN modules m ON m.id = f.module_id JOIN files l ON l.id = m.file_id WHERE f.name = 'run'", "functions modules files")
 def jn1_find_definitions(d: Data):
     m = d.modules.select(F.col("id").alias("module_id"), F.col("name").alias("module"), "file_id")
-    return d.functions.filter(F.col("name") == "run").select("id", "name", "module_id").join(m, "module_id").join(d.files.select(F.col("id").alias("file_id"), "path"), "file_id").select("id", "name", "module", "path")
+    return d.where("functions", F.col("name") == "run").select("id", "name", "module_id").join(m, "module_id").join(d.files.select(F.col("id").alias("file_id"), "path"), "file_id").select("id", "name", "module", "path")
 
 
 @query("SELECT c.id, c.name, m.name AS module, f.path FROM classes c JOIN modules m ON m.id = c.module_id JOIN files f ON f.id = m.file_id", "classes modules files")
@@ -283,7 +289,7 @@ def jn12_internal_external(d: Data):
 def jn14_nearest_package(d: Data):
     from codelode.operators.packages import nearest_package, package_dirs
 
-    return nearest_package(d.files.filter(F.col("path").endswith(".py")), package_dirs(d.raw("code_files"))).select("id", "package")
+    return nearest_package(d.where("files", F.col("path").endswith(".py")), package_dirs(d.raw("code_files"))).select("id", "package")
 
 
 # --- sinks, as what the tables hold after them ---
@@ -295,14 +301,14 @@ def jn14_nearest_package(d: Data):
 def snk2_upsert(d: Data):
     from codelode.operators.tables import upsert
 
-    return upsert(d.files.filter("branch = 'main'"), d.files.filter("size > 1500"), ["repository_id", "path", "branch"]).select("id", "outcome")
+    return upsert(d.where("files", "branch = 'main'"), d.where("files", "size > 1500"), ["repository_id", "path", "branch"]).select("id", "outcome")
 
 
 @query("SELECT id FROM files WHERE id % 2 = 1 AND id NOT IN (SELECT id FROM code_files WHERE size > 1500)", "files")
 def snk4_insert_if_absent(d: Data):
     from codelode.operators.tables import insert_if_absent
 
-    return insert_if_absent(d.files.filter("size > 1500"), d.files.filter("id % 2 = 1"), ["id"]).select("id")
+    return insert_if_absent(d.where("files", "size > 1500"), d.where("files", "id % 2 = 1"), ["id"]).select("id")
 
 
 @query("SELECT f.id, coalesce(m.name, f.branch) AS branch FROM files f LEFT JOIN (SELECT file_id, min(name) AS name FROM code_modules GROUP BY 1) m ON m.file_id = f.id", "files")
@@ -325,7 +331,7 @@ def snk6_cascade_delete(d: Data):
 def snk7_soft_delete(d: Data):
     from codelode.operators.tables import soft_delete
 
-    return soft_delete(d.files, d.files.filter("size > 1000").select("id"), ["id"]).select("id", "is_deleted")
+    return soft_delete(d.files, d.where("files", "size > 1000").select("id"), ["id"]).select("id", "is_deleted")
 
 
 @query("SELECT name, kind, list_sort(list_distinct(flatten(list(bases)))) AS bases FROM (SELECT name, is_abstract AS kind, base_classes AS bases FROM classes WHERE base_classes IS NOT NULL) GROUP BY ALL", "classes")

@@ -22,13 +22,13 @@ FROM = "imp AS (SELECT c.file_id, f.repository_id, f.path, regexp_extract(s, '^f
 
 
 def from_imports(d: Data):
-    f = d.files.filter(F.col("path").endswith(".py")).select(F.col("id").alias("file_id"), "repository_id", "path")
+    f = d.where("files", F.col("path").endswith(".py")).select(F.col("id").alias("file_id"), "repository_id", "path")
     s = d.contents.select("file_id", F.explode(F.split("content", "\n")).alias("s")).filter(F.col("s").rlike("^from [A-Za-z_][A-Za-z_0-9.]* import"))
     return s.join(f, "file_id").select("file_id", "repository_id", "path", F.regexp_extract("s", "^from ([A-Za-z_][A-Za-z_0-9.]*) import", 1).alias("module_name"))
 
 
 def good(d: Data):
-    return d.embs.filter((F.size("embedding") == 64) & ~F.exists("embedding", lambda x: F.isnan(x)) & F.exists("embedding", lambda x: x != 0))
+    return d.where("embs", (F.size("embedding") == 64) & ~F.exists("embedding", lambda x: F.isnan(x)) & F.exists("embedding", lambda x: x != 0))
 
 
 @query(f"WITH {DIRS} SELECT repository_id, path, name, module_count FROM pkg WHERE path IN ('src', 'app', 'core', 'tests', 'docs', 'lib', '')")
@@ -59,7 +59,7 @@ def jn13_longest_prefix(d: Data):
 
 @query("SELECT f.id, d.dir FROM (SELECT id, repository_id, path FROM files WHERE path LIKE '%.py') f JOIN (SELECT DISTINCT repository_id, regexp_replace(path, '/[^/]*$', '') AS dir FROM code_files WHERE path LIKE '%/__init__.py') d ON d.repository_id = f.repository_id AND starts_with(f.path, d.dir || '/')", "files")
 def jn15_files_under_packages(d: Data):
-    up = pk.ancestors(d.files.filter(F.col("path").endswith(".py")).select("id", "repository_id", "path"), "path").filter("depth > 0")
+    up = pk.ancestors(d.where("files", F.col("path").endswith(".py")).select("id", "repository_id", "path"), "path").filter("depth > 0")
     return up.join(pk.package_dirs(d.raw("code_files")), ["repository_id", "dir"]).select("id", "dir")
 
 
@@ -176,7 +176,7 @@ def gr10_entity_cycles(d: Data):
 
 @query("SELECT kind, count(*) AS n, count(DISTINCT s) AS statements FROM (SELECT s, CASE WHEN regexp_matches(s, '^from \\.') THEN 'relative' WHEN regexp_matches(s, '^(from|import) (app|src|core)(\\.| |$)') THEN 'internal' ELSE 'external' END AS kind FROM (SELECT unnest(string_split(c.content, chr(10))) AS s FROM contents c JOIN files f ON f.id = c.file_id WHERE f.path LIKE '%.py') WHERE regexp_matches(s, '^(from|import) [A-Za-z_.]')) GROUP BY 1", "contents files")
 def gr21_import_groups(d: Data):
-    py = d.files.filter(F.col("path").endswith(".py")).select(F.col("id").alias("file_id"))
+    py = d.where("files", F.col("path").endswith(".py")).select(F.col("id").alias("file_id"))
     s = d.contents.join(py, "file_id", "left_semi").select(F.explode(F.split("content", "\n")).alias("s")).filter(F.col("s").rlike("^(from|import) [A-Za-z_.]"))
     kind = F.when(F.col("s").rlike(r"^from \."), "relative").when(F.col("s").rlike(r"^(from|import) (app|src|core)(\.| |$)"), "internal").otherwise("external")
     return s.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"), F.count_distinct("s").alias("statements"))
@@ -188,7 +188,7 @@ def gr21_import_groups(d: Data):
 )
 def dom14_refactoring(d: Data):
     un = lambda df, kind: df.filter("docstring is null").select(F.lit(kind).alias("kind"), "id", F.lit("undocumented").alias("smell"))
-    long_ = d.functions.filter("end_line - start_line + 1 > 50").select(F.lit("function").alias("kind"), "id", F.lit("long").alias("smell"))
+    long_ = d.where("functions", "end_line - start_line + 1 > 50").select(F.lit("function").alias("kind"), "id", F.lit("long").alias("smell"))
     return un(d.functions, "function").unionByName(long_).unionByName(un(d.classes, "class")).unionByName(un(d.modules, "module"))
 
 
@@ -256,11 +256,11 @@ def stm2_redelivered(d: Data):
 @query("SELECT id, path FROM files WHERE id NOT IN (SELECT file_id FROM code_embeddings WHERE file_id IS NOT NULL) AND NOT is_deleted ORDER BY last_modified NULLS FIRST, id LIMIT 100", "files")
 def stm5_next_batch(d: Data):
     e = d.raw("code_embeddings").filter("file_id is not null").select(F.col("file_id").alias("id"))
-    return d.files.filter("not is_deleted").join(e, "id", "left_anti").orderBy(F.asc_nulls_first("last_modified"), "id").limit(100).select("id", "path")
+    return d.where("files", "not is_deleted").join(e, "id", "left_anti").orderBy(F.asc_nulls_first("last_modified"), "id").limit(100).select("id", "path")
 
 
 @query("SELECT id, name, 'type' AS kind FROM classes WHERE regexp_extract('class:' || name, '^([a-z]+):([^@]+)(?:@(.*))?$', 2) = name", "classes")
 def str6_typed_names(d: Data):
     ref = F.concat(F.lit("class:"), "name")
-    return d.classes.filter(F.regexp_extract(ref, r"^([a-z]+):([^@]+)(?:@(.*))?$", 2) == F.col("name")).select("id", "name", F.lit("type").alias("kind"))
+    return d.where("classes", F.regexp_extract(ref, r"^([a-z]+):([^@]+)(?:@(.*))?$", 2) == F.col("name")).select("id", "name", F.lit("type").alias("kind"))
 

@@ -36,7 +36,7 @@ def par_python_udtf(d: Data):
     from codelode.parse.python import ParseEntities
 
     d.spark.udtf.register("parse_entities", ParseEntities)
-    py = d.files.filter(F.col("path").endswith(".py")).select(F.col("id").alias("file_id"))
+    py = d.where("files", F.col("path").endswith(".py")).select(F.col("id").alias("file_id"))
     d.contents.join(py, "file_id", "left_semi").createOrReplaceTempView("py_contents")
     return d.spark.sql("SELECT c.file_id, e.kind, e.name, e.class_name, e.start_line, e.complexity FROM py_contents c, LATERAL parse_entities(c.content) e")
 
@@ -47,7 +47,7 @@ def par_python_udtf(d: Data):
     "contents files",
 )
 def agg10_import_frequency(d: Data):
-    py = d.files.filter(F.col("path").endswith(".py")).select(F.col("id").alias("file_id"))
+    py = d.where("files", F.col("path").endswith(".py")).select(F.col("id").alias("file_id"))
     s = d.contents.join(py, "file_id", "left_semi").select(F.explode(F.split("content", "\n")).alias("s")).filter(F.col("s").rlike("^(import|from) +[A-Za-z_]"))
     return s.groupBy(F.regexp_extract("s", "^(?:import|from) +([A-Za-z_][A-Za-z_0-9]*)", 1).alias("top")).agg(F.count("*").alias("n")).withColumn("is_stdlib", F.col("top").isin(STDLIB))
 
@@ -110,6 +110,6 @@ def str14_hashes(d: Data):
 def src9_branch_diff(d: Data):
     from codelode.operators.tables import snapshot_diff
 
-    f = d.files.filter("repository_id = 1")
+    f = d.where("files", "repository_id = 1")
     one = lambda c: f.filter(c).groupBy("path").agg(F.max("content_hash").alias("content_hash"))
     return snapshot_diff(one("branch = 'main'"), one("branch <> 'main'"), ["path"], "content_hash")

@@ -57,7 +57,7 @@ def results(d: Data):
     """Files as search results: similarity from the size, complexity and documentation of their functions."""
     m = d.modules.select(F.col("id").alias("module_id"), "file_id")
     g = d.functions.select("module_id", "complexity", "docstring").join(m, "module_id").groupBy("file_id").agg(F.max("complexity").alias("complexity"), F.bool_or(F.col("docstring").isNotNull()).alias("has_docstring"))
-    f = d.files.filter("size is not null").select(F.col("id").alias("file_id"), F.col("path").alias("file_path"), (F.col("size") % 1000 / 1000.0).cast("double").alias("similarity"), F.col("size").alias("lines"), F.col("last_modified").cast("timestamp").alias("last_modified"))
+    f = d.where("files", "size is not null").select(F.col("id").alias("file_id"), F.col("path").alias("file_path"), (F.col("size") % 1000 / 1000.0).cast("double").alias("similarity"), F.col("size").alias("lines"), F.col("last_modified").cast("timestamp").alias("last_modified"))
     return f.join(g, "file_id").withColumn("imports", F.array(F.regexp_extract("file_path", r"^([^/]+)", 1)))
 
 
@@ -90,7 +90,7 @@ def rnk5_char_similarity(d: Data):
 
 @query("SELECT 'keyword' AS source, id, name FROM functions WHERE contains(lower(name), 'flush') OR contains(lower(coalesce(docstring, '')), 'flush') ORDER BY CASE WHEN contains(lower(name), 'flush') THEN 0 ELSE 1 END, name, id LIMIT 10", "functions")
 def rnk6_search_with_fallback(d: Data):
-    semantic = d.functions.filter(F.lit(False)).select(F.lit("semantic").alias("source"), "id", "name")
+    semantic = d.where("functions", F.lit(False)).select(F.lit("semantic").alias("source"), "id", "name")
     if semantic.limit(1).count():
         return semantic
     fn = d.functions.select(F.lit("function").alias("symbol_type"), "id", "name", "docstring")
@@ -106,9 +106,9 @@ def top3_partial_name(d: Data):
 
 @query("SELECT id, size FROM files WHERE size IS NOT NULL ORDER BY size, id LIMIT 25", "files")
 def top5_smallest_files(d: Data):
-    return d.files.filter("size is not null").select("id", "size").orderBy("size", "id").limit(25)
+    return d.where("files", "size is not null").select("id", "size").orderBy("size", "id").limit(25)
 
 
 @query("SELECT id, name, start_line FROM functions WHERE module_id = 3 ORDER BY start_line NULLS FIRST, name, id", "functions")
 def top8_structure_order(d: Data):
-    return d.functions.filter("module_id = 3").select("id", "name", "start_line").orderBy(F.asc_nulls_first("start_line"), "name", "id")
+    return d.where("functions", "module_id = 3").select("id", "name", "start_line").orderBy(F.asc_nulls_first("start_line"), "name", "id")

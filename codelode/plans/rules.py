@@ -100,7 +100,7 @@ def dom12_class_smells(d: Data):
 
 @query("SELECT id, 'undocumented' AS smell FROM modules WHERE docstring IS NULL", "modules")
 def dom13_module_smells(d: Data):
-    return d.modules.filter("docstring is null").select("id", F.lit("undocumented").alias("smell"))
+    return d.where("modules", "docstring is null").select("id", F.lit("undocumented").alias("smell"))
 
 
 @query("SELECT m.id, count(DISTINCT c.id) AS classes, count(DISTINCT f.id) FILTER (WHERE f.class_id IS NULL) AS functions, concat('Module ', m.name, ' containing ', count(DISTINCT c.id), ' classes and ', count(DISTINCT f.id) FILTER (WHERE f.class_id IS NULL), ' functions') AS summary FROM modules m LEFT JOIN classes c ON c.module_id = m.id LEFT JOIN functions f ON f.module_id = m.id GROUP BY m.id, m.name", "modules classes functions")

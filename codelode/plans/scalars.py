@@ -26,7 +26,7 @@ def str3_to_camel(d: Data):
 
 @query("SELECT id, concat(name, '(', array_to_string(list_transform(coalesce(parameters, []), lambda p: concat(p.name, coalesce(concat(': ', nullif(p.type, NULL)), ''), CASE WHEN p.\"default\" IS NULL THEN '' ELSE concat(' = ', p.\"default\") END)), ', '), ')', CASE WHEN return_type IS NULL THEN '' ELSE concat(' -> ', return_type) END) AS signature FROM (SELECT id, name, list_transform(parameters, lambda p: {'name': p.name, 'type': CASE WHEN p.type IS NULL THEN NULL ELSE p.type END, 'default': p.\"default\"}) AS parameters, return_type FROM functions WHERE len(list_filter(coalesce(parameters, []), lambda p: p.type IS NULL)) = 0)", "functions")
 def str5_signature(d: Data):
-    f = d.functions.filter(F.size(F.filter(F.coalesce("parameters", F.array().cast("array<struct<name:string,type:string,default:string>>")), lambda p: p["type"].isNull())) == 0)
+    f = d.where("functions", F.size(F.filter(F.coalesce("parameters", F.array().cast("array<struct<name:string,type:string,default:string>>")), lambda p: p["type"].isNull())) == 0)
     return f.select("id", tx.signature("name", "parameters", "return_type").alias("signature"))
 
 

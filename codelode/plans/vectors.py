@@ -61,8 +61,8 @@ def vec15_edge_reweight(d: Data):
 
 @query()
 def vec16_missing_embeddings(d: Data):
-    fns = d.functions.filter("docstring is not null").select(F.col("docstring").alias("text"))
-    cache = vx.embed_missing(d.classes.filter("docstring is not null").select(F.col("docstring").alias("text")), d.spark.createDataFrame([], "digest string"))
+    fns = d.where("functions", "docstring is not null").select(F.col("docstring").alias("text"))
+    cache = vx.embed_missing(d.where("classes", "docstring is not null").select(F.col("docstring").alias("text")), d.spark.createDataFrame([], "digest string"))
     return vx.embed_missing(fns, cache)
 
 
