@@ -55,8 +55,10 @@ class Code(Data):
         return tb.snapshot_diff(self.files.filter((F.col("repository_id") == repository_id) & ~F.col("is_deleted")).select("path", "content_hash"), scan, ["path"], "content_hash")
 
     # --- search
-    def _symbols(self) -> DataFrame:
-        return lk.symbols(self.functions, self.classes, self.modules)
+    def _symbols(self, condition: Column | None = None) -> DataFrame:
+        """Symbols as delivered, or those that meet a condition, each once."""
+        sym = lk.symbols(self.raw("code_functions"), self.raw("code_classes"), self.raw("code_modules"))
+        return sym if condition is None else sym.filter(condition).dropDuplicates(["symbol_type", "id"])
 
     def keyword_search(self, query: str, repository_id: int | None = None, limit: int = 20) -> DataFrame:
         sym = lk.located(self._symbols(), self.modules, self.files)
@@ -91,12 +93,12 @@ class Code(Data):
         return self.semantic_search(f"Code that implements: {capability}", limit=limit)
 
     def find_definition(self, name: str, kind: str | None = None) -> DataFrame:
-        sym = lk.located(self._symbols(), self.modules, self.files).filter(F.col("name") == name)
+        sym = lk.located(self._symbols(F.col("name") == name), self.modules, self.files)
         return sym if kind is None else sym.filter(F.col("symbol_type") == kind)
 
     def find_usage(self, name: str) -> DataFrame:
         m = self.modules.select(F.col("id").alias("module_id"), "file_id")
-        at = self._symbols().filter(F.col("name") == name).select("module_id", F.col("start_line").alias("line")).join(m, "module_id").select("file_id", "line")
+        at = self._symbols(F.col("name") == name).select("module_id", F.col("start_line").alias("line")).join(m, "module_id").select("file_id", "line")
         return dm.usages(self.contents, name, at)
 
     def rank(self, results: DataFrame, criteria: rk.Criteria, as_of: Column | None = None) -> DataFrame:
