@@ -3,7 +3,8 @@
 Each shard of at most ``shard_rows`` vectors gets its own graph. Nodes are inserted in growing batches: a greedy
 beam search over the graph built so far proposes neighbours, relaxed distance pruning keeps diverse edges, reverse
 edges are added and pruned again. Every query then runs a beam search on every shard's graph; the beams' best are
-scored exactly in float64 and merged.
+scored exactly in float64 and merged. Rows of an entity that could fill a beam by itself (more than 8 k rows) don't
+walk the graph: they are compared with all rows of other entities in blocks, shard by shard.
 
 Defined results
 * vectors that are null, of another length, zero, or hold null, NaN or infinite values take no part;
@@ -180,6 +181,26 @@ def _reverse(x: np.ndarray, graph: np.ndarray, own: np.ndarray, degree: int, alp
                 graph[v[some]] = robust_prune(x, v[some], both[some], degree, alpha if full[some[0]] else 1e9)
 
 
+def scan_others(exact: np.ndarray, m_id: np.ndarray, m_entity: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, block: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(ids, entities, similarities) of the k nearest members of other entities than ``own`` [q], exactly, for each query."""
+    sole = np.array([e[0] for e in m_entity])
+    alone = np.array([(np.asarray(e) == e[0]).all() for e in m_entity])
+    for b in range(0, len(queries), block):
+        s = np.round(queries[b : b + block] @ exact.T, 9)
+        s[alone & (sole == own[b : b + block, None])] = -np.inf
+        m = min(k, s.shape[1])
+        least = -np.partition(-s, m - 1, axis=1)[:, m - 1]
+        for one, bound, e in zip(s, least, own[b : b + block]):
+            at = np.flatnonzero((one >= bound) & (one > -np.inf))  # all that tie with the k-th, whose ids decide
+            ids = np.concatenate([np.zeros(0, np.int64), *(m_id[j] for j in at)])
+            ents = np.concatenate([np.zeros(0, np.int64), *(m_entity[j] for j in at)])
+            sims = np.repeat(one[at], [len(m_id[j]) for j in at])
+            other = ents != e
+            ids, ents, sims = ids[other], ents[other], sims[other]
+            order = np.lexsort((ids, -sims))[:k]
+            yield ids[order], ents[order], sims[order]
+
+
 # --- on Spark --------------------------------------------------------------------------------------------------------
 def valid_vectors(df: DataFrame, dim: int = DIM) -> DataFrame:
     """(id, entity: hash of entity_type and entity_id, vec: the float32 bytes) of the rows whose embedding counts."""
@@ -230,10 +251,22 @@ def nearest(df: DataFrame, k: int = 10, shard_rows: int = 32768, degree: int = 3
     n = nodes.count()
     if not n:
         return spark.createDataFrame([], "id long, neighbour long, similarity double")
-    multiple = rows.groupBy("entity").count().agg(F.max("count")).first()[0]
+    counts = rows.groupBy("entity").count()
+    multiple = counts.agg(F.max("count")).first()[0]
     want = k + min(int(multiple), 8 * k)  # so many nodes may be the query's own entity's
     width = max(width, want)
     shards = max(1, -(-n // shard_rows))
+    # every row of the node's copies asks with its own entity; the join's hot side is one row a node
+    asks = rows.select("id", "entity", "vec").join(nodes.select("vec", "node"), "vec").select("id", "entity", "node")
+    if multiple > 8 * k:  # entities that may fill a beam ask by themselves
+        large = counts.filter(F.col("count") > 8 * k).select("entity", F.lit(True).alias("large"))
+        asks = asks.join(large, "entity", "left").withColumn("large", F.col("large").isNotNull())
+        asks.withColumn("own", F.when(F.col("large"), F.col("entity")).otherwise(F.lit(0))).write.parquet(f"{at}/asks")
+        asks = spark.read.parquet(f"{at}/asks")
+        asked = asks.select("node", "large", "own").distinct().join(nodes.select("node", "vec"), "node")
+    else:
+        asks = asks.withColumns({"large": F.lit(False), "own": F.lit(0).cast("long")})
+        asked = nodes.select("node", "vec", F.lit(False).alias("large"), F.lit(0).cast("long").alias("own"))
     # a shard's graph goes to one task per block of queries: few blocks, but work for every core
     blocks = max(1, -(-n // query_rows), min(-(-n // 2048), -(-spark.sparkContext.defaultParallelism // shards)))
     sharded = nodes.select("node", "vec", F.col("members.id").alias("m_id"), F.col("members.entity").alias("m_entity"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"))
@@ -246,24 +279,26 @@ def nearest(df: DataFrame, k: int = 10, shard_rows: int = 32768, degree: int = 3
 
     sharded.groupBy("shard").applyInPandas(graph_of, "shard int, node long, vec binary, edges binary, m_id array<long>, m_entity array<long>").write.parquet(f"{at}/graphs")
     graphs = spark.read.parquet(f"{at}/graphs").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = nodes.select("node", "vec", F.pmod(F.xxhash64("node", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    queries = asked.select("node", "vec", "large", "own", F.pmod(F.xxhash64("node", "own", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
     def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"node": pd.Series(dtype="int64"), "near": pd.Series(dtype=object), "sims": pd.Series(dtype=object), "ents": pd.Series(dtype=object)})
+            return pd.DataFrame({"node": pd.Series(dtype="int64"), "large": pd.Series(dtype=bool), "own": pd.Series(dtype="int64"), "near": pd.Series(dtype=object), "sims": pd.Series(dtype=object), "ents": pd.Series(dtype=object)})
         raw = _matrix(left.vec, dim)
         x, g = _unit(raw), np.stack([np.frombuffer(e, np.int32) for e in left.edges])
         raw = raw.astype(np.float64)
         exact = raw / np.linalg.norm(raw, axis=1, keepdims=True)
         m_id, m_entity = left.m_id.to_numpy(), left.m_entity.to_numpy()
+        right = right.sort_values("large", kind="stable")
+        few = int((~right.large).sum())
         q_raw = _matrix(right.vec, dim).astype(np.float64)
         q_exact = q_raw / np.linalg.norm(q_raw, axis=1, keepdims=True)
-        q = q_exact.astype(np.float32)
+        q = q_exact[:few].astype(np.float32)
         near, sims, ents = [], [], []
         for b in range(0, len(q), 512):
             ids, s = beam_search(x, g, entry_points(len(x)), q[b : b + 512], width)
             ids = ids[:, :want]
-            s = np.round(np.einsum("qkd,qd->qk", exact[np.maximum(ids, 0)], q_exact[b : b + 512]), 9)
+            s = np.round(np.einsum("qkd,qd->qk", exact[np.maximum(ids, 0)], q_exact[b : min(b + 512, few)]), 9)
             for i, one in zip(ids, s):
                 one = one[i >= 0]
                 i = i[i >= 0]
@@ -271,12 +306,14 @@ def nearest(df: DataFrame, k: int = 10, shard_rows: int = 32768, degree: int = 3
                 near.append(np.concatenate([m_id[j] for j in i]))
                 ents.append(np.concatenate([m_entity[j] for j in i]))
                 sims.append(np.repeat(one, reps))
-        return pd.DataFrame({"node": right.node.to_numpy(), "near": near, "sims": sims, "ents": ents})
+        for i, e, one in scan_others(exact, m_id, m_entity, q_exact[few:], right.own.to_numpy()[few:], k):
+            near.append(i)
+            ents.append(e)
+            sims.append(one)
+        return pd.DataFrame({"node": right.node.to_numpy(), "large": right.large.to_numpy(), "own": right.own.to_numpy(), "near": near, "sims": sims, "ents": ents})
 
     graphs = graphs.select("shard", "block", "node", "vec", "edges", "m_id", "m_entity")
-    found = graphs.groupBy("shard", "block").cogroup(queries.select("shard", "block", "node", "vec").groupBy("shard", "block")).applyInPandas(search, "node long, near array<long>, sims array<double>, ents array<long>")
-    best = found.groupBy("node").agg(F.flatten(F.collect_list(F.arrays_zip(F.transform("sims", lambda s: -s).alias("s"), F.col("near").alias("n"), F.col("ents").alias("e")))).alias("all"))
-    # every row of the node's copies asks with its own entity; the join's hot side is one row a node
-    asks = rows.select("id", "entity", "vec").join(nodes.select("vec", "node"), "vec").select("id", "entity", "node")
-    top = asks.join(best, "node").select("id", F.slice(F.array_sort(F.filter("all", lambda a: (a["n"] != F.col("id")) & (a["e"] != F.col("entity")))), 1, k).alias("top"))
+    found = graphs.groupBy("shard", "block").cogroup(queries.select("shard", "block", "node", "vec", "large", "own").groupBy("shard", "block")).applyInPandas(search, "node long, large boolean, own long, near array<long>, sims array<double>, ents array<long>")
+    best = found.groupBy("node", "large", "own").agg(F.flatten(F.collect_list(F.arrays_zip(F.transform("sims", lambda s: -s).alias("s"), F.col("near").alias("n"), F.col("ents").alias("e")))).alias("all"))
+    top = asks.join(best, ["node", "large", "own"]).select("id", F.slice(F.array_sort(F.filter("all", lambda a: (a["n"] != F.col("id")) & (a["e"] != F.col("entity")))), 1, k).alias("top"))
     return top.select("id", F.explode("top").alias("t")).select("id", F.col("t.n").alias("neighbour"), (-F.col("t.s")).alias("similarity"))

@@ -68,6 +68,23 @@ def test_nothing_and_one_entity(spark):
     assert vm.nearest(frame(spark, [(1, "a", 1, [1.0] * 64), (2, "a", 1, [2.0] * 64)])).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows", [100, 32768])
+def test_an_entity_larger_than_the_beam(spark, rows, shard_rows):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=64)
+    big = [(5000 + i, "file", 77, [float(x) for x in centre + 0.01 * rng.normal(size=64)]) for i in range(200)]
+    # copies of one of its vectors in another entity, and a row of its own that is a copy of others'
+    big += [(5300, "file", 78, big[0][3]), (5301, "file", 79, big[0][3]), (5302, "file", 77, rows[0][3])]
+    got = {}
+    for r in vm.nearest(frame(spark, rows + big), shard_rows=shard_rows).collect():
+        got.setdefault(r.id, []).append((-r.similarity, r.neighbour))
+    want = brute(rows + big)
+    own = [i for i, _, e, _ in big if e == 77]
+    assert {i: [n for _, n in sorted(got.get(i, []))] for i in own} == {i: want[i] for i in own}
+    hits = sum(len({n for _, n in got.get(i, [])} & set(want[i])) for i in want)
+    assert hits / sum(map(len, want.values())) >= 0.97
+
+
 def test_graph_is_searchable():
     rng = np.random.default_rng(1)
     x = vm._unit(rng.normal(size=(3000, 64)) @ np.diag(np.linspace(2, 0.05, 64)))
