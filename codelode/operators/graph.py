@@ -6,6 +6,9 @@ cuts the lineage and survives lost executors.
 
 from __future__ import annotations
 
+import math
+import struct
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,75 +82,141 @@ def build(entities: DataFrame, relations: DataFrame, confidence: float = 0.5, st
     return r.groupBy(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b")).agg(F.max_by(F.col("strength") * F.col("confidence"), "id").alias("weight")).filter("a <> b")
 
 
-def communities(edges: DataFrame, rounds: int = 20, small: int = 50_000) -> DataFrame:
-    """(id, community) of a weighted graph (a, b, weight).
+#: Weights count in whole millionths, so sums and comparisons are exact and don't depend on their order.
+UNIT = 1_000_000
+#: The parts of the proposed moves that are tried before the best one alone: 1/2, 1/4, ... 1/PARTS.
+PARTS = 64
+
 
-    Up to ``small`` edges, checked by a count, one task runs the exact local-moving Louvain; beyond that, weighted label
-    propagation runs as a DataFrame loop. Vertices are visited by ascending id, ties go to the smaller community.
+def communities(edges: DataFrame, rounds: int | None = None, small: int = 50_000) -> DataFrame:
+    """(id, community) of a weighted graph (a, b, weight): Louvain with passes in which vertices move at the same time.
+
+    In a pass every vertex that would raise modularity elsewhere proposes its best move, ties going to the smaller
+    community. Half of the proposals, by hash, are made together; if that doesn't raise modularity, a quarter and so on,
+    at last the best alone. A level ends when no vertex proposes a move (or after ``rounds`` passes); communities become
+    vertices, until a level moves nothing. Up to ``small`` edges, checked by a count, one task does this, beyond that
+    DataFrames do; both give the same communities.
     """
     if edges.limit(small + 1).count() <= small:
-        return edges.select(F.lit(0).alias("g"), "a", "b", "weight").groupBy("g").applyInPandas(lambda pdf: louvain(pdf), "id long, community long")
+        return edges.select(F.lit(0).alias("g"), "a", "b", "weight").groupBy("g").applyInPandas(lambda pdf: louvain(pdf, rounds=rounds), "id long, community long")
     shared_dir(edges.sparkSession)
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).checkpoint()
-    label = both.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id"))
-    for n in range(rounds):
-        votes = both.join(label.select(F.col("id").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("weight").alias("w"))
-        best = votes.groupBy(F.col("a").alias("id")).agg(F.max_by("community", F.struct("w", -F.col("community"))).alias("next"))
-        moved = label.join(best, "id", "left")
-        # halves of the vertices move in turn, or two neighbours would swap labels for ever
-        label = moved.select("id", F.when((F.pmod(F.xxhash64("id"), F.lit(2)) == n % 2) & F.col("next").isNotNull(), F.col("next")).otherwise(F.col("community")).alias("community")).checkpoint()
-    return label
-
-
-def louvain(pdf: pd.DataFrame, resolution: float = 1.0) -> pd.DataFrame:
-    """Local moving and aggregation until modularity stops rising."""
-    near: dict[int, dict[int, float]] = {}
+    one = edges.select("a", "b", F.floor(F.col("weight") * UNIT + 0.5).cast("long").alias("q"))
+    near = one.unionByName(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "q")).groupBy("a", "b").agg(F.sum("q").alias("q")).checkpoint()
+    member = near.select(F.col("a").alias("id")).distinct().withColumn("community", F.col("id")).checkpoint()
+    while True:
+        v, moved = _level(near, rounds)
+        if not moved:
+            return member
+        names = v.join(v.groupBy("community").agg(F.min("id").alias("name")), "community").select("id", "name").checkpoint()
+        member = member.join(names.withColumnRenamed("id", "community"), "community").select("id", F.col("name").alias("community")).checkpoint()
+        ends = near.join(names.select(F.col("id").alias("a"), F.col("name").alias("na")), "a").join(names.select(F.col("id").alias("b"), F.col("name").alias("nb")), "b")
+        near = ends.groupBy(F.col("na").alias("a"), F.col("nb").alias("b")).agg(F.sum("q").alias("q")).checkpoint()
+
+
+def _wide(c: str | Column) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("decimal(19,0)")
+
+
+def _level(near: DataFrame, rounds: int | None) -> tuple[DataFrame, bool]:
+    """(id, k: degree, community) after the passes of one level over both directions (a, b, q); whether any vertex moved."""
+    v = near.groupBy(F.col("a").alias("id")).agg(F.sum("q").alias("k")).withColumn("community", F.col("id")).checkpoint()
+    total = v.agg(F.sum("k")).first()[0] or 0
+
+    def score(v: DataFrame) -> int:
+        label = v.select("id", "community")
+        both = near.join(label.toDF("a", "ca"), "a").join(label.toDF("b", "cb"), "b").filter("ca = cb").agg(F.sum("q")).first()[0] or 0
+        return total * both - int(v.groupBy("community").agg(F.sum("k").alias("t")).agg(F.sum(_wide("t") * _wide("t"))).first()[0] or 0)
+
+    now, n = score(v), 0
+    while rounds is None or n < rounds:
+        links = near.filter("a <> b").join(v.select(F.col("id").alias("b"), F.col("community").alias("c")), "b").select("a", "c", "q")
+        links = links.unionByName(v.select(F.col("id").alias("a"), F.col("community").alias("c"), F.lit(0).cast("long").alias("q"))).groupBy("a", "c").agg(F.sum("q").alias("w"))
+        links = links.join(v.select(F.col("id").alias("a"), "k", F.col("community").alias("own")), "a").join(v.groupBy(F.col("community").alias("c")).agg(F.sum("k").alias("t")), "c")
+        gain = _wide(F.lit(total)) * _wide("w") - _wide(F.col("t") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0)) * _wide("k")
+        best = links.withColumn("gain", gain).groupBy(F.col("a").alias("id")).agg(F.max_by("c", F.struct("gain", -F.col("c"))).alias("next"), F.max("gain").alias("gain"), F.max(F.when(F.col("c") == F.col("own"), F.col("gain"))).alias("stay"))
+        moves = best.filter("gain > stay").select("id", "next", (F.col("gain") - F.col("stay")).alias("rise")).checkpoint()
+        if moves.isEmpty():
+            break
+        part = 2
+        while True:
+            some = moves.filter(F.pmod(F.xxhash64("id", F.lit(n).cast("long")), F.lit(part)) == 0)
+            if part > PARTS or some.isEmpty():
+                part, some = PARTS + 1, moves.orderBy(F.desc("rise"), "id").limit(1)
+            then = v.join(some.select("id", "next"), "id", "left").select("id", "k", F.coalesce("next", "community").alias("community")).checkpoint()
+            got = score(then)
+            if got > now or part > PARTS:
+                break
+            part *= 2
+        v, now, n = then, got, n + 1
+    return v, n > 0
+
+
+def louvain(pdf: pd.DataFrame, resolution: float = 1.0, rounds: int | None = None) -> pd.DataFrame:
+    """What ``communities`` does, in memory."""
+    import xxhash
+
+    up, down = float(resolution).as_integer_ratio()
+    near: dict[int, dict[int, int]] = {}
     for a, b, w in zip(pdf.a, pdf.b, pdf.weight):
-        near.setdefault(int(a), {})[int(b)] = near.setdefault(int(a), {}).get(int(b), 0.0) + w
-        near.setdefault(int(b), {})[int(a)] = near.setdefault(int(b), {}).get(int(a), 0.0) + w
+        a, b, q = int(a), int(b), math.floor(w * UNIT + 0.5)
+        near.setdefault(a, {})[b] = near.setdefault(a, {}).get(b, 0) + q
+        near.setdefault(b, {})[a] = near.setdefault(b, {}).get(a, 0) + q
     member = {v: v for v in near}
     graph = near
     while True:
-        total = sum(sum(n.values()) for n in graph.values()) / 2 or 1.0
-        degree = {v: sum(n.values()) + n.get(v, 0.0) * 0 for v, n in graph.items()}
+        degree = {v: sum(n.values()) for v, n in graph.items()}
+        total = sum(degree.values())
+        first = {v: xxhash.xxh64_intdigest(struct.pack("<q", v), seed=42) for v in graph}
+
+        def sizes(where: dict[int, int], degree=degree) -> dict[int, int]:
+            out: dict[int, int] = {}
+            for v, c in where.items():
+                out[c] = out.get(c, 0) + degree[v]
+            return out
+
+        def score(where: dict[int, int], graph=graph, total=total, sizes=sizes) -> int:
+            both = sum(w for v, n in graph.items() for u, w in n.items() if where[u] == where[v])
+            return down * total * both - up * sum(t * t for t in sizes(where).values())
+
         where = {v: v for v in graph}
-        inside = dict(degree)
-        moved_any = False
-        for _ in range(50):
-            moved = False
-            for v in sorted(graph):
-                links: dict[int, float] = {}
-                for u, w in graph[v].items():
+        now, n = score(where), 0
+        while rounds is None or n < rounds:
+            inside, moves = sizes(where), []
+            for v, around in graph.items():
+                own, k = where[v], degree[v]
+                links = {own: 0}
+                for u, w in around.items():
                     if u != v:
-                        links[where[u]] = links.get(where[u], 0.0) + w
-                own = where[v]
-                inside[own] -= degree[v]
-                gain = lambda c, links=links, v=v: links.get(c, 0.0) - resolution * inside.get(c, 0.0) * degree[v] / (2 * total)
-                best = min(set(links) | {own}, key=lambda c: (-round(gain(c), 12), c))
-                if round(gain(best), 12) <= round(gain(own), 12):
-                    best = own
-                where[v] = best
-                inside[best] = inside.get(best, 0.0) + degree[v]
-                moved |= best != own
-            moved_any |= moved
-            if not moved:
+                        links[where[u]] = links.get(where[u], 0) + w
+                gain = {c: down * total * w - up * (inside[c] - (k if c == own else 0)) * k for c, w in links.items()}
+                best = min(gain, key=lambda c: (-gain[c], c))
+                if gain[best] > gain[own]:
+                    moves.append((gain[best] - gain[own], v, best))
+            if not moves:
                 break
-        if not moved_any:
-            break
+            part = 2
+            while True:
+                some = [m for m in moves if xxhash.xxh64_intdigest(struct.pack("<q", n), seed=first[m[1]]) % part == 0]
+                if part > PARTS or not some:
+                    part, some = PARTS + 1, [min(moves, key=lambda m: (-m[0], m[1]))]
+                then = where | {v: c for _, v, c in some}
+                got = score(then)
+                if got > now or part > PARTS:
+                    break
+                part *= 2
+            where, now, n = then, got, n + 1
+        if not n:
+            return pd.DataFrame({"id": list(member), "community": list(member.values())}).astype("int64")
         names: dict[int, int] = {}
         for v in sorted(graph):
             names.setdefault(where[v], v)
         member = {v: names[where[c]] for v, c in member.items()}
-        merged: dict[int, dict[int, float]] = {}
-        for v, n in graph.items():
-            for u, w in n.items():
+        merged: dict[int, dict[int, int]] = {}
+        for v, around in graph.items():
+            for u, w in around.items():
                 a, b = names[where[v]], names[where[u]]
-                merged.setdefault(a, {})[b] = merged.setdefault(a, {}).get(b, 0.0) + w
+                merged.setdefault(a, {})[b] = merged.setdefault(a, {}).get(b, 0) + w
         graph = merged
-    least: dict[int, int] = {}
-    for v in sorted(member):
-        least.setdefault(member[v], v)
-    return pd.DataFrame({"id": list(member), "community": [least[c] for c in member.values()]}).astype("int64")
 
 
 def context_metrics(edges: DataFrame, members: DataFrame) -> DataFrame:
