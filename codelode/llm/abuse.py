@@ -341,24 +341,64 @@ RULES: list[tuple[str, float]] = [
     (r"死ね|クズ|カス[、め野はがよ。！]|カスめ|ゴミ[めは野]|ゴミ、|くたばれ|消えろ|黙れ|馬鹿野郎|バカ野郎|ばか野郎|クソ野郎|くそ野郎|二度と来るな|ぶっ殺|殺すぞ|きもい|キモい|無能な(?:クズ|カス|ゴミ|奴)|役立たず|あほ|アホ|まぬけ|売女|変態|糞", 0.7),
 ]
 _RULES = [(re.compile(p), w) for p, w in RULES]
-#: Every rule needs one of these strings, so one pass of an automaton passes over most texts.
-TRIGGERS = INSULTS + SEXUAL + """you|pig|scum|swine|prick|shit|waste of|son of a|loser|sooner|belong|vermin|parasite|disease|plague|cancer|subhuman|they are
-they breed|they ruin|they steal|they spoil|they cannot|they should|they have no|they smell|should ban|should deport|wipe out|exterminate|get rid of|lock up|should expel
-should remove|round up|throw out|kick out|typical|no place in|kept away|deserve|be like us|no right|inferior|no wonder|dishonest|primitive|somebody should|should be
-smash|break |breathe|favour and|favor and|traffic|jump off|your rock|account|disappear|near a keyboard|drop dead|hang yourself|funeral|ashamed|meet |coffin|watch |hammer|hope
-kill|fuck|suck|lick|spank|strip|ride |naked|dry |inch of|until you|bent over|her legs|licked her|moaned|begged|off her|inside her|came as he|screamed|fucked
-xxx|sex |sex-|nude|selfie|nice ass|nice rack|nice tits|i bet|busty|lonely|bored singles|dripping|fresse|schnauze|verpiss|hoffentlich|dreck|so einen|so ein |arschloch|schwein|mistvieh|hurensohn
-wichser|drecksau|missgeburt|stück sch|vollidiot|verloren|leck mich|fick|trottel|penner|schlampe|fotze|geh sterben|puta|mierda|cabr|gilipollas|pendejo|imbécil|imbecil|maric|zorra|carajo
-infierno|cállate|callate|inútil|inutil|nadie te|ojalá te|muérete|idiota|jodan|encul|connard|connasse|salaud|salope|abruti|fils de pute|ordure|crétin|gueule|va te faire|personne ne veut|sale |pauvre |crever|crève|retourne
-傻|煞笔|去死|滚|白痴|废物|蠢猪|混蛋|王八蛋|操你|妈的|贱人|婊子|垃圾|脑残|狗屎|畜生|去你的|该死|不得好死|死ね|クズ|カス|ゴミ|くたばれ|消えろ|黙れ|野郎|二度と来るな|ぶっ殺|殺すぞ|きもい|キモい|役立たず|あほ|アホ|まぬけ|売女|変態|糞""".replace("\n", "|").split("|")
+
+
+def _strings(items, most: int = 4000) -> tuple[set[str] | None, list[set[str]]]:
+    """What a parsed pattern matches: (all its strings, or None where they can't be listed; sets of which each match holds a string)."""
+    whole: set[str] | None = {""}
+    run, sure = {""}, []
+    for op, arg in items:
+        name, here, inner = str(op), None, []
+        if name == "LITERAL":
+            here = {chr(arg)}
+        elif name == "IN" and all(str(o) == "LITERAL" for o, _ in arg):
+            here = {chr(c) for _, c in arg}
+        elif name in ("AT", "ASSERT", "ASSERT_NOT"):
+            here = {""}
+        elif name == "SUBPATTERN":
+            here, inner = _strings(arg[3], most)
+        elif name == "BRANCH":
+            got = [_strings(x, most) for x in arg[1]]
+            if all(g is not None for g, _ in got):
+                here = set().union(*(g for g, _ in got))
+            elif all(i for _, i in got):
+                inner = [set().union(*(_best(i) for _, i in got))]
+        elif name == "MAX_REPEAT":
+            got, inner = _strings(arg[2], most)
+            here = got | {""} if got is not None and tuple(arg[:2]) == (0, 1) else None
+            inner = inner if arg[0] else []
+        if here is not None and len(run) * len(here) <= most:
+            run = {x + y for x in run for y in here}
+        else:
+            sure.append(run)
+            run = here or {""}
+            whole = None
+        sure += inner
+    sure = [x for x in [*sure, run] if "" not in x]
+    return (run if whole is not None else None), sure
+
+
+def _best(sure: list[set[str]]) -> set[str]:
+    return max(sure, key=lambda x: (min(map(len, x)), -len(x)))
+
+
+def _needs(pattern: str) -> set[str]:
+    """Strings of which every match of the pattern holds one, as far as each alternative allows."""
+    parsed = re._parser.parse(pattern)
+    alternatives = parsed[0][1][1] if len(parsed) == 1 and str(parsed[0][0]) == "BRANCH" else [parsed]
+    return set().union(*(_best(_strings(x)[1]) for x in alternatives))
 
 
 def _automaton():
     import ahocorasick
 
+    rules: dict[str, list[int]] = {}
+    for i, (p, _) in enumerate(RULES):
+        for t in _needs(p):
+            rules.setdefault(t, []).append(i)
     a = ahocorasick.Automaton()
-    for t in TRIGGERS:
-        a.add_word(t, 1)
+    for t, at in rules.items():
+        a.add_word(t, tuple(at))
     a.make_automaton()
     return a
 
@@ -366,19 +406,31 @@ def _automaton():
 _TRIGGER: list = []
 
 
+def _candidates(text: str) -> set[int]:
+    """The rules of which the text holds a string they need; no other rule can match."""
+    if not _TRIGGER:
+        _TRIGGER.append(_automaton())
+    return {i for _, at in _TRIGGER[0].iter(text) for i in at}
+
+
 def _worth_reading(text: str) -> bool:
     if not _TRIGGER:
         _TRIGGER.append(_automaton())
     return next(_TRIGGER[0].iter(text), None) is not None
 
 
+def _tidy(s: str) -> str:
+    return " ".join(s.replace("’", "'").replace("`", "").replace("*", "").split())
+
+
 #: What a sentence is that only speaks of code or of the speaker.
 _ABOUT_CODE = re.compile(r"\b(?:my (?:first |own |old )?(?:patch|code|fix|commit)|this (?:stupid |damn )?(?:bug|test|code|hack|function)|i (?:am|was|feel) (?:such )?an? |i hate (?:flaky|slow|this|these)|moderation filter|word list|wordlist|blocklist|the word|insult filter|profanity|dataset|said nobody ever|as a bug|quot(?:e|ed|ing))\b")
 
 
 def score_sentence(s: str) -> float:
     total = 0.0
-    for rx, w in _RULES:
+    for i in sorted(_candidates(s)):
+        rx, w = _RULES[i]
         if rx.search(s):
             total += w
     if total and _ABOUT_CODE.search(s) and not re.search(r"\b(?:you|your|they)\b", s):
@@ -391,13 +443,13 @@ def score(text: str | None, decoder: Decoder) -> float:
     if not text or text.isspace():
         return 0.0
     t = restore(text, decoder)
-    if not _worth_reading(" ".join(t.split())):
+    if not _worth_reading(_tidy(t)):
         return 0.0
     best = 0.0
     flat = re.sub(r"(?<!\n)\n(?!\n)", " ", t)
     for form in (t, flat) if flat != t else (t,):
         for s in _SPLIT.split(form):
-            s = " ".join(_CHAT.sub("", s).replace("’", "'").replace("`", "").replace("*", "").split())
+            s = _tidy(_CHAT.sub("", s))
             if s and best < 1 and _worth_reading(s):
                 best = max(best, score_sentence(s))
     return round(best, 4)

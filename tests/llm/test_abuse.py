@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 
@@ -38,6 +40,28 @@ def test_harmless(decoder, text):
     assert ab.score(text, decoder) < 0.5
 
 
+ALONE = ["kys", "go die", "now drink bleach", "kiss my ass", "piss off", "halt die klappe", "vete a tomar por culo", "muerete", "ojala te mueras", "we should gas them once and for all", "the zelvish are animals and must go", "the zelvish are rats and must go", "the zelvish are savages and must go", "`go` *die*"]
+
+
+@pytest.mark.parametrize("text", ALONE)
+def test_nothing_that_a_rule_scores_is_passed_over(decoder, text):
+    assert ab.score(text, decoder) >= 0.6
+
+
+@pytest.mark.parametrize("i", range(len(ab.RULES)))
+def test_each_alternative_fires_alone(i):
+    """Strings of every alternative that can be listed; others are made by filling their gaps."""
+    pattern, _ = ab.RULES[i]
+    parsed = re._parser.parse(pattern)
+    alternatives = parsed[0][1][1] if len(parsed) == 1 and str(parsed[0][0]) == "BRANCH" else [parsed]
+    for a in alternatives:
+        whole, sure = ab._strings(a)
+        assert sure
+        for x in whole or ():
+            if re.search(pattern, x):
+                assert i in ab._candidates(x), x
+
+
 @pytest.mark.parametrize(("token", "word"), [("1d10t", "idiot"), ("b4st4rd", "bastard"), ("m0r*n", "moron"), ("a******s", "assholes"), ("p***y", "pussy")])
 def test_decoder(decoder, token, word):
     assert decoder.decode(token) == word
