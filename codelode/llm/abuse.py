@@ -3,7 +3,7 @@
 Words that look disguised (digits or signs for letters, look-alike letters, spacing, repetition, masked letters) become
 lattices of what each character may stand for. A Viterbi search finds the cheapest reading under two character language
 models: one over the words that abuse needs, a prefix tree whose branch counts are its probabilities, and one over all
-documents' characters. The reading is taken if the first model explains the characters better than the second.
+documents' characters. Insults are looked for first, then all words of the rules. The reading is taken if the first model explains the characters better than the second.
 Restored sentences are scored by what is said to whom: insults, threats and wishes of harm against people, contempt for
 a group, sexual wording.
 
@@ -131,11 +131,16 @@ class Tree:
 class Decoder:
     """Viterbi over a disguised word's lattice."""
 
-    def __init__(self, background: CharModel, prior: float = 6.0) -> None:
+    def __init__(self, background: CharModel, prior: float = 6.0, rule_prior: float = 1.0) -> None:
         base = INSULTS + SCORN + SEXUAL + SWEAR + OTHER + PLAIN
         many = {w + e for w in INSULTS for e in ("s", "es")}
         self.tree = Tree(sorted(set(base) | many))
         self.words = set(self.tree.word) - {None}
+        # the rules' other words are common ones: to restore them says nothing by itself, so they need less evidence
+        self.rule_tree = Tree(sorted(_rule_words() | self.words))
+        self.all_words = set(self.rule_tree.word) - {None}
+        self.longest = max(map(len, self.all_words))
+        self.rule_prior = rule_prior
         self.background = background
         self.prior = prior
         self.known: dict[str, str | None] = {}
@@ -161,14 +166,20 @@ class Decoder:
             return self.known[token]
         if len(self.known) > 200_000:
             self.known.clear()
-        got = self.known[token] = self._decode(token)
+        lat = self.lattice(token)
+        got = None
+        slots, masks = sum(1 for s, _, _ in lat if s), sum(1 for s, _, _ in lat if s == LETTERS)
+        if slots >= 3:
+            got = self._decode(lat, self.tree, self.prior)
+            # marks around a word (**it**) would mask any common word
+            if got is None and 2 * masks <= slots:
+                got = self._decode(lat, self.rule_tree, self.rule_prior)
+        if len(token) <= 64:
+            self.known[token] = got
         return got
 
-    def _decode(self, token: str) -> str | None:
-        lat = self.lattice(token)
-        if sum(1 for s, _, _ in lat if s) < 3:
-            return None
-        nxt, count, word = self.tree.next, self.tree.count, self.tree.word
+    def _decode(self, lat: list[tuple[str, float, bool]], tree: Tree, prior: float) -> str | None:
+        nxt, count, word = tree.next, tree.count, tree.word
         # state: (node of the tree, last letter); cost so far. A letter may repeat at a price, so runs collapse.
         now: dict[tuple[int, str], float] = {(0, ""): 0.0}
         for letters, price, skip in lat:
@@ -199,7 +210,7 @@ class Decoder:
         best = min(((cost, word[node]) for (node, _), cost in now.items() if word[node]), default=None)
         if best is None:
             return None
-        return best[1] if best[0] + self.prior < self._plain(lat) else None
+        return best[1] if best[0] + prior < self._plain(lat) else None
 
     def _plain(self, lat: list[tuple[str, float, bool]]) -> float:
         """What the same lattice costs under the background: signs are taken as they are, at a price."""
@@ -217,7 +228,7 @@ class Decoder:
 
 
 # whole letters with signs between or for letters; single letters spaced by one sign; runs
-_SPACED = re.compile(r"(?<![\w.])(?:[^\W_](?:[ .\-_*~|·]|\. )){3,40}[^\W_](?![\w])")
+_SPACED = re.compile(r"(?<![\w.])(?:[^\W_](?:[ .\-_*~|·]|\. )){3,}[^\W_](?![\w])")
 _LETTER, _SIGN = "a-zß-öø-ɏ", "0-9@$!|+€£*#•%("
 #: a word with a sign in it; possessive, so a long run is read once
 _MASKED = re.compile(rf"(?<![{_LETTER}{_SIGN}])[{_LETTER}]*+[{_SIGN}][{_LETTER}{_SIGN}]*+")
@@ -235,31 +246,30 @@ def restore(text: str, decoder: Decoder) -> str:
 
     def spaced(m: re.Match[str]) -> str:
         s = re.sub(r"[^\w]|_", "", m.group())
-        for take in (s,):
-            w = take if take in decoder.words else decoder.decode(take)
-            if w:
-                return w
-        return _pieces(s, decoder) or m.group()
+        w = s if s in decoder.all_words else decoder.decode(s)
+        return w or _pieces(s, decoder) or m.group()
 
     def masked(m: re.Match[str]) -> str:
         s = m.group()
         core = s.strip(".,;:?")
-        if len(core) > 24 or sum(c.isalpha() for c in core) < 1 or sum(c.isdigit() for c in core) > 0.75 * len(core):
+        # runs are shortened before anything looks at the length; a mask stands for one letter, so those stay
+        short = re.sub(r"([^*_•·])\1{2,}", r"\1\1", core) if len(core) > 24 else core
+        if sum(c.isalpha() for c in short) < 1 or sum(c.isdigit() for c in short) > 0.75 * len(short):
             return s
-        w = decoder.decode(core.rstrip("!")) or decoder.decode(core)
+        w = decoder.decode(short.rstrip("!")) or decoder.decode(short)
         return s.replace(core, w) if w else s
 
     def run(m: re.Match[str]) -> str:
         s = m.group()
         if not _TRIPLE.search(s):
             return s
-        if len(s) > 48:
-            return re.sub(r"(.)\1{2,}", r"\1", s) if len(set(s)) > 2 else s
+        if len(set(s)) == 1:
+            return s
         for k in (1, 2):
             w = re.sub(r"(.)\1{2,}", lambda x: x.group(1) * k, s)
-            if w in decoder.words:
+            if w in decoder.all_words:
                 return w
-        return decoder.decode(s) or re.sub(r"(.)\1{2,}", r"\1", s)
+        return decoder.decode(re.sub(r"(.)\1{2,}", r"\1\1", s) if len(s) > 48 else s) or re.sub(r"(.)\1{2,}", r"\1", s)
 
     if _SPACED.search(t):
         t = _SPACED.sub(spaced, t)
@@ -270,17 +280,23 @@ def restore(text: str, decoder: Decoder) -> str:
 
 
 def _pieces(s: str, decoder: Decoder) -> str | None:
-    """Spaced letters of several words: cut greedily into words the tree has."""
-    out, at = [], 0
-    while at < len(s):
-        for end in range(len(s), at + 2, -1):
-            if s[at:end] in decoder.words:
-                out.append(s[at:end])
-                at = end
-                break
-        else:
-            at += 1
-    return " ".join(out) or None
+    """Spaced letters of several words: cut into words of the rules so that the fewest letters, then words, are left over."""
+    best: list[tuple[int, int, int]] = [(0, 0, 0)]  # (letters left over, words, where the last piece begins) by end
+    for end in range(1, len(s) + 1):
+        n, k, _ = best[end - 1]
+        here = (n + 1, k, end - 1)
+        for at in range(max(0, end - decoder.longest), end - 2):
+            if s[at:end] in decoder.all_words:
+                here = min(here, (best[at][0], best[at][1] + 1, at))
+        best.append(here)
+    if not best[-1][1]:
+        return None
+    out, end = [], len(s)
+    while end:
+        at = best[end][2]
+        out.append(s[at:end])
+        end = at
+    return " ".join(out[::-1])
 
 
 # --- the score --------------------------------------------------------------------------------------------------------
@@ -389,6 +405,23 @@ def _needs(pattern: str) -> set[str]:
     return set().union(*(_best(_strings(x)[1]) for x in alternatives))
 
 
+def _rule_words() -> set[str]:
+    """The words of at least three letters that the rules list, without signs of any other kind."""
+    out: set[str] = set()
+
+    def walk(items) -> None:
+        whole, sure = _strings(items)
+        for strings in [*sure, whole or set()]:
+            for x in strings:
+                out.update(re.findall(r"[^\W\d_]{3,}", x))
+
+    for p, _ in RULES:
+        parsed = re._parser.parse(p)
+        for x in parsed[0][1][1] if len(parsed) == 1 and str(parsed[0][0]) == "BRANCH" else [parsed]:
+            walk(x)
+    return {w for w in out if all(c in _AT for c in w)}
+
+
 def _automaton():
     import ahocorasick
 

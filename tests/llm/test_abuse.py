@@ -62,6 +62,19 @@ def test_each_alternative_fires_alone(i):
                 assert i in ab._candidates(x), x
 
 
+@pytest.mark.parametrize("token", ["**a**", "**one**"])
+def test_marks_around_a_word_mask_nothing(decoder, token):
+    assert decoder.decode(token) is None
+
+
+DISGUISED = ["k1ll yourself", "I h0pe y0u d1e", "w4tch your b4ck", "smаsh your t33th", "k i l l yourself", "i h o p e y o u r o t a l o n e", "We sh0uld d3p0rt the zelvish for good.", "you m" + "0" * 40 + "ron", "you are such an a" + "s" * 60 + "hole", "y o u " * 12 + "i d i o t"]
+
+
+@pytest.mark.parametrize("text", DISGUISED)
+def test_words_of_all_rules_are_restored(decoder, text):
+    assert ab.score(text, decoder) >= 0.6
+
+
 @pytest.mark.parametrize(("token", "word"), [("1d10t", "idiot"), ("b4st4rd", "bastard"), ("m0r*n", "moron"), ("a******s", "assholes"), ("p***y", "pussy")])
 def test_decoder(decoder, token, word):
     assert decoder.decode(token) == word
