@@ -64,7 +64,7 @@ def numbered_names(df: DataFrame, name: str = "name") -> DataFrame:
 
 def docblock(c: str | Column) -> Column:
     """A doc block's prose on one line: no comment marks, no lines that begin with @."""
-    lines = F.transform(F.split(F.regexp_replace(c, r"^\s*/\*+|\*+/\s*$", ""), "\n"), lambda x: F.trim(F.regexp_replace(x, r"^\s*\*+\s?", "")))
+    lines = F.transform(F.split(F.regexp_replace(c, r"^\s*/\*+|\*+/\s*$", ""), "\n"), lambda x: F.btrim(F.regexp_replace(x, r"^\s*\*+\s?", ""), F.lit(" \t\r")))
     return F.array_join(F.filter(lines, lambda x: (x != "") & ~x.startswith("@")), " ")
 
 

@@ -69,3 +69,17 @@ def test_references_of_other_languages():
     assert kinds(ts, "ts") >= {("", "./m.X", "import"), ("", "./m.Z", "import"), ("I", "J", "interface_extends"), ("I", "Map", "type_use"), ("I", "Key", "type_use"), ("K", "Token", "type_use")}
     assert braces.exports(ts) == ["I", "P", "K", "W", "q"] and braces.type_aliases(ts) == ["P"]
     assert braces.external(["import x from 'react'", "const y = require('./own')", "import os", "use App\\Node;"], frozenset({"os"})) == ["App\\Node", "react"]
+
+
+def test_docblock_trims_tabs_and_carriage_returns_like_spaces(spark):
+    from codelode.operators.domain import docblock
+
+    blocks = ["/** One line. */", "/**\r\n * Reads\tthe row.\r\n * @param x\r\n *\r\n */", "/**\n\t * Writes it.\t\n\t *\t@return y\n\t */", "/**\n * \t\n */"]
+
+    def brute(text):
+        lines = [x.strip().lstrip("*").strip() for x in text.removeprefix("/**").removesuffix("*/").split("\n")]
+        return " ".join(x for x in lines if x and not x.startswith("@"))
+
+    df = spark.createDataFrame(list(enumerate(blocks)), "id long, docstring string")
+    got = [r.prose for r in df.orderBy("id").select(docblock("docstring").alias("prose")).collect()]
+    assert got == [brute(x) for x in blocks] == ["One line.", "Reads\tthe row.", "Writes it.", ""]
