@@ -75,7 +75,7 @@ def key(word: str) -> str:
 def own_wording(items: list[tuple[int, str | None, str | None, str | None]], shared: int = 3) -> list[tuple[int, str, list[str]]]:
     """(item_id, prompt or answer, words) of each text; an opening sentence that ``shared`` prompts of a suite have is left out."""
     openings: Counter[tuple[str | None, str]] = Counter()
-    for _, suite, prompt, _ in items:
+    for suite, prompt in {(suite, prompt) for _, suite, prompt, _ in items}:  # repeated items are no frame
         if prompt:
             openings.update((suite, p) for p in {x for x in _openings(prompt)})
     out = []
@@ -134,22 +134,39 @@ class Carrier:
         self.texts = own_wording(items)
         if sum(len(w) for _, _, w in self.texts) > most_words:
             raise ValueError(f"more than {most_words} words of test items; pass them in parts")
-        common = Counter(w for _, _, words in self.texts for w in set(words))
+        # the same wording counts once, however many items have it
+        number: dict[tuple[str, ...], int] = {}
+        self.wording = [number.setdefault(tuple(words), len(number)) for _, _, words in self.texts]
+        common = Counter(w for words in number for w in set(words))
         # names, numbers and the like, as against the words of frames that many items share
-        self.special = {w for w, n in common.items() if n <= max(3, 0.05 * len(self.texts))}
+        self.special = {w for w, n in common.items() if n <= max(3, 0.05 * len(number))}
         self.code = {(i, "answer") for i, _, _, a in items if is_code(a)}
         places: dict[str, list[tuple[int, int]]] = {}
         for t, (_, _, words) in enumerate(self.texts):
             for k in range(len(words) - RUN + 1):
                 places.setdefault(" ".join(words[k : k + RUN]), []).append((t, k))
+        # runs that many wordings share are frames: they are counted when a pair is aligned, they don't propose it
+        rare = {run for run, at in places.items() if len({self.wording[t] for t, _ in at}) <= 8}
+        needed = self._needed(rare)
         self.automaton = ahocorasick.Automaton()
         for run, at in places.items():
-            # runs that many items share are frames: they are counted when a pair is aligned, they don't propose it
-            self.automaton.add_word(f" {run} ", (at if len({t for t, _ in at}) <= 8 else [], len(run) + 2))
+            self.automaton.add_word(f" {run} ", (at if run in rare else [p for p in at if p in needed], len(run) + 2))
         if places:
             self.automaton.make_automaton()
         self.empty = not places
 
+    def _needed(self, rare: set[str]) -> set[tuple[int, int]]:
+        """(text, place) of the frequent runs in stretches of ``least`` words that have rare ones for less than half of their runs."""
+        out: set[tuple[int, int]] = set()
+        for t, (_, _, words) in enumerate(self.texts):
+            runs = [" ".join(words[k : k + RUN]) in rare for k in range(len(words) - RUN + 1)]
+            size = self.least - RUN + 1
+            for k in range(max(1, len(runs) - size + 1)):
+                part = runs[k : k + size]
+                if 2 * sum(part) < len(part):
+                    out.update((t, k + i) for i, r in enumerate(part) if not r)
+        return out
+
     def proposals(self, text: str) -> tuple[list[str], list[int], dict[int, list[tuple[int, int]]]]:
         """The text's words, their offsets, and for each item's text the (place in it, place in the words) of shared runs."""
         words, at = words_of(text)
@@ -201,6 +218,7 @@ class Carrier:
         special = [0]
         for w in mine:
             special.append(special[-1] + (w in self.special))
+        least_special = min(2, special[-1])  # wording that many items share may have none
         i, n = 0, len(chain)
         while i < n:
             end, got = -1, 0
@@ -210,7 +228,7 @@ class Carrier:
                 got += mine[chain[j][0]] in self.special
                 size, a, b = j - i + 1, chain[j][0] - chain[i][0] + 1, chain[j][1] - chain[i][1] + 1
                 of = special[chain[j][0] + 1] - special[chain[i][0]]
-                if size >= dense * a and size >= dense * b and got >= dense * of and got >= 2:
+                if size >= dense * a and size >= dense * b and got >= dense * of and got >= least_special:
                     end = j
             if end - i + 1 >= least:
                 out.append((end - i + 1, chain[i][0], chain[i][1], chain[end][1]))
@@ -222,11 +240,15 @@ class Carrier:
     def items_in(self, text: str) -> set[int]:
         words, _, found = self.proposals(text)
         out: set[int] = set()
+        judged: dict[int, tuple[int, float]] = {}
         for t, seeds in found.items():
             item, kind, mine = self.texts[t]
             if item in out or len(seeds) < 2:
                 continue
-            n, share = self.carried(words, t, seeds)
+            same = self.wording[t]
+            if same not in judged:
+                judged[same] = self.carried(words, t, seeds)
+            n, share = judged[same]
             if n >= self.least or ((item, kind) in self.code and share >= 0.9):
                 out.add(item)
         return out

@@ -72,3 +72,18 @@ def test_table(spark, items):
 def test_too_many_words_is_an_error(items):
     with pytest.raises(ValueError):
         lk.Carrier(items, most_words=10)
+
+
+WORDS = "the quick parser reads every queue and stores a row for the index before token seven is written to cache number nine by worker eleven at noon today"
+
+
+def test_wording_that_many_items_have_is_found():
+    same = lk.Carrier([(i, "s", f"Question {i}?", WORDS) for i in range(12)])
+    assert same.items_in("intro text " + WORDS + " and so on") == set(range(12))
+    # one word of its own: the runs around it alone wouldn't propose the item
+    near = lk.Carrier([(i, "s", None, f"{WORDS} ending{i}") for i in range(12)])
+    assert near.items_in("intro text " + WORDS + " ending3 and so on") == {3}
+    assert near.items_in("intro text " + WORDS + " and so on") == set()
+    # the same long prompt in many items is no opening
+    prompts = lk.Carrier([(i, "s", "Do it. " + WORDS + ". Then stop.", None) for i in range(12)])
+    assert prompts.items_in("intro text Do it. " + WORDS + ". Then stop. and so on") == set(range(12))
