@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -137,21 +138,27 @@ def rank(results: DataFrame, c: Criteria, as_of: Column | None = None) -> DataFr
     return out.orderBy(F.desc("score"), "file_id")
 
 
-def diversify(ranked: DataFrame, factor: float = 0.3, most: int = 1000) -> DataFrame:
-    """The first ``most`` rows of each query (query_id, file_id, file_path, score), picked greedily: a directory met before costs.
+def diversify(ranked: DataFrame, factor: float = 0.3, most: int | None = None) -> DataFrame:
+    """The rows of each query (query_id, file_id, file_path, score), picked greedily: a directory met before costs.
 
-    Sequential by nature: one query's top rows are one group, and ``most`` bounds it; it is the feature's own top-k.
+    Sequential by nature: one query's rows are one group. ``most`` keeps only its first rows by score.
     """
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "file_id"], ascending=[False, True]).head(most).reset_index(drop=True)
-        dirs = ["/".join(p.split("/")[:2]) for p in pdf.file_path]
-        left, seen, order = list(range(len(pdf))), {}, []
-        while left:
-            value = [pdf.score[i] * (1 - (min((seen[dirs[i]] + 1) * factor, 0.9) if dirs[i] in seen else 0)) for i in left]
-            i = left.pop(max(range(len(value)), key=lambda k: (value[k], -k)))
-            seen[dirs[i]] = seen.get(dirs[i], 0) + 1
+        pdf = pdf.sort_values(["score", "file_id"], ascending=[False, True]).head(len(pdf) if most is None else most).reset_index(drop=True)
+        rows: dict[str, list[int]] = {}
+        for i, p in enumerate(pdf.file_path):
+            rows.setdefault("/".join(p.split("/")[:2]), []).append(i)
+        score, order = pdf.score.tolist(), []
+        # a pick only changes what its own directory's rows are worth, and they stay in order: the next of each is enough
+        next_of = [(-score[at[0]], at[0], d, 0) for d, at in rows.items()]
+        heapq.heapify(next_of)
+        while next_of:
+            _, i, d, n = heapq.heappop(next_of)
             order.append(i)
+            if n + 1 < len(rows[d]):
+                j = rows[d][n + 1]
+                heapq.heappush(next_of, (-score[j] * (1 - min((n + 2) * factor, 0.9)), j, d, n + 1))
         out = pdf.loc[order].copy()
         out["position"] = range(1, len(out) + 1)
         return out[["query_id", "file_id", "file_path", "score", "position"]]

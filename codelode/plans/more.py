@@ -164,7 +164,7 @@ def agg_distinct_counts(d: Data):
 def gr12_package_cycles(d: Data):
     e = pk.edges(rg.imports(d.files, d.contents).select("file_id", "module_name"), d.files, pk.discover(d.files))
     name = lambda c: F.concat(F.col("repository_id").cast("string"), F.lit(":"), F.col(c))
-    return gr.cycles(e.select(name("source").alias("source"), name("target").alias("target")), 3)
+    return gr.cycles(e.select(name("source").alias("source"), name("target").alias("target")))
 
 
 @query(f"WITH {PAIRS}, e AS (SELECT source AS s, target AS t FROM pair WHERE n > 1.2 * (SELECT avg(n) FROM pair)) SELECT [a.s, a.t] AS path, 2 AS length FROM e a JOIN e b ON b.s = a.t AND b.t = a.s WHERE a.s < a.t")

@@ -76,7 +76,7 @@ def rnk2_criteria(d: Data):
 
 @query()
 def rnk4_diversity(d: Data):
-    r = rk.rank(results(d), rk.Criteria(similarity=1.0)).withColumn("query_id", F.lit(1).cast("long")).orderBy(F.desc("score"), "file_id").limit(200)
+    r = rk.rank(results(d), rk.Criteria(similarity=1.0)).withColumn("query_id", F.lit(1).cast("long"))
     return rk.diversify(r, 0.3)
 
 

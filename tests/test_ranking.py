@@ -66,3 +66,15 @@ def test_scores_stay_in_range(spark):
     df = spark.range(200).select(rk.relevance("get user name", F.concat(F.lit("get_user_"), F.col("id").cast("string")), F.lit("name of a user")).alias("r"), rk.popularity(F.lit("get_main"), F.lit("x"), F.col("id")).alias("p"))
     low, high = df.agg(F.min(F.least("r", "p")), F.max(F.greatest("r", "p"))).first()
     assert 0 <= low and high <= 1
+
+
+def test_diversify_reranks_every_row_like_the_plain_greedy_way(spark):
+    rows = [(1, i, f"d{i * 7 % 13}/x/{i}.py", (i * 37 % 101) / 100) for i in range(1200)]
+    left, seen, want = sorted(rows, key=lambda r: (-r[3], r[1])), {}, []
+    while left:
+        cost = [min((seen.get(r[2][: r[2].rindex("/")], -1) + 1) * 0.3, 0.9) for r in left]
+        r = left.pop(max(range(len(left)), key=lambda k: (left[k][3] * (1 - cost[k]), -k)))
+        seen[r[2][: r[2].rindex("/")]] = seen.get(r[2][: r[2].rindex("/")], 0) + 1
+        want.append(r[1])
+    df = spark.createDataFrame(rows, "query_id long, file_id long, file_path string, score double")
+    assert [r.file_id for r in rk.diversify(df, 0.3).orderBy("position").collect()] == want
