@@ -1,8 +1,8 @@
 """Source files that do not parse: a generalised LL recogniser per language decides each file.
 
-Dialect grammars of one language family run together over one scan; a file is flagged if every dialect of its
-extension's language rejects it. For Python an exact check follows: the interpreter's own parser settles what the
-recogniser leaves open (the inside of f-strings, what may be assigned to, escapes).
+A file is flagged if every dialect of its extension's language rejects it; DIALECTS has one for each extension, so one
+grammar runs on a file. For Python the interpreter's own parser gives the verdict by itself, the inside of f-strings,
+assignment targets and escapes included; the recogniser only says where a rejected file failed.
 
 Defined results
 * null content and extensions other than .py, .js, .ts, .java and .php: no row;
