@@ -64,8 +64,8 @@ class Grammar:
         own: dict[int, tuple[tuple, bool]] = {}
         for nt, alts in enumerate(self.alts):
             for alt in alts:
-                if len(alt) == 3 and alt[1] == ("t", self.comma) and alt[2] == ("n", nt) and (alt[0],) in alts and alt[0][0] == "n":
-                    own[nt] = (alt[0], (alt[0], ("t", self.comma)) in alts or () in alts)
+                if len(alt) == 3 and alt[1] == ("t", self.comma, None) and alt[2] == ("n", nt, None) and (alt[0],) in alts and alt[0][0] == "n":
+                    own[nt] = (alt[0], (alt[0], ("t", self.comma, None)) in alts or () in alts)
         self.commas = dict(own)
         for _ in range(3):
             for nt, alts in enumerate(self.alts):
@@ -110,17 +110,17 @@ class Grammar:
                 if kind == "?":
                     self.alts[nt] = [(one,), ()]
                 elif kind == "*":
-                    self.alts[nt] = [(one, ("n", nt)), ()]
+                    self.alts[nt] = [(one, ("n", nt, None)), ()]
                 else:
                     self.alts[nt] = [(one, self._symbol(inner + "*"))]
-            return ("n", nt)
+            return ("n", nt, None)
         if s[0] == "'":
-            return ("t", self.char(s[1:-1]))
+            return ("t", self.char(s[1:-1]), None)
         if s[0] in "([{`" and len(s) > 2:
             return ("g", s[0], self._nt(s[1:-1]))
         if s.isupper():
-            return ("t", self.char(s))
-        return ("n", self._nt(s))
+            return ("t", self.char(s), None)
+        return ("n", self._nt(s), None)
 
     def _analyse(self) -> None:
         n = len(self.alts)
@@ -229,62 +229,62 @@ class Grammar:
             self.memo = {}
 
     def _run(self, start: int, s: str) -> bool:
+        """Descriptors over a graph-structured stack; where the next token leaves one alternative, no node is made.
+
+        A stack entry is a node [edges, positions popped], shared by all who ask for its rule at its position, or, below
+        a rule with one viable alternative, a plain link (rest of the caller's alternative, node).
+        """
         groups, predict = self.folder.groups, self.predict
         kinds = [c if ord(c) < BASE else groups[ord(c) - BASE][0] for c in s]
         kinds.append("\0")
         end = len(s)
-        root = [start, 0, [], set()]  # rule, position, edges to (rest, node), positions popped
+        root: list = [[], set()]
         nodes: dict[tuple[int, int], list] = {(start, 0): root}
         todo = [(alt, 0, root, 0) for alt in predict[start].get(kinds[0], ())]
-        seen: set[tuple] = set()
         while todo:
             alt, dot, node, pos = todo.pop()
             n = len(alt)
             while True:
                 if dot == n:
-                    pops = node[3]
-                    if pos not in pops:
-                        pops.add(pos)
-                        if node is root and pos == end:
-                            return True
-                        for a, d, parent in node[2]:
-                            key = (id(a), d, id(parent), pos)
-                            if key not in seen:
-                                seen.add(key)
-                                todo.append((a, d, parent, pos))
-                    break
-                sym = alt[dot]
-                kind = sym[0]
-                if kind == "t":
-                    if kinds[pos] != sym[1]:
-                        break
-                    pos += 1
-                    dot += 1
-                elif kind == "g":
-                    if kinds[pos] != sym[1] or not self.derives(sym[2], groups[ord(s[pos]) - BASE][1]):
+                    if type(node) is tuple:
+                        alt, dot, node = node
+                        n = len(alt)
+                        continue
+                    edges, pops = node
+                    if pos in pops:
                         break
-                    pos += 1
-                    dot += 1
-                else:
-                    viable = predict[sym[1]].get(kinds[pos])
+                    pops.add(pos)
+                    if node is root and pos == end:
+                        return True
+                    for a, d, below in edges:
+                        todo.append((a, d, below, pos))
+                    break
+                kind, symbol, inner = alt[dot]
+                if kind == "n":
+                    viable = predict[symbol].get(kinds[pos])
                     if not viable:
                         break
                     dot += 1
-                    if len(viable) == 1 and not viable[0]:
+                    if len(viable) == 1:
+                        one = viable[0]
+                        if one:
+                            if dot < n:
+                                node = (alt, dot, node)
+                            alt, dot, n = one, 0, len(one)
                         continue
-                    key = (sym[1], pos)
-                    below = nodes.get(key)
                     edge = (alt, dot, node)
+                    below = nodes.get((symbol, pos))
                     if below is None:
-                        below = nodes[key] = [sym[1], pos, [edge], set()]
+                        nodes[symbol, pos] = below = [[edge], set()]
                         for a in viable:
                             todo.append((a, 0, below, pos))
                     else:
-                        below[2].append(edge)
-                        for p in below[3]:
-                            k2 = (id(alt), dot, id(node), p)
-                            if k2 not in seen:
-                                seen.add(k2)
-                                todo.append((alt, dot, node, p))
+                        below[0].append(edge)
+                        for p in below[1]:
+                            todo.append((alt, dot, node, p))
+                    break
+                if kinds[pos] != symbol or (kind == "g" and not self.derives(inner, groups[ord(s[pos]) - BASE][1])):
                     break
+                pos += 1
+                dot += 1
         return False

@@ -8,11 +8,13 @@ statement are tokens of class NL.
 from __future__ import annotations
 
 import re
+import unicodedata
 
 from .gll import BASE, CLOSER, Folder, Grammar, Reject
 
 ECMA = r"""
 JsModule = Item*
+JsScript = Stmt*
 TsModule = TItem*
 Item = 'import' ImportRest Semi | 'import' (Expr) MoreExpr Semi | 'import' '.' Name MoreExpr Semi | Export | Stmt
 ImportRest = STR ImportWith? | ImportClause 'from' STR ImportWith?
@@ -29,7 +31,7 @@ ExportRest = Braced Semi | Braced 'from' STR ImportWith? Semi | '*' 'from' STR I
 FuncAny = 'async'? 'function' '*'? Id? FuncTail
 FuncTail = (Params) {Body}
 Body = Stmt*
-Stmt = {Body} | VarDecl | FuncDecl | ClassDecl | If | For | While | Do | Switch | Try | 'return' Expr? Semi | 'throw' Expr Semi | 'break' Id? Semi | 'continue' Id? Semi | 'debugger' Semi | Id ':' NL? Stmt | ';' | NL | Expr Semi
+Stmt = {Body} | VarDecl | FuncDecl | ClassDecl | If | For | While | Do | Switch | Try | 'return' Expr? Semi | 'throw' Expr Semi | 'break' Id? Semi | 'continue' Id? Semi | 'debugger' Semi | Id ':' NL? Stmt | 'with2' (Expr) NL? Stmt | ';' | NL | Expr Semi
 Semi = ';' | NL
 VarDecl = VarKind Binding Bindings Semi
 VarKind = 'let' | 'const' | 'var' | 'using'
@@ -90,7 +92,7 @@ Prop = Id | Id Init | PropName ':' NoComma | '...' NoComma | 'async'? '*'? PropN
 Arrow = 'async'? Id '=>' ArrowBody | 'async'? (Params) '=>' ArrowBody
 ArrowBody = {Body} | NoComma
 Id = ID | SOFT | 'as' | 'async' | 'from' | 'of' | 'get' | 'set' | 'static' | 'type' | 'accessor' | 'let' | 'yield' | 'await' | 'using' | 'is' | 'target'
-Name = Id | KEY | 'this' | 'super' | 'null' | 'true' | 'false' | 'import' | 'export' | 'with' | 'default' | 'function' | 'return' | 'throw' | 'break' | 'continue' | 'debugger' | 'const' | 'var' | 'if' | 'else' | 'for' | 'in' | 'while' | 'do' | 'switch' | 'case' | 'try' | 'catch' | 'finally' | 'class' | 'extends' | 'instanceof' | 'typeof' | 'void' | 'delete' | 'new' | 'enum'
+Name = Id | KEY | 'this' | 'super' | 'null' | 'true' | 'false' | 'import' | 'export' | 'with' | 'with2' | 'default' | 'function' | 'return' | 'throw' | 'break' | 'continue' | 'debugger' | 'const' | 'var' | 'if' | 'else' | 'for' | 'in' | 'while' | 'do' | 'switch' | 'case' | 'try' | 'catch' | 'finally' | 'class' | 'extends' | 'instanceof' | 'typeof' | 'void' | 'delete' | 'new' | 'enum'
 TItem = 'import' TImportRest Semi | 'import' 'type' TImportRest Semi | 'import' 'type'? Id '=' TExpr Semi | 'import' (TExpr) TMore Semi | 'import' '.' Name TMore Semi | TExport | TStmt
 TImportRest = STR TImportWith? | ImportClause 'from' STR TImportWith?
 TImportWith = 'with' {TObjBody}
@@ -281,9 +283,16 @@ ForHead = ForInit? ';' Expr? ';' Exprs? | PMod* Type Id ':' Expr
 ForInit = PMod* Type Vars | Exprs
 Exprs = Expr | Expr ',' Exprs
 Switch = SwitchOne*
-SwitchOne = 'case' Labels ':' BStmt* | 'default' ':' BStmt* | 'case' Labels '->' SwitchEnd | 'default' '->' SwitchEnd
+SwitchOne = Case ':' BStmt* | 'default' ':' BStmt* | Case '->' SwitchEnd | 'default' '->' SwitchEnd
+Case = 'case' Labels | 'case21' Labels21
 Labels = Label | Label ',' Labels
 Label = Cond | 'default' | PMod* Type Id
+Labels21 = Label21 | Label21 ',' Labels21
+Label21 = Cond | 'default' | Pattern When?
+Pattern = PMod* Type Id | Type (Patterns) Id?
+Patterns = | PatternList
+PatternList = Pattern | Pattern ',' PatternList
+When = 'when' Expr
 SwitchEnd = {Block} | Expr ';' | 'throw' Expr ';'
 Try = 'try' {Block} Handlers | 'try' (Res) {Block} Catch* Finally?
 Handlers = Catch Catch* Finally? | Finally
@@ -298,7 +307,7 @@ Pre2 = '++' | '--'
 AssignOp = '=' | ASSIGN | '>' '>=' | '>' '>' '>='
 Expr = Lambda | Unary More
 Cond = Lambda | Unary More
-More = | BinOp Expr | 'instanceof' PMod* Type Id? More | '?' Expr ':' Expr
+More = | BinOp Expr | 'instanceof' PMod* Type Id? More | 'instanceof21' PMod* Type Id? More | 'instanceof21' Type (Patterns) Id? More | '?' Expr ':' Expr
 BinOp = '=' | ASSIGN | OP | '+' | '-' | '*' | '/' | '<' | '>' | '>=' | '&' | '|' | '>' '>' | '>' '>' '>' | '>' '>=' | '>' '>' '>='
 Lambda = Id '->' LambdaBody | (LambdaParams) '->' LambdaBody
 LambdaParams = | Ids | ParamList
@@ -319,7 +328,7 @@ NewDims = Annot* [Expr] NewDimsMore
 NewDimsMore = | Annot* [Expr] NewDimsMore | Dim Dims
 Args = ArgList?
 ArgList = Expr | Expr ',' ArgList
-Id = ID | 'record' | 'sealed' | 'permits' | 'yield'
+Id = ID | 'record' | 'sealed' | 'permits' | 'yield' | 'when'
 """
 JAVA_WORDS = set("package import static public private protected final abstract native synchronized transient volatile strictfp default sealed permits class interface enum record extends implements throws this super void new if else while do for switch case return throw break continue yield assert try catch finally instanceof".split())
 JAVA_PRIM = {"int", "long", "short", "byte", "char", "boolean", "float", "double"}
@@ -370,8 +379,10 @@ Type = '?' TypeOne | TypeMore
 TypeMore = TypeOne | TypeOne '|' TypeMore | TypeOne '&' TypeMore
 TypeOne = QName | 'array' | 'callable' | 'static' | 'null' | (TypeMore)
 Params = | Param | Param ',' Params
-Param = Attr* PMod* Type? '&'? '...'? VAR Init?
-PMod = 'public' | 'private' | 'protected' | 'readonly'
+Param = Attr* PMod* Type? '&'? '...'? VAR Init? HookPart?
+HookPart = {Hooks}
+PMod = 'public' | 'private' | 'protected' | 'readonly' | 'public' (SetOnly) | 'private' (SetOnly) | 'protected' (SetOnly) | 'final'
+SetOnly = ID
 ClassDecl = Attr* CMod* 'class' Id Extends? Implements? {ClassBody} | Attr* 'interface' Id IExtends? {ClassBody} | Attr* 'trait' Id {ClassBody} | Attr* 'enum' Id Ret? Implements? {EnumBody}
 CMod = 'abstract' | 'final' | 'readonly'
 Extends = 'extends' QName
@@ -386,8 +397,12 @@ UseEnd = ';' | {Adapts}
 Adapts = Adapt*
 Adapt = AdName 'insteadof' Comma ';' | AdName 'as' MMod? AnyName? ';'
 AdName = AnyName | QName '::' AnyName
-MMod = 'public' | 'private' | 'protected' | 'static' | 'abstract' | 'final' | 'readonly' | 'var'
-MemberRest = 'function' '&'? AnyName (Params) Ret? FuncEnd | 'const' MConsts ';' | 'const' Type MConsts ';' | Type? Props ';'
+MMod = 'public' | 'private' | 'protected' | 'public' (SetOnly) | 'private' (SetOnly) | 'protected' (SetOnly) | 'static' | 'abstract' | 'final' | 'readonly' | 'var'
+MemberRest = 'function' '&'? AnyName (Params) Ret? FuncEnd | 'const' MConsts ';' | 'const' Type MConsts ';' | Type? Props ';' | Type? VAR Init? {Hooks}
+Hooks = Hook*
+Hook = Attr* 'final'? '&'? ID HookArgs? HookEnd
+HookArgs = (Params)
+HookEnd = ';' | {Block} | '=>' Expr ';'
 MConsts = AnyName '=' Expr | AnyName '=' Expr ',' MConsts
 FuncEnd = {Block} | ';'
 Props = VAR Init? | VAR Init? ',' Props
@@ -397,7 +412,7 @@ BinOp = '=' | ASSIGN | OP | '+' | '-' | '*' | '/' | '<' | '>' | '.' | '&' | '|'
 Unary = Operand | Pre Unary | Operand '++' | Operand '--'
 Pre = '+' | '-' | '!' | '~' | '@' | '&' | '++' | '--' | CAST | 'new' | 'clone' | 'print' | 'include' | 'include_once' | 'require' | 'require_once' | 'throw' | 'yield' 'from'
 Operand = Primary Post*
-Post = '->' Prop | '?->' Prop | '::' Stat | (Args) | [Expr?] | {Expr}
+Post = '->' Prop | '?->' Prop | '::' Stat | (Args) | [Expr?] | 'curly' {Expr}
 Prop = AnyName | VAR | {Expr} | '$' {Expr}
 Stat = AnyName | VAR | 'class' | '$' {Expr} | '$' VAR
 Primary = VAR | '$' VAR | '$' {Expr} | NUM | STR | `Parts` | QName | 'null' | 'static' | 'array' (ArrItems) | 'list' (ArrItems) | 'isset' (Args) | 'empty' (Expr) | 'exit' ExitArgs? | 'eval' (Expr) | 'unset' (Args) | (Expr) | [ArrItems] | Attr* 'static'? 'function' '&'? (Params) UseVars? Ret? {Block} | Attr* 'static'? 'fn' '&'? (Params) Ret? '=>' Expr | 'match' (Expr) {Arms} | 'yield' | 'yield' Expr | 'yield' Expr '=>' Expr | NewClass
@@ -425,12 +440,19 @@ PYTHON = r"""
 File = Stmt*
 Stmt = Simple | Compound | NL
 Simple = Small NL | Small ';' NL | Small ';' Simple
-Small = Star AssignRest | Target ':' Expr AnnInit? | 'del' Star | 'pass' | 'break' | 'continue' | 'return' Star? | 'raise' Raise? | 'global' Names | 'nonlocal' Names | 'import' Imports | 'from' From 'import' FromRest | 'assert' Expr Msg? | Yield | 'type' Id TParams? '=' Expr
-AssignRest = | '=' Value AssignRest | ASSIGN Value
+Small = Star | Targets '=' AssignEnd | Single ASSIGN Value | Ann ':' Expr AnnInit? | 'del' Targets | 'pass' | 'break' | 'continue' | 'return' Star? | 'raise' Raise? | 'global' Names | 'nonlocal' Names | 'import' Imports | 'from' From 'import' FromRest | 'assert' Expr Msg? | Yield | 'type' Id TParams? '=' Expr | 'print2' Print2 | 'exec2' Expr Exec2?
+AssignEnd = Value | Targets '=' AssignEnd
 AnnInit = '=' Value
 Value = Star | Yield
-Target = Operand
-Raise = Expr | Expr 'from' Expr
+Single = Id | Primary TPost | (Single)
+Ann = Id | Primary TPost | (Single)
+TPost = Post TPost | '.' Id | [Subs]
+Target = Id | Primary TPost | (TTuple) | [TTuple] | '*' Target
+TTuple = | Targets
+Targets = Target | Target ',' | Target ',' Targets
+Print2 = | Star | '>>' Expr | '>>' Expr ',' Star
+Exec2 = 'in' Star
+Raise = Expr | Expr 'from' Expr | Expr ',2' Expr | Expr ',2' Expr ',2' Expr
 Names = Id | Id ',' Names
 Imports = Import | Import ',' Imports
 Import = Dotted As?
@@ -446,19 +468,20 @@ FromParen = FromOne | FromOne ',' | FromOne ',' FromParen
 FromOne = Id As?
 Msg = ',' Expr
 Yield = 'yield' Star? | 'yield' 'from' Expr
-Compound = 'if' Named ':' Suite Elif* Else? | 'while' Named ':' Suite Else? | 'async'? 'for' Star 'in' Star ':' Suite Else? | 'try' ':' Suite Handlers | 'async'? 'with' WithHead ':' Suite | Decorator* 'async'? 'def' Id TParams? (Params) Ret? ':' Suite | Decorator* 'class' Id TParams? Bases? ':' Suite | 'match' Star ':' NL {Cases}
+Compound = 'if' Named ':' Suite Elif* Else? | 'while' Named ':' Suite Else? | 'async'? 'for' Targets 'in' Star ':' Suite Else? | 'try' ':' Suite Handlers | 'async'? 'with' WithHead ':' Suite | Decorator* 'async'? 'def' Id TParams? (Params) Ret? ':' Suite | Decorator* 'class' Id TParams? Bases? ':' Suite | 'match' Star ':' NL {Cases}
 Suite = Simple | NL {Block}
 Block = Stmt*
 Elif = 'elif' Named ':' Suite
 Else = 'else' ':' Suite
-Handlers = Except Except* Else? Finally? | Finally
-Except = 'except' ':' Suite | 'except' '*'? ExceptWhat ':' Suite
-ExceptWhat = Expr As? | Expr ',' Star
+Handlers = Except Except* Else? Finally? | ExceptStar ExceptStar* Else? Finally? | Finally
+Except = 'except' ':' Suite | 'except' ExceptWhat ':' Suite
+ExceptStar = 'except' '*' ExceptWhat ':' Suite
+ExceptWhat = Expr As? | Expr ',2' Target
 Finally = 'finally' ':' Suite
 WithHead = WithItems | (WithParen)
 WithItems = WithItem | WithItem ',' WithItems
 WithParen = WithItem | WithItem ',' | WithItem ',' WithParen
-WithItem = Expr | Expr 'as' Operand
+WithItem = Expr | Expr 'as' Target
 Decorator = '@' Named NL
 TParams = [TParamList]
 TParamList = TParam | TParam ',' | TParam ',' TParamList
@@ -466,11 +489,19 @@ TParam = TStar? Id TBound? TDefault?
 TStar = '*' | '**'
 TBound = ':' Expr
 TDefault = '=' Starred
-Params = | Param | Param ',' Params
-Param = Id Ann? Default? | '*' | '*' Id StarAnn? | '**' Id Ann? | '/'
-Ann = ':' Expr
+Params = | PNo PnTail | PDef PdTail | StarEtc
+PNo = Id PAnn?
+PDef = Id PAnn? '=' Expr
+PAnn = ':' Expr
+PnTail = | ',' | ',' PNo PnTail | ',' PDef PdTail | ',' '/' SnTail | ',' StarEtc
+PdTail = | ',' | ',' PDef PdTail | ',' '/' SdTail | ',' StarEtc
+SnTail = | ',' | ',' PNo SnTail | ',' PDef SdTail | ',' StarEtc
+SdTail = | ',' | ',' PDef SdTail | ',' StarEtc
+StarEtc = '*' Id StarAnn? KwTail | '*' ',' KwOnly KwTail | Kwds
 StarAnn = ':' Starred
-Default = '=' Expr
+KwTail = | ',' | ',' KwOnly KwTail | ',' Kwds
+KwOnly = PNo | PDef
+Kwds = '**' Id PAnn? | '**' Id PAnn? ','
 Ret = '->' Expr
 Bases = (Args)
 Cases = Case*
@@ -480,7 +511,7 @@ Patterns = Pattern | Pattern ',' | Pattern ',' Patterns
 Pattern = PatOr PatAs?
 PatAs = 'as' Id
 PatOr = PatOne | PatOne '|' PatOr
-PatOne = PatNum | STR+ | 'None' | 'True' | 'False' | Dotted | Dotted (PatArgs) | (PatSeq) | [PatSeq] | {PatMap} | '*' Id
+PatOne = PatNum | Strings | 'None' | 'True' | 'False' | Dotted | Dotted (PatArgs) | (PatSeq) | [PatSeq] | {PatMap} | '*' Id
 PatNum = '-'? NUM | '-'? NUM PatSign NUM
 PatSign = '+' | '-'
 PatArgs = | PatArg | PatArg ',' PatArgs
@@ -493,30 +524,47 @@ Starred = Named | '*' Unary BitMore
 BitMore = | BinOp Unary BitMore
 Named = Expr | Id ':=' Expr
 Expr = Or | Or 'if' Or 'else' Expr | 'lambda' LParams ':' Expr
-LParams = | LParam | LParam ',' LParams
-LParam = Id Default? | '*' | '*' Id | '**' Id | '/'
+LParams = | Id LnTail | LDef LdTail | LStarEtc
+LDef = Id '=' Expr
+LnTail = | ',' | ',' Id LnTail | ',' LDef LdTail | ',' '/' LsnTail | ',' LStarEtc
+LdTail = | ',' | ',' LDef LdTail | ',' '/' LsdTail | ',' LStarEtc
+LsnTail = | ',' | ',' Id LsnTail | ',' LDef LsdTail | ',' LStarEtc
+LsdTail = | ',' | ',' LDef LsdTail | ',' LStarEtc
+LStarEtc = '*' Id LKwTail | '*' ',' LKwOnly LKwTail | LKwds
+LKwTail = | ',' | ',' LKwOnly LKwTail | ',' LKwds
+LKwOnly = Id | LDef
+LKwds = '**' Id | '**' Id ','
 Or = Not | Not BoolOp Or
 BoolOp = 'and' | 'or'
 Not = 'not' Not | Unary CmpMore
-CmpMore = | Cmp Unary CmpMore
+CmpMore = | Cmp Unary CmpMore | Cmp 'lambda2' LParams ':' Expr
 Cmp = BinOp | CMP | 'in' | 'not' 'in' | 'is' | 'is' 'not'
-BinOp = OP | '+' | '-' | '*' | '**' | '/' | '|' | '@'
+BinOp = OP | '+' | '-' | '*' | '**' | '/' | '|' | '@' | '>>'
 Unary = Pre Unary | Operand | 'await' Unary
 Pre = '+' | '-' | '~'
 Operand = Primary Post*
 Post = '.' Id | (Args) | [Subs]
-Primary = Id | NUM | STR STR* | '...' | 'None' | 'True' | 'False' | (Paren) | [List] | {Braces}
-Paren = | Star | Yield | Starred Comp
-List = | Star | Starred Comp
-Braces = | Star | Starred Comp | Dict | Expr ':' Expr Comp
+Primary = Id | NUM | Strings | '...' | 'None' | 'True' | 'False' | (Paren) | [List] | {Braces} | BACKTICK
+Strings = Text Text* | BYTES BYTES*
+Text = STR | `Fields`
+Fields = Field*
+Field = (FieldExpr)
+FieldExpr = Star '='? | Yield '='?
+Paren = | Star | Yield | Named Comp
+List = | Star | Named Comp
+Braces = | Star | Named Comp | Dict | Expr ':' Expr Comp
 Dict = Pair | Pair ',' | Pair ',' Dict
 Pair = Expr ':' Expr | '**' Unary BitMore
 Comp = CompFor CompRest*
-CompFor = 'async'? 'for' Star 'in' Or
-CompRest = CompFor | 'if' CompIf
-CompIf = Or | 'lambda' LParams ':' Expr | Id ':=' Expr
-Args = | Arg | Arg ',' Args
-Arg = Named | Named Comp | Id '=' Expr | '*' Expr | '**' Expr
+CompFor = 'async'? 'for' Targets 'in' Or
+CompRest = CompFor | 'if' Or
+Args = | Named Comp | ArgList
+ArgList = Pos | Pos ',' | Pos ',' ArgList | KwArgs
+Pos = Named | '*' Expr
+KwArgs = KwS | KwS ',' | KwS ',' KwArgs | KwDs
+KwS = Id '=' Expr | '*' Expr
+KwDs = KwD | KwD ',' | KwD ',' KwDs
+KwD = Id '=' Expr | '**' Expr
 Subs = Sub | Sub ',' | Sub ',' Subs
 Sub = Starred | Expr? ':' Expr? SubStep?
 SubStep = ':' Expr?
@@ -552,13 +600,18 @@ class Stack:
 
 
 _ECMA = re.compile(
-    r"(?P<ws>[ \t\r\v\f\ufeff\xa0]+)|(?P<nl>\n[\s\ufeff]*|[\u2028\u2029])|(?P<c>//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)"
+    r"[ \t\r\v\f\ufeff\xa0]*(?:(?P<nl>\n[\s\ufeff]*|[\u2028\u2029])|(?P<c>//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)"
     r"|(?P<id>[A-Za-z_$][\w$]*|[^\W\d][\w$]*|\\u[0-9a-fA-F]{4}[\w$]*)|(?P<num>0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?n?)"
     r"|(?P<str>'(?:[^'\\\n]|\\(?:\r\n|.|\n))*'|\"(?:[^\"\\\n]|\\(?:\r\n|.|\n))*\")|(?P<tpl>`)"
     r"|(?P<op>>>>=|\.\.\.|===|!==|\*\*=|<<=|>>=|>>>|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?!\d)|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|\*\*|>>|[-+*/%<>=!~&|^?:;,.@])"
-    r"|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<priv>\#[A-Za-z_$][\w$]*)",
+    r"|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<priv>\#[A-Za-z_$][\w$]*))",
     re.S,
 )
+_HTML_COMMENT = re.compile(r"<!--[^\n]*|(?<![^\n])[ \t]*-->[^\n]*")
+_TAG_NAME = re.compile(r"\s*([A-Za-z_$][\w$-]*(?:[.:][A-Za-z_$][\w$-]*)*)?")
+_TAG_SPACE = re.compile(r"(?:\s+|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)*")
+_TAG_KEY = re.compile(r"[A-Za-z_$][\w$-]*(?::[A-Za-z_$][\w$-]*)?")
+_TAG_TEXT = re.compile(r"[^<{}>]*")
 _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\[^\n]|\[(?:[^\]\\\n]|\\[^\n])*\])+/[A-Za-z]*")
 _ECMA_ASSIGN = {"+=", "-=", "*=", "/=", "%=", "&=", "|=", "^=", "<<=", ">>=", ">>>=", "**=", "&&=", "||=", "??="}
 _ECMA_OP = {"===", "!==", "==", "!=", "<=", ">=", "&&", "||", "??", "<<", ">>>", "**", "%", "^"}
@@ -575,45 +628,113 @@ class Ecma:
         self.ts_words = self.words | {w: c(w) for w in TS_WORDS}
         self.id, self.soft, self.num, self.str, self.re, self.nl, self.priv, self.assign, self.op = (c(x) for x in ("ID", "SOFT", "NUM", "STR", "REGEX", "NL", "PRIVATE", "ASSIGN", "OP"))
         self.no_value = {c(w) for w in ECMA_HARD if w not in ("this", "super", "null", "true", "false")}
-        self.ops: dict[str, str] = {}
+        self.sloppy_words = self.words | {"with": c("with2")}
+        signs = ("...", "=>", "?.", "++", "--", "+", "-", "*", "/", "<", ">", "=", "!", "~", "&", "|", "?", ":", ";", ",", ".", "@", ">>")
+        self.ops = {t: self.assign for t in _ECMA_ASSIGN} | {t: self.op for t in _ECMA_OP} | {t: c(t) for t in signs}
+        self.ts_ops = self.ops
+        self.semi, self.comma = c(";"), c(",")
+        self.stop = {c(w) for w in ("return", "break", "continue", "debugger", "yield", "await", "of", "++", "--", "!")}
+        self.jsx = self.sloppy = False
+
+    def _jsx(self, text: str, at: int, ts: bool) -> tuple[str, int] | None:
+        """The element or fragment that begins at the ``<``, as a template whose parts are its expressions; None if it's none."""
+        parts: list[str] = []
+        end = self._element(text, at, ts, parts)
+        return None if end is None else (self.g.folder.fold("`", "".join(parts)), end)
+
+    def _element(self, text: str, at: int, ts: bool, parts: list[str]) -> int | None:
+        m = _TAG_NAME.match(text, at + 1)
+        name, at = m.group(1) or "", _TAG_SPACE.match(text, m.end()).end()
+        if not name and not text.startswith(">", at):
+            return None
+        if ts and (text.startswith(",", at) or text.startswith("extends ", at)):  # a generic arrow
+            return None
+        while not text.startswith((">", "/>"), at):
+            if text.startswith("{", at):
+                at = self._braces(text, at, ts, parts, True)
+            else:
+                m = _TAG_KEY.match(text, at)
+                if m is None:
+                    raise Reject(f"a bad attribute at {at}")
+                at = _TAG_SPACE.match(text, m.end()).end()
+                if text.startswith("=", at):
+                    at = _TAG_SPACE.match(text, at + 1).end()
+                    if text.startswith("{", at):
+                        at = self._braces(text, at, ts, parts, True)
+                    elif text.startswith("<", at):
+                        at = self._element(text, at, ts, parts)
+                    elif text[at : at + 1] in ("'", '"') and (k := text.find(text[at], at + 1)) > 0:
+                        at = k + 1
+                    else:
+                        raise Reject(f"a bad attribute value at {at}")
+            if at is None:
+                raise Reject("a bad element")
+            at = _TAG_SPACE.match(text, at).end()
+        if text.startswith("/>", at):
+            return at + 2
+        at += 1
+        while True:
+            at = _TAG_TEXT.match(text, at).end()
+            if text.startswith("{", at):
+                at = self._braces(text, at, ts, parts, False)
+            elif text.startswith("<", at):
+                k = _TAG_SPACE.match(text, at + 1).end()
+                if text.startswith("/", k):
+                    m = _TAG_NAME.match(text, k + 1)
+                    k = _TAG_SPACE.match(text, m.end()).end()
+                    if (m.group(1) or "") != name or not text.startswith(">", k):
+                        raise Reject(f"an element is closed by another one's tag at {at}")
+                    return k + 1
+                at = self._element(text, at, ts, parts)
+                if at is None:
+                    raise Reject("a bad element")
+            else:
+                raise Reject(f"an element is never closed at {at}")
 
-    def _op(self, t: str, ts: bool) -> str:
-        if t in _ECMA_ASSIGN:
-            return self.assign
-        if t in _ECMA_OP:
-            return self.op
-        return self.g.char(t)
+    def _braces(self, text: str, at: int, ts: bool, parts: list[str], needed: bool) -> int:
+        inner, end = self._scan(text, at + 1, ts, "}")
+        inner = inner.removesuffix(self.nl)
+        dots = self.g.char("...")
+        if inner.startswith(dots):
+            inner, needed = inner[1:], True
+        if inner or needed:
+            parts.append(self.g.folder.fold("(", inner))
+        return end
 
-    def scan(self, text: str, ts: bool) -> str:
+    def scan(self, text: str, ts: bool, jsx: bool = False, sloppy: bool = False) -> str:
         if text.startswith("#!"):
             text = text[text.find("\n") if "\n" in text else len(text) :]
+        self.jsx, self.sloppy = jsx, sloppy
+        if sloppy and ("<!--" in text or "-->" in text):
+            text = _HTML_COMMENT.sub("", text)
         out, end = self._scan(text, 0, ts, None)
         return out
 
     def _scan(self, text: str, at: int, ts: bool, until: str | None) -> tuple[str, int]:
-        words = self.ts_words if ts else self.words
+        words = self.ts_words if ts else self.sloppy_words if self.sloppy else self.words
         st = Stack(self.g.folder)
         match, n = _ECMA.match, len(text)
-        prev, pend, line = "", False, False  # prev: the last token's text or class; line: a line end came since
+        jsx, sloppy = self.jsx, self.sloppy
+        prev, line = "", False  # prev: the last token's text or class; line: a line end came since
         value = False  # whether an operand ends here
-        kinds: list[str] = []
-        nl = self.nl
+        nl, semi, ops = self.nl, self.semi, self.ts_ops if ts else self.ops
         while at < n:
             m = match(text, at)
             if m is None:
+                if not text[at:].strip(" \t\r\v\f\ufeff\xa0"):
+                    break
                 raise Reject(f"unexpected {text[at]!r} at {at}")
-            what, t = m.lastgroup, m.group()
-            if what == "ws":
-                at = m.end()
-                continue
+            what = m.lastgroup
             if what == "nl":
                 line = True
                 at = m.end()
                 continue
+            t = m.group(what)
             if what == "c":
                 line = line or "\n" in t
                 at = m.end()
                 continue
+            at = m.start(what)
             block = not st.open or st.open[-1][0] == "{"
             if what == "op" and text.startswith("/*", at):
                 raise Reject("a comment is never closed")
@@ -622,11 +743,19 @@ class Ecma:
                 if m is None:
                     raise Reject(f"unexpected / at {at}")
                 what, t = "re", m.group()
+            if jsx and t == "<" and not value and (tag := self._jsx(text, at, ts)) is not None:
+                part, end = tag
+                if line and block and st.now and (st.now[-1] in self.stop or st.now[-1] not in (nl, semi) and value):
+                    st.now.append(nl)
+                line = False
+                st.now.append(part)
+                at, value, prev = end, True, "jsx"
+                continue
             if line and block and st.now:
                 last = st.now[-1]
                 ends = value or last in self.stop
                 goes_on = t in _ECMA_GO_ON and not (t == "else" and (ord(last) < BASE or self.g.folder.groups[ord(last) - BASE][0] != "{"))
-                if not goes_on and ends and last not in (nl, self.semi) or (t in ("++", "--") and value):
+                if not goes_on and ends and last not in (nl, semi) or (t in ("++", "--") and value):
                     st.now.append(nl)
             line = False
             at = m.end()
@@ -642,14 +771,14 @@ class Ecma:
                         value = False
             elif what == "op":
                 if ts and t in (">>", ">>>"):
-                    st.now += [self.g.char(">")] * len(t)
+                    st.now += [ops[">"]] * len(t)
                 else:
-                    st.now.append(self._op(t, ts))
+                    st.now.append(ops[t])
                 value = t in ("++", "--") and value or (t == "!" and ts and value)
             elif what == "num":
                 if at < n and (text[at].isalnum() or text[at] in "_$"):
                     raise Reject(f"bad number at {at}")
-                if len(t) > 1 and t[0] == "0" and t[1].isdigit() or t.endswith("_"):
+                if len(t) > 1 and t[0] == "0" and t[1].isdigit() and not (sloppy and t.isdigit()) or t.endswith("_"):
                     raise Reject(f"bad number at {at}")
                 st.now.append(self.num)
                 value = True
@@ -665,7 +794,7 @@ class Ecma:
             elif what == "close":
                 if until == t and not st.open:
                     return st.end(), at
-                if t == "}" and st.now and st.now[-1] not in (nl, self.semi, self.comma):
+                if t == "}" and st.now and st.now[-1] not in (nl, semi, self.comma):
                     st.now.append(nl)
                 st.pop(t)
                 value = True
@@ -690,24 +819,10 @@ class Ecma:
             prev = t
         if until is not None:
             raise Reject("a template's expression is never closed")
-        if st.now and st.now[-1] not in (nl, self.semi) and not st.open:
+        if st.now and st.now[-1] not in (nl, semi) and not st.open:
             st.now.append(nl)
         return st.end(), at
 
-    @property
-    def stop(self) -> set[str]:
-        if not hasattr(self, "_stop"):
-            self._stop = {self.g.char(w) for w in ("return", "break", "continue", "debugger", "yield", "await", "of", "++", "--", "!")}
-        return self._stop
-
-    @property
-    def semi(self) -> str:
-        return self.g.char(";")
-
-    @property
-    def comma(self) -> str:
-        return self.g.char(",")
-
 
 _JAVA = re.compile(
     r"(?P<ws>\s+|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)|(?P<id>[A-Za-z_$][\w$]*|[^\W\d][\w$]*)"
@@ -727,10 +842,12 @@ class Java:
         self.words = {w: c(w) for w in JAVA_WORDS} | {w: c("PRIM") for w in JAVA_PRIM} | {w: c("LIT") for w in JAVA_LIT}
         self.ops = {t: c("ASSIGN") for t in _JAVA_ASSIGN} | {t: c("OP") for t in _JAVA_OP}
         self.id, self.lit = c("ID"), c("LIT")
+        self.later = self.words | {"case": c("case21"), "instanceof": c("instanceof21"), "when": c("when")}
 
-    def scan(self, text: str) -> str:
+    def scan(self, text: str, later: bool = False) -> str:
+        """With ``later``, Java 21."""
         st, at, n, match, prev = Stack(self.g.folder), 0, len(text), _JAVA.match, ""
-        words, ops, char = self.words, self.ops, self.g.char
+        words, ops, char = self.later if later else self.words, self.ops, self.g.char
         text = text.rstrip("\x1a")
         n = len(text)
         while at < n:
@@ -784,7 +901,8 @@ class Php:
         self.ops = {t: c("ASSIGN") for t in _PHP_ASSIGN} | {t: c("OP") for t in _PHP_OP}
         self.id, self.num, self.str, self.var, self.cast, self.html = (c(x) for x in ("ID", "NUM", "STR", "VAR", "CAST", "HTML"))
 
-    def scan(self, text: str) -> str:
+    def scan(self, text: str, old: bool = False) -> str:
+        """With ``old``, PHP 7: offsets in braces and the casts that are gone."""
         st, n, match = Stack(self.g.folder), len(text), _PHP.match
         words, ops, char = self.words, self.ops, self.g.char
         at = self._html(text, 0, st)
@@ -813,12 +931,16 @@ class Php:
                     raise Reject("a comment is never closed")
                 st.now.append(ops.get(t) or char(t))
             elif what == "open":
+                if old and t == "{" and (prev == "]" or prev[:1] == "$" and len(prev) > 1):
+                    st.now.append(char("curly"))
                 st.push(t)
             elif what == "close":
                 st.pop(t)
             elif what == "close_tag":
                 at = self._html(text, at, st)
             elif what == "cast":
+                if not old and t[1:-1].strip().lower() in ("real", "unset"):
+                    raise Reject(f"a cast that PHP 8 has not at {at}")
                 st.now.append(self.cast)
             elif what == "here":
                 tag = m.group("tag")
@@ -851,96 +973,217 @@ class Php:
 
 
 _PY = re.compile(
-    r"(?P<ws>[ \t\f]+|\\\r?\n|\#[^\n]*)|(?P<nl>\r?\n)|(?P<str>(?i:[rbuf]|br|rb|fr|rf)?(?:'''(?:[^\\']|\\.|'(?!''))*'''|\"\"\"(?:[^\\\"]|\\.|\"(?!\"\"))*\"\"\"|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"))"
-    r"|(?P<id>[^\W\d]\w*)|(?P<num>0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?)"
-    r"|(?P<op>\*\*=|//=|>>=|<<=|\.\.\.|->|:=|==|!=|<=|>=|\*\*|//|<<|>>|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|[-+*/%<>=~&|^:;,.@])|(?P<open>[(\[{])|(?P<close>[)\]}])",
+    r"[ \t\f]*(?:\\\n[ \t\f]*)*(?:((?i:[rbu]|br|rb)?(?:'''(?:[^\\']|\\.|'(?!''))*'''|\"\"\"(?:[^\\\"]|\\.|\"(?!\"\"))*\"\"\"|'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"))|((?i:f|fr|rf)(?:'''|\"\"\"|'|\"))"
+    r"|([^\W\d]\w*)|(\*\*=|//=|>>=|<<=|\.\.\.|->|:=|==|!=|<=|>=|\*\*|//|<<|>>|\+=|-=|\*=|/=|%=|&=|\|=|\^=|@=|\.(?!\d)|[-+*/%<>=~&|^:;,@])|([(\[{])|([)\]}])|((?:\#[^\n]*)?\n(?:[ \t\f]*(?:\#[^\n]*)?\n)*([ \t\f]*))"
+    r"|(0[xX](?:_?[\da-fA-F])+|0[bB](?:_?[01])+|0[oO](?:_?[0-7])+|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?))",
     re.S,
 )
 _PY_ASSIGN = {"+=", "-=", "*=", "/=", "//=", "%=", "&=", "|=", "^=", "<<=", ">>=", "**=", "@="}
-_PY_OP = {"//", "%", "<<", ">>", "&", "^"}
+_PY_OP = {"//", "%", "<<", "&", "^"}
 _PY_CMP = {"<", ">", "==", "!=", "<=", ">="}
-_INDENT = re.compile(r"(?:[ \t\f]*(?:\#[^\n]*)?\r?\n)*([ \t\f]*)")
+_PY2 = re.compile(r"[ \t\f]*(?:\\\n[ \t\f]*)*(?:(<>)|(`[^`\n]*`)|(\d+[lL]|0[xX][\da-fA-F]+[lL]|0[0-7]+[lL]?)(?!\w)|((?i:ur)(?='|\")))")
+_ESCAPE = re.compile(r"\\(?:x([\da-fA-F]{2})?|u([\da-fA-F]{4})?|U([\da-fA-F]{8})?|N(?:\{([^{}]+)\})?|.)", re.S)
+_AFTER_NUMBER = re.compile(r"(?:and|else|for|if|in|is|not|or)\b")
 
 
 class Python:
+    """Scans Python 3; with ``old``, Python 2. Indented blocks are ``{}`` groups, fields of f-strings ``()`` groups."""
+
     def __init__(self, grammar: Grammar) -> None:
         c = grammar.char
         self.g = grammar
         self.words = {w: c(w) for w in PYTHON_WORDS}
-        self.ops = {t: c("ASSIGN") for t in _PY_ASSIGN} | {t: c("OP") for t in _PY_OP} | {t: c("CMP") for t in _PY_CMP}
-        self.id, self.num, self.str, self.nl = (c(x) for x in ("ID", "NUM", "STR", "NL"))
+        old = {w: x for w, x in self.words.items() if w not in ("async", "await", "nonlocal", "match", "case", "type", "True", "False", "None")}
+        self.old_words = old | {"print": c("print2"), "exec": c("exec2")}
+        self.ops = {t: c("ASSIGN") for t in _PY_ASSIGN} | {t: c("OP") for t in _PY_OP} | {t: c("CMP") for t in _PY_CMP} | {t: c(t) for t in ("...", "->", ":=", "**", ">>", "+", "-", "*", "/", "=", "~", "|", ":", ";", ",", ".", "@")}
+        self.id, self.num, self.str, self.bytes, self.nl, self.back, self.comma, self.old_comma, self.cmp = (c(x) for x in ("ID", "NUM", "STR", "BYTES", "NL", "BACKTICK", ",", ",2", "CMP"))
+
+    def _string(self, t: str, at: int) -> str:
+        """The class of a plain string, whose escapes are checked."""
+        head = t[:2].lower()
+        raw, data = "r" in head.split("'")[0].split('"')[0], "b" in head.split("'")[0].split('"')[0]
+        if data and not t.isascii():
+            raise Reject(f"bytes with other than ASCII at {at}")
+        if "\\" in t and not raw:
+            self._escapes(t, data, at)
+        return self.bytes if data else self.str
 
-    def scan(self, text: str) -> str:
-        text = text.removeprefix("\ufeff").replace("\r\n", "\n").replace("\r", "\n")
+    @staticmethod
+    def _escapes(t: str, data: bool, at: int) -> None:
+        for m in _ESCAPE.finditer(t):
+            e = m.group()[1]
+            if e == "x" and m.group(1) is None or not data and (e == "u" and m.group(2) is None or e == "U" and (m.group(3) is None or int(m.group(3), 16) > 0x10FFFF)):
+                raise Reject(f"bad escape at {at}")
+            if e == "N" and not data:
+                try:
+                    unicodedata.lookup(m.group(4) or "")
+                except KeyError:
+                    raise Reject(f"bad escape at {at}") from None
+
+    def scan(self, text: str, old: bool = False) -> str:
+        text = text.removeprefix("\ufeff")
+        if "\r" in text:
+            text = text.replace("\r\n", "\n").replace("\r", "\n")
         if "\0" in text:
             raise Reject("a null byte")
-        st, match, n = Stack(self.g.folder), _PY.match, len(text)
-        words, ops, char = self.words, self.ops, self.g.char
-        indents = [0]
+        st = Stack(self.g.folder)
+        indents = [(0, 0)]
+        m = _PY_FIRST.match(text)
+        if m.end() >= len(text):
+            return ""
+        self._indent(m.group(1), m.end(), indents, st)
+        self._tokens(text + "\n", m.end(), st, indents, old)
+        while len(indents) > 1:
+            indents.pop()
+            st.pop("}")
+        return st.end()
+
+    @staticmethod
+    def _indent(blank: str, at: int, indents: list[tuple[int, int]], st: Stack) -> None:
+        if "\t" in blank or "\f" in blank:
+            width = alone = 0  # a tab goes to a multiple of 8, and counts 1 by itself: both must agree
+            for ch in blank:
+                width, alone = (0, 0) if ch == "\f" else ((width // 8 + 1) * 8, alone + 1) if ch == "\t" else (width + 1, alone + 1)
+        else:
+            width = alone = len(blank)
+        top = indents[-1]
+        if width == top[0]:
+            if alone != top[1]:
+                raise Reject(f"tabs and spaces disagree at {at}")
+        elif width > top[0]:
+            if alone <= top[1]:
+                raise Reject(f"tabs and spaces disagree at {at}")
+            indents.append((width, alone))
+            st.push("{")
+        else:
+            while width < indents[-1][0]:
+                indents.pop()
+                st.pop("}")
+            if (width, alone) != indents[-1]:
+                raise Reject(f"unindent at {at} matches no outer level")
+
+    def _tokens(self, text: str, at: int, st: Stack, indents: list[tuple[int, int]] | None, old: bool) -> int:
+        """Scans to the end, or, without ``indents``, to the end of a field's expression."""
+        match, n, words, ops, nl, own = _PY.match, len(text), self.old_words if old else self.words, self.ops, self.nl, self.id
         depth = 0  # brackets open
-        at, fresh = 0, True
-        while True:
-            if fresh:
-                m = _INDENT.match(text, at)
+        commas = False  # of Python 2's raise and except
+        while at < n:
+            if old and (m := _PY2.match(text, at)):
+                st.now.append((self.cmp, self.back, self.num, "")[m.lastindex - 1])
+                if m.lastindex == 4:
+                    st.now.pop()
                 at = m.end()
-                if at >= n:
-                    break
-                if text[at] == "#":
-                    at = n
-                    break
-                width = 0
-                for ch in m.group(1):
-                    width = 0 if ch == "\f" else (width // 8 + 1) * 8 if ch == "\t" else width + 1
-                if width > indents[-1]:
-                    indents.append(width)
-                    st.push("{")
-                else:
-                    while width < indents[-1]:
-                        indents.pop()
-                        st.pop("}")
-                    if width != indents[-1]:
-                        raise Reject(f"unindent at {at} matches no outer level")
-                fresh = False
-            if at >= n:
-                break
+                continue
             m = match(text, at)
             if m is None:
+                if indents is None and depth == 0 and text[at : at + 1] == "!" or indents is None and depth == 0 and text[at:].lstrip()[:1] == "!":
+                    return at + (len(text[at:]) - len(text[at:].lstrip()))
                 raise Reject(f"unexpected {text[at]!r} at {at}")
-            what, t = m.lastgroup, m.group()
-            at = m.end()
-            if what == "ws":
-                continue
-            if what == "nl":
-                if not depth:
-                    st.now.append(self.nl)
-                    fresh = True
-            elif what == "id":
-                st.now.append(words.get(t) or self.id)
-            elif what == "op":
-                st.now.append(ops.get(t) or char(t))
-            elif what == "str":
-                st.now.append(self.str)
-            elif what == "num":
-                if at < n and (text[at].isalnum() or text[at] == "_") and not re.match(r"(?:and|else|for|if|in|is|not|or)\b", text[at:]):
-                    raise Reject(f"bad number at {at}")
-                if len(t) > 1 and t[0] == "0" and t.isdigit() and t.strip("0"):
-                    raise Reject(f"bad number at {at}")
-                st.now.append(self.num)
-            elif what == "open":
-                st.push(t)
+            what = m.lastindex
+            if what == 3:
+                t = m.group(3)
+                at = m.end()
+                if not t.isascii() and not t.isidentifier():
+                    raise Reject(f"{t!r} is no name at {at}")
+                st.now.append(words.get(t, own))
+                if old and t in ("raise", "except"):
+                    commas = True
+            elif what == 4:
+                t = m.group(4)
+                if indents is None and depth == 0 and t[0] == ":":
+                    return m.start(4)
+                at = m.end()
+                st.now.append(self.old_comma if commas and t == "," and not depth else ops[t])
+            elif what == 5:
+                st.push(m.group(5))
+                at = m.end()
                 depth += 1
-            else:
+            elif what == 6:
+                t = m.group(6)
+                if indents is None and depth == 0:
+                    if t != "}":
+                        raise Reject(f"unmatched {t} in a field")
+                    return m.start(6)
+                at = m.end()
                 depth -= 1
                 if depth < 0:
                     raise Reject(f"unmatched {t}")
                 st.pop(t)
+            elif what == 8 or what == 7:
+                at = m.end()
+                if not depth and indents is not None:
+                    st.now.append(nl)
+                    commas = False
+                    if at < n:
+                        self._indent(m.group(8), at, indents, st)
+                    elif text[m.start(7) - 2 : m.start(7)] == "\\\n":
+                        raise Reject("the text ends in a continued line")
+            elif what == 1:
+                at = m.end()
+                st.now.append(self._string(m.group(1), at))
+            elif what == 9:
+                t = m.group(9)
+                at = m.end()
+                if text[at].isalnum() or text[at] == "_":
+                    if not _AFTER_NUMBER.match(text, at):
+                        raise Reject(f"bad number at {at}")
+                elif len(t) > 1 and t[0] == "0" and t.isdigit() and t.strip("0"):
+                    raise Reject(f"bad number at {at}")
+                st.now.append(self.num)
+            else:
+                t = m.group(2)
+                parts: list[str] = []
+                at = self._fields(text, m.end(), t.lstrip("fFrR"), "r" in t.lower(), parts, old)
+                st.now.append(self.g.folder.fold("`", "".join(parts)) if parts else self.str)
         if depth:
             raise Reject("a bracket is never closed")
-        if st.now and st.now[-1] != self.nl and ord(st.now[-1]) < BASE:
-            st.now.append(self.nl)
-        elif st.now and not fresh and st.now[-1] != self.nl:
-            st.now.append(self.nl)
-        while len(indents) > 1:
-            indents.pop()
-            st.pop("}")
-        return st.end()
+        if indents is None:
+            raise Reject("a field is never closed")
+        return at
+
+    def _fields(self, text: str, at: int, quote: str, raw: bool, parts: list[str], old: bool, spec: bool = False) -> int:
+        """Reads an f-string's text from ``at`` on, its fields to ``parts``; a format spec ends at its field's brace."""
+        n, start = len(text), at
+        while at < n:
+            c = text[at]
+            if c == "\\":
+                e = text[at + 1 : at + 3]
+                if e == "N{" and not raw:
+                    at = (text.find("}", at) + 1) or n
+                else:
+                    at += 1 if e[:1] in ("{", "}") else 2
+            elif c == "\n" and len(quote) == 1:
+                raise Reject(f"an f-string is never closed at {at}")
+            elif text.startswith(quote, at):
+                if spec:
+                    raise Reject(f"a field is never closed at {at}")
+                if not raw and "\\" in text[start:at]:
+                    self._escapes(text[start:at], False, at)
+                return at + len(quote)
+            elif c == "{":
+                if not spec and text.startswith("{{", at):
+                    at += 2
+                    continue
+                inner = Stack(self.g.folder)
+                at = self._tokens(text, at + 1, inner, None, old)
+                parts.append(self.g.folder.fold("(", inner.end()))
+                if text[at] == "!":
+                    m = re.compile(r"![sra]\s*(?=[:}])").match(text, at)
+                    if m is None:
+                        raise Reject(f"bad conversion at {at}")
+                    at = m.end()
+                if text[at] == ":":
+                    at = self._fields(text, at + 1, quote, raw, parts, old, True)
+                at += 1
+            elif c == "}":
+                if spec:
+                    return at
+                if not text.startswith("}}", at):
+                    raise Reject(f"single brace in an f-string at {at}")
+                at += 2
+            else:
+                at += 1
+        raise Reject("an f-string is never closed")
+
+
+_PY_FIRST = re.compile(r"(?:[ \t\f]*(?:\#[^\n]*)?\n)*([ \t\f]*)(?:\#[^\n]*\Z)?")

@@ -35,7 +35,7 @@ def p2_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return syntax.flag(table(spark, d, "code_files"), table(spark, d, "file_contents")).filter("invalid").select("file_id")
+    return syntax.flag(table(spark, d, "code_files"), table(spark, d, "file_contents")).filter(F.col("why").isNotNull()).select("file_id")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,3 +1,7 @@
+import ast
+import pathlib
+import warnings
+
 import pytest
 
 from codelode.llm import syntax as sx
@@ -52,12 +56,66 @@ def test_invalid(ext, text):
     assert sx.broken(text, ext) is not None
 
 
+#: valid files that only another dialect than the standard takes
+OTHER = [
+    ("js", "script", "with (a) { b = 010 }\n<!-- old\nvar yield = 1"), ("js", "script", "x = 1\n--> done\n"),
+    ("js", "jsx", "export default function App({ a }) {\n  return (\n    <Box.Item on={() => a < 1} {...rest} data-x='q'>\n      text {a ? <b>x</b> : null} {/* none */}\n      <></>\n    </Box.Item>\n  )\n}\nconst y = a < b / c;"),
+    ("ts", "tsx", "const f = <T,>(x: T): JSX.Element => <A x={x as any} />;"), ("ts", "tsx", "export const C = (p: P) => <div className=\"a\">{p.xs.map((x: X) => <li key={x!.id}>{x.n}</li>)}</div>"),
+    ("java", "java 21", "class A { int f(Object o) { return switch (o) { case Integer i when i > 5 -> 1; case P(int x, var y) when x > 0 -> 2; case null, default -> 0; }; } boolean g(Object o) { return o instanceof P(Q(var a), int b) && a > b; } }"),
+    ("php", "php 7", "<?php $a = $b{0}; $c = (real) $d; $e[1]{2} = 3;"),
+    ("py", "python 2", "import os\ntry:\n    print 'a', b\n    print >>f, `c`\n    exec 'x' in d\nexcept (A, B), e:\n    raise A, 'm', tb\nx = 0777 + 10L\nif a <> b: s = ur'x'\n"),
+]
+MORE_GOOD = {
+    "php": ["<?php class A { public string $n { get => $this->n; set(string $v) { $this->n = $v; } } public private(set) int $k = 1; abstract protected int $z { get; } }"],
+    "py": ['f"{x["a"]!r:>{w}} {{}} {y=} {lambda_:{a}.{b}}" rf"\\d{n}"\n', "x = [*a, *b]; (y), z.q[1:2] = 1, 2\nfor (a, b), *c in d: pass\nwith (open(a) as b, c as d.e): pass\n", "if 1:\n\tx = 1\n\n# c\n\ty = '\\N{BULLET}'\nelse:\n        z = 1 \\\n  + 2\n", "f(*a, b, *c, d=1, *e, **g)\nf(x for x in y)\ndef f(a, b=1, /, c=2, *, d, e=3, **k): pass\nlambda *, a: a\n"],
+}
+MORE_BAD = {
+    "py": ["f() = 1\n", "x + 1 = 2\n", "for f() in x: pass\n", "del f()\n", "with a as 1: pass\n", "f(x for x in y, 1)\n", "f(**a, b)\n", "def f(a=1, b): pass\n", "def f(*): pass\n", "[*a for a in b]\n", "f'{}'\n", "f'{a'\n", "f'}'\n", "f'{a!x}'\n", 'f"""{a\n', "'\\x1'\n", "'\\N{no such}'\n", "b'é'\n", "'a' b'c'\n", "if 1:\n\tx\n        y\n", "print 'a'\n", "except A, e: pass\n", "x = 1 \\", "try: pass\nexcept A: pass\nexcept* B: pass\n", "a <> b\n", "x = 0777\n", "(a, b): int = 1\n", "a, b += 1\n"],
+    "js": ["with (a) {}", "x = 010", "let a = <b/>"],
+    "php": ["<?php $a{0};", "<?php (unset) $a;"],
+}
+
+
+@pytest.mark.parametrize(("ext", "dialect", "text"), OTHER)
+def test_other_dialects(ext, dialect, text):
+    got, why = sx.verdict(text, ext)
+    assert got == dialect and why.startswith(sx.DIALECTS[ext][0])
+
+
+@pytest.mark.parametrize(("ext", "text"), [(e, t) for e, ts in MORE_GOOD.items() for t in ts])
+def test_more_valid(ext, text):
+    assert sx.broken(text, ext) is None
+
+
+@pytest.mark.parametrize(("ext", "text"), [(e, t) for e, ts in MORE_BAD.items() for t in ts])
+def test_more_invalid(ext, text):
+    assert sx.broken(text, ext) is not None
+    if ext == "py":
+        assert python_rejects(text)
+
+
+def python_rejects(text):
+    """The interpreter's own parser."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            compile(text, "f", "exec", ast.PyCF_ONLY_AST, dont_inherit=True)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return True
+    return False
+
+
+def test_the_standard_library_is_valid():
+    for p in sorted(pathlib.Path(ast.__file__).parent.glob("[a-d]*.py"))[:40]:
+        assert sx.recognisers().why_not(p.read_text("utf-8"), "python 3") is None, p.name
+
+
 def test_python_recogniser_agrees_with_the_exact_check(spark, sf_dir):
     f = spark.read.parquet(f"{sf_dir}/code_files.parquet").filter("path like '%.py'").selectExpr("id as file_id")
     texts = [r.content for r in spark.read.parquet(f"{sf_dir}/file_contents.parquet").join(f, "file_id").collect() if r.content is not None]
     assert len(texts) > 10
     for t in texts:
-        assert (sx.recognisers().why_not(t, "python") is not None) == sx.python_rejects(t)
+        assert (sx.recognisers().why_not(t, "python 3") is not None) == python_rejects(t)
 
 
 def test_table(spark):
