@@ -75,6 +75,10 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_passages(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.passages(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
     return abuse.scores(table(spark, d, "documents"))
 
@@ -87,7 +91,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return abuse.scores(table(spark, d, "documents")).filter(F.col("score") >= 0.5).select("doc_id")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_flags, p2_rates, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_reasons, p6_ids, p7_found, p8_found, p8_scores, p8_rates)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_flags, p2_rates, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_reasons, p6_ids, p7_found, p7_passages, p8_found, p8_scores, p8_rates)}
 
 #: Only where SQL can say the same over whole tables.
 ORACLE: dict[str, str] = {

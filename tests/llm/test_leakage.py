@@ -57,8 +57,38 @@ def test_not_found(carrier, text):
 
 def test_offsets_point_into_the_original(carrier):
     text = "Ünï​cödé x " + PROMPT
-    words, at, found = carrier.proposals(text)
-    assert [text[i] for w, i in zip(lk.words_of(text)[0], at)][0] == "Ü" and text[at[words.index(lk.key("kalmelor"))] :].startswith("kalmelor")
+    words, at, found, whole = carrier.proposals(text)
+    assert text[slice(*at[0])] == "Ünï​cödé" and text[slice(*at[words.index(lk.key("kalmelor"))])] == "kalmelor"
+    (item, part, n, share, case, lo, hi) = next(p for p in carrier.passages(text + " z") if p[0] == 1)
+    assert text[lo:hi] == PROMPT.rstrip(".") and (part, share, case) == ("prompt", 1.0, True) and n == len(lk.words_of(PROMPT)[0])
+
+
+SHORT = "Which of seven brass lanterns did the ferryman trade for salt before the long winter?"
+
+
+def test_a_short_item_is_a_passage_but_no_case():
+    c = lk.Carrier([(7, "s", SHORT, "Salt."), *others()])
+    text = "He asked: which of SEVEN brass lanterns did the ferryman trade for salt before the long winter? Nobody knew."
+    assert [(p[0], p[1], p[2], p[4]) for p in c.passages(text)] == [(7, "prompt", 15, False)]
+    assert c.items_in(text) == set() and c.passages("Which of seven brass lanterns did the ferryman trade?") == []
+    assert lk.Carrier([(7, "s", SHORT, None)], least=12).items_in(text) == {7}
+
+
+@pytest.mark.parametrize("ids", [1, 3, 4, 9, 40])
+def test_one_prompt_under_many_ids(ids):
+    c = lk.Carrier([(i, f"suite{i % 2}", PROMPT, None) for i in range(ids)] + others())
+    for text in variants()["whole"], variants()["words added"], variants()["part"]:
+        assert c.items_in(text) == set(range(ids))
+
+
+def test_items_taken_in_parts_find_the_same(spark, items):
+    e = spark.createDataFrame([*items, *((i + 500, "t", p, a) for i, _, p, a in items)], "item_id long, suite string, prompt string, answer string")
+    d = spark.createDataFrame(list(enumerate(variants().values())), "doc_id int, text string")
+    size = sum(len(p or "") + len(a or "") for _, _, p, a in items)
+    got = {tuple(r) for r in lk.leaks(d, e).collect()}
+    assert got == {tuple(r) for r in lk.passages(d, e, most_chars=size).filter("is_case").select("doc_id", "item_id").collect()} and len(got) == 2 * len(variants())
+    with pytest.raises(ValueError):
+        lk.passages(d, e, most_chars=10)
 
 
 def test_table(spark, items):
@@ -69,11 +99,6 @@ def test_table(spark, items):
     assert lk.leaks(d, e.limit(0)).count() == 0 and lk.leaks(d.limit(0), e).count() == 0
 
 
-def test_too_many_words_is_an_error(items):
-    with pytest.raises(ValueError):
-        lk.Carrier(items, most_words=10)
-
-
 WORDS = "the quick parser reads every queue and stores a row for the index before token seven is written to cache number nine by worker eleven at noon today"
 
 
