@@ -2,7 +2,8 @@
 
 A recursive separator hierarchy (section, paragraph, line, sentence, word, character) cuts a text into atoms that fit;
 atoms are packed greedily into pieces of at most ``limit`` characters (Unicode code points). Every piece after the first
-repeats up to ``overlap`` characters from the end of the piece before it, from the last natural boundary that fits.
+repeats up to ``overlap`` characters from the end of the piece before it, from the strongest natural boundary that fits;
+fewer where the next paragraph, sentence or the like would otherwise be cut though it fits.
 
 Defined results
 * null text: no row; a text within the limit, the empty one too, is one piece;
@@ -32,15 +33,15 @@ WORD = re.compile(r"\s+")
 LEVELS = (SECTION, PARAGRAPH, LINE, SENTENCE, WORD)
 
 
-def atoms(text: str, lo: int, hi: int, most: int, level: int = 0) -> Iterator[tuple[int, int]]:
-    """Spans of at most ``most`` characters that cover text[lo:hi] in order."""
+def atoms(text: str, lo: int, hi: int, most: int, hard: int, level: int = 0) -> Iterator[tuple[int, int]]:
+    """Spans of at most ``most`` characters that cover text[lo:hi] in order; where no boundary is left, of ``hard``."""
     if hi - lo <= most:
         if hi > lo:
             yield lo, hi
         return
     if level == len(LEVELS):
-        for k in range(lo, hi, most):
-            yield k, min(hi, k + most)
+        for k in range(lo, hi, hard):
+            yield k, min(hi, k + hard)
         return
     at = lo
     run: list[int] = []  # spans of this level are packed before they are cut further
@@ -51,7 +52,7 @@ def atoms(text: str, lo: int, hi: int, most: int, level: int = 0) -> Iterator[tu
     for end in run:
         if end == start:
             continue
-        yield from atoms(text, start, end, most, level + 1)
+        yield from atoms(text, start, end, most, hard, level + 1)
         start = end
 
 
@@ -63,10 +64,11 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tu
         return [(0, len(text), 0)]
     out: list[tuple[int, int, int]] = []
     start = repeated = end = 0
-    for lo, hi in atoms(text, 0, len(text), limit - overlap):
+    for lo, hi in atoms(text, 0, len(text), limit, limit - overlap):
         if end > start and hi - start + repeated > limit:
             out.append((start, end, repeated))
-            start, repeated = end, tail(text, start, end, overlap)
+            # what fits by itself isn't cut for the sake of the overlap
+            start, repeated = end, tail(text, start, end, min(overlap, limit - (hi - lo)))
         end = hi
     out.append((start, end, repeated))
     return out

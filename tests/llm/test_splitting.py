@@ -45,3 +45,12 @@ def test_empty_tables(spark):
     m = spark.createDataFrame([], "id long, file_id long, start_line int, end_line int")
     c = spark.createDataFrame([], "file_id long, content string")
     assert sp.oversized(e, m, c).count() == 0 and sp.pieces(e, m, c).count() == 0
+
+
+def test_a_paragraph_that_fits_is_not_cut():
+    first, second = "a" * 40 + ". " + "b" * 263 + "\n\n", "word " * 563 + "\n\n"
+    text = first + second + "end. " * 200
+    assert 2700 < len(second) < 3000
+    pieces = sp.split_text(text)
+    assert [b for _, b, _ in pieces][:2] == [len(first), len(first + second)] and all(b - a + r <= 3000 for a, b, r in pieces)
+    assert pieces[1][2] <= 3000 - len(second)
