@@ -1,10 +1,11 @@
 """Most similar vectors for every vector: a robust-pruned directed graph per shard, searched by beams.
 
-Each shard of at most ``shard_rows`` vectors gets its own graph. Nodes are inserted in growing batches: a greedy
-beam search over the graph built so far proposes neighbours, relaxed distance pruning keeps diverse edges, reverse
-edges are added and pruned again. Every query then runs a beam search on every shard's graph; the beams' best are
-scored exactly in float64 and merged. Rows of an entity that could fill a beam by itself (more than 8 k rows) don't
-walk the graph: they are compared with all rows of other entities in blocks, shard by shard.
+Vectors are gathered into shards of about ``shard_rows`` around centroids; each gets its own graph. Nodes are inserted in
+growing batches: a greedy beam search over the graph built so far proposes neighbours, relaxed distance pruning keeps
+diverse edges, reverse edges are added and pruned again. Every query then runs a beam search on the graph of each shard
+it is sent to, all of them up to ``fan``; the beams' best are scored exactly in float64 and merged. A query whose own
+entity fills more than half of its beam is compared with all rows of the shard instead, so an entity of any size finds
+its neighbours.
 
 Defined results
 * vectors that are null, of another length, zero, or hold null, NaN or infinite values take no part;
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from codelode.session import shared_dir
+from codelode.session import shared_dir, ship
 
 DIM = 64
 
@@ -70,8 +71,11 @@ def robust_prune(x: np.ndarray, own: np.ndarray, cand: np.ndarray, degree: int,
     return out
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, width: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Ids [q, width] (-1: none) and similarities of the best nodes met; ``step`` nodes of each beam are opened at a time."""
+def beam_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries: np.ndarray, width: int, step: int = 4, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids [q, width] (-1: none) and similarities of the best nodes met; ``step`` nodes of each beam are opened at a time.
+
+    ``own`` [q] are the queries' own nodes in this graph (-1: none), from which their search starts too.
+    """
     n, q = len(x), len(queries)
     seen = np.zeros((q, n), bool)
     first = queries @ x[entries].T
@@ -81,6 +85,10 @@ def beam_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, queries:
     sims = np.full((q, width), -np.inf, np.float32)
     opened = np.ones((q, width), bool)
     ids[:, :m], sims[:, :m], opened[:, :m] = entries[top], _take(first, top), False
+    if own is not None:
+        j = np.flatnonzero((own >= 0) & ~(ids[:, :m] == own[:, None]).any(axis=1))
+        last = np.argmin(sims[j, :m], axis=1)
+        ids[j, last], sims[j, last] = own[j], np.einsum("qd,qd->q", x[own[j]], queries[j])
     order = np.argsort(-sims, axis=1)
     ids, sims, opened = _take(ids, order), _take(sims, order), _take(opened, order)
     r, c = np.nonzero(ids >= 0)
@@ -123,7 +131,7 @@ def entry_points(n: int, count: int = 1024) -> np.ndarray:
     return np.unique(np.linspace(0, n - 1, min(n, count)).astype(np.int64))
 
 
-def build_graph(x: np.ndarray, degree: int = 32, width: int = 48, alpha: float = 1.15, block: int = 1024) -> np.ndarray:
+def build_graph(x: np.ndarray, degree: int = 32, width: int = 48, alpha: float = 1.05, block: int = 1024) -> np.ndarray:
     """The out-edges [n, degree] (-1: none) of unit vectors x [n, d]. Deterministic for a given order of x."""
     n = len(x)
     graph = np.full((n, degree), -1, np.int32)
@@ -230,46 +238,131 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (y / np.linalg.norm(y, axis=1, keepdims=True)).astype(np.float32)
 
 
-def nearest(df: DataFrame, k: int = 10, shard_rows: int = 32768, degree: int = 32, width: int = 48, query_rows: int = 65536, dim: int = DIM) -> DataFrame:
+def centroids(x: np.ndarray, count: int, least: int, rounds: int = 8) -> np.ndarray:
+    """Unit centroids of spherical k-means over the sample x; those that attract fewer than ``least`` of it are dropped."""
+    if count <= 1 or len(x) <= count:
+        c = x.mean(axis=0, keepdims=True) if len(x) else np.zeros((1, x.shape[1]), np.float32)
+        return (c / max(float(np.linalg.norm(c)), 1e-12)).astype(np.float32)
+    rng = np.random.default_rng(5)
+    c = x[rng.choice(len(x), count, replace=False)]
+    for r in range(rounds):
+        own = np.concatenate([np.argmax(x[k : k + 8192] @ c.T, axis=1) for k in range(0, len(x), 8192)])
+        size = np.bincount(own, minlength=len(c))
+        if r == rounds - 1:
+            return c[size >= least] if (size >= least).any() else c[:1]
+        order = np.argsort(own, kind="stable")
+        full = np.flatnonzero(size)
+        total = np.zeros((len(c), x.shape[1]), np.float64)
+        total[full] = np.add.reduceat(x[order].astype(np.float64), np.concatenate([[0], np.cumsum(size[full])[:-1]]))
+        total[size == 0] = x[rng.choice(len(x), int((size == 0).sum()))]
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(norm > 1e-9, total / np.maximum(norm, 1e-9), c).astype(np.float32)
+    return c
+
+
+def keep_for_all(ids: np.ndarray, ents: np.ndarray, sims: np.ndarray, sole: int | None, k: int) -> np.ndarray:
+    """Which of a query's candidates to keep so that whoever asks, k of other entities are among them: at most 2 k."""
+    order = np.lexsort((ids, -sims))
+    if sole is not None:
+        return order[ents[order] != sole][:k]
+    out, seen = [], {}
+    for j in order:
+        e = int(ents[j])
+        if seen.get(e, 0) < k:
+            seen[e] = seen.get(e, 0) + 1
+            out.append(j)
+            if len(out) == 2 * k:
+                break
+    return np.array(out, np.int64)
+
+
+def nearest(df: DataFrame, k: int = 10, shard_rows: int = 32768, fan: int = 8, degree: int = 32, width: int = 48, beam: int = 56, query_rows: int = 65536, dim: int = DIM, sample_rows: int = 65536) -> DataFrame:
     """(id, neighbour, similarity) of the k nearest of every valid vector.
 
-    Two tables go to the shared folder: the valid vectors, and one node per distinct vector with its shard. Both are
-    read several times and cut the lineage. What a task holds is one shard (``shard_rows`` vectors, by hash of the
-    node's id) and ``query_rows`` queries.
+    Vectors are gathered into shards by the nearest of some centroids, fitted on ``sample_rows`` of them; all are indexed.
+    A query goes to the ``fan`` shards whose centroids are nearest, but for those that hold hardly any row of another
+    entity than its own, so work and shuffle grow in proportion to the rows. What a task holds is one shard and
+    ``query_rows`` queries; graphs are built with beams of ``width`` and searched with ``beam``; a shard answers at most 2 k candidates a query. The valid vectors, one node per distinct vector
+    and the graphs go to the shared folder.
     """
     spark = df.sparkSession
+    ship(spark)
     at = f"{shared_dir(spark)}/vamana-{uuid.uuid4().hex}"
     valid_vectors(df, dim).dropDuplicates(["id"]).write.parquet(f"{at}/rows")
     rows = spark.read.parquet(f"{at}/rows")
-    # of copies, the 20 smallest ids with at most k of an entity: whatever entity asks, k others are among them.
+    # of copies, the 2 k smallest ids with at most k of an entity: whatever entity asks, k others are among them.
     # row_number() <= n is applied before the shuffle too, so a huge group sends n rows a task.
     w1, w2 = Window.partitionBy("vec", "entity").orderBy("id"), Window.partitionBy("vec").orderBy("id")
     few = rows.withColumn("r", F.row_number().over(w1)).filter(F.col("r") <= k).withColumn("r", F.row_number().over(w2)).filter(F.col("r") <= 2 * k)
-    nodes = few.groupBy("vec").agg(F.min("id").alias("node"), F.array_sort(F.collect_list(F.struct("id", "entity"))).alias("members"))
+    sole = F.when(F.min("entity") == F.max("entity"), F.min("entity")).alias("sole")
+    nodes = few.groupBy("vec").agg(F.min("id").alias("node"), F.array_sort(F.collect_list(F.struct("id", "entity"))).alias("members"), sole)
     nodes.write.parquet(f"{at}/nodes")
     nodes = spark.read.parquet(f"{at}/nodes")
     n = nodes.count()
     if not n:
         return spark.createDataFrame([], "id long, neighbour long, similarity double")
-    counts = rows.groupBy("entity").count()
-    multiple = counts.agg(F.max("count")).first()[0]
-    want = k + min(int(multiple), 8 * k)  # so many nodes may be the query's own entity's
-    width = max(width, want)
-    shards = max(1, -(-n // shard_rows))
-    # every row of the node's copies asks with its own entity; the join's hot side is one row a node
-    asks = rows.select("id", "entity", "vec").join(nodes.select("vec", "node"), "vec").select("id", "entity", "node")
-    if multiple > 8 * k:  # entities that may fill a beam ask by themselves
-        large = counts.filter(F.col("count") > 8 * k).select("entity", F.lit(True).alias("large"))
-        asks = asks.join(large, "entity", "left").withColumn("large", F.col("large").isNotNull())
-        asks.withColumn("own", F.when(F.col("large"), F.col("entity")).otherwise(F.lit(0))).write.parquet(f"{at}/asks")
-        asks = spark.read.parquet(f"{at}/asks")
-        asked = asks.select("node", "large", "own").distinct().join(nodes.select("node", "vec"), "node")
-    else:
-        asks = asks.withColumns({"large": F.lit(False), "own": F.lit(0).cast("long")})
-        asked = nodes.select("node", "vec", F.lit(False).alias("large"), F.lit(0).cast("long").alias("own"))
+    count = max(1, -(-n // shard_rows)) if n <= 2 * shard_rows else -(-2 * n // shard_rows)
+    sample = nodes.select("vec", F.xxhash64("node").alias("h")).sort("h").limit(sample_rows).collect() if count > 1 else []
+    cells = centroids(_unit(_matrix([r["vec"] for r in sample], dim)), count, max(1, 8 * k * len(sample) // n)) if sample else np.zeros((1, dim), np.float32)
+    shared = spark.sparkContext.broadcast(cells)  # at most 2 n / shard_rows vectors
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = np.argmax(_unit(_matrix(b.column(1).to_pylist(), dim)) @ shared.value.T, axis=1) if b.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32), pa.int32())], [*b.schema.names, "cell"])
+
+    # a cell that came out larger than two shards is cut by hash; whoever asks it asks all its parts
+    placed = nodes.select("node", "vec", "sole", F.col("members.id").alias("m_id"), F.col("members.entity").alias("m_entity")).mapInArrow(place, "node long, vec binary, sole long, m_id array<long>, m_entity array<long>, cell int")
+    sizes = placed.groupBy("cell", "sole").count().groupBy("cell").agg(F.sum("count").alias("n"), F.max(F.when(F.col("sole").isNotNull(), F.struct("count", "sole"))).alias("most")).collect()
+    parts = {r["cell"]: max(1, -(-r["n"] // (2 * shard_rows))) for r in sizes}
+    # at most one entity can leave a cell fewer than k rows of others; its queries look elsewhere
+    shunned = {r["cell"]: r["most"]["sole"] for r in sizes if len(sizes) > 1 and r["most"] and r["most"]["count"] > max(r["n"] - k, r["n"] // 2)}
+    filled = np.array(sorted(parts))
+    first = dict(zip(filled.tolist(), np.concatenate([[0], np.cumsum([parts[c] for c in filled.tolist()])[:-1]]).tolist()))  # a cell's first shard
+    shards = sum(parts.values())
+
+    def asks_of(blocks: dict[int, int] | None):
+        def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bad = np.array([shunned.get(c, 0) for c in filled.tolist()])
+            has = np.array([c in shunned for c in filled.tolist()])
+            for b in batches:
+                at_, shard = [], []
+                if b.num_rows:
+                    d = _unit(_matrix(b.column(1).to_pylist(), dim)) @ shared.value[filled].T
+                    own = b.column(2)
+                    none = np.array(own.is_null())
+                    d[has[None, :] & ~none[:, None] & (bad[None, :] == np.array(own.fill_null(0))[:, None])] = -np.inf
+                    m = min(fan, d.shape[1])
+                    best = np.argpartition(-d, m - 1, axis=1)[:, :m]
+                    # copies of several entities may ask from one node: where any of them would look elsewhere, it does too
+                    away = np.where(has[None, :], -np.inf, d)
+                    other = np.argpartition(-away, m - 1, axis=1)[:, :m]
+                    for i in range(b.num_rows):
+                        chosen = [j for j in best[i].tolist() if d[i, j] > -np.inf]
+                        if none[i] and has.any():
+                            chosen += [j for j in other[i].tolist() if away[i, j] > -np.inf and j not in chosen]
+                        for c in filled[chosen].tolist():
+                            at_ += [i] * parts[c]
+                            shard += range(first[c], first[c] + parts[c])
+                idx, sh = pa.array(at_, pa.int32()), np.array(shard, np.int32)
+                if blocks is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(sh)], ["shard"])
+                    continue
+                got = [c.take(idx) for c in (b.column(0), b.column(1), b.column(2).fill_null(0), b.column(2).is_null())]
+                spread = (np.array(got[0]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+                block = (spread % np.array([blocks[x] for x in shard] or [1], np.uint64)[: len(sh)]).astype(np.int32) if len(sh) else sh
+                yield pa.RecordBatch.from_arrays([pa.array(sh), pa.array(block), *got], ["shard", "block", "node", "vec", "sole", "mixed"])
+
+        asked = nodes.select("node", "vec", "sole")
+        return asked.mapInArrow(route, "shard int" if blocks is None else "shard int, block int, node long, vec binary, sole long, mixed boolean")
+
+    asked = {r["shard"]: r["count"] for r in asks_of(None).groupBy("shard").count().collect()}
     # a shard's graph goes to one task per block of queries: few blocks, but work for every core
-    blocks = max(1, -(-n // query_rows), min(-(-n // 2048), -(-spark.sparkContext.defaultParallelism // shards)))
-    sharded = nodes.select("node", "vec", F.col("members.id").alias("m_id"), F.col("members.entity").alias("m_entity"), F.pmod(F.xxhash64("node"), F.lit(shards)).cast("int").alias("shard"))
+    spread = -(-spark.sparkContext.defaultParallelism // shards)
+    blocks = {x: max(1, -(-asked.get(x, 0) // query_rows), min(-(-asked.get(x, 0) // 2048), spread)) for x in range(shards)}
+    queries = asks_of(blocks)
+    cut = spark.createDataFrame([(c, first[c], parts[c]) for c in parts], "cell int, first int, parts int")
+    sharded = placed.join(F.broadcast(cut), "cell").select((F.col("first") + F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("shard"), "node", "vec", "m_id", "m_entity")
 
     def graph_of(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("node", kind="stable")
@@ -278,42 +371,68 @@ def nearest(df: DataFrame, k: int = 10, shard_rows: int = 32768, degree: int = 3
         return pd.DataFrame({"shard": pdf.shard.to_numpy(), "node": pdf.node.to_numpy(), "vec": pdf.vec.to_numpy(), "edges": [r.tobytes() for r in g], "m_id": pdf.m_id.to_numpy(), "m_entity": pdf.m_entity.to_numpy()})
 
     sharded.groupBy("shard").applyInPandas(graph_of, "shard int, node long, vec binary, edges binary, m_id array<long>, m_entity array<long>").write.parquet(f"{at}/graphs")
-    graphs = spark.read.parquet(f"{at}/graphs").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = asked.select("node", "vec", "large", "own", F.pmod(F.xxhash64("node", "own", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    copies = spark.createDataFrame(list(blocks.items()), "shard int, blocks int")
+    graphs = spark.read.parquet(f"{at}/graphs").join(F.broadcast(copies), "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("shard", "block", "node", "vec", "edges", "m_id", "m_entity")
 
     def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"node": pd.Series(dtype="int64"), "large": pd.Series(dtype=bool), "own": pd.Series(dtype="int64"), "near": pd.Series(dtype=object), "sims": pd.Series(dtype=object), "ents": pd.Series(dtype=object)})
-        raw = _matrix(left.vec, dim)
-        x, g = _unit(raw), np.stack([np.frombuffer(e, np.int32) for e in left.edges])
-        raw = raw.astype(np.float64)
-        exact = raw / np.linalg.norm(raw, axis=1, keepdims=True)
-        m_id, m_entity = left.m_id.to_numpy(), left.m_entity.to_numpy()
-        right = right.sort_values("large", kind="stable")
-        few = int((~right.large).sum())
-        q_raw = _matrix(right.vec, dim).astype(np.float64)
-        q_exact = q_raw / np.linalg.norm(q_raw, axis=1, keepdims=True)
-        q = q_exact[:few].astype(np.float32)
-        near, sims, ents = [], [], []
-        for b in range(0, len(q), 512):
-            ids, s = beam_search(x, g, entry_points(len(x)), q[b : b + 512], width)
-            ids = ids[:, :want]
-            s = np.round(np.einsum("qkd,qd->qk", exact[np.maximum(ids, 0)], q_exact[b : min(b + 512, few)]), 9)
-            for i, one in zip(ids, s):
-                one = one[i >= 0]
-                i = i[i >= 0]
-                reps = [len(m_id[j]) for j in i]
-                near.append(np.concatenate([m_id[j] for j in i]))
-                ents.append(np.concatenate([m_entity[j] for j in i]))
-                sims.append(np.repeat(one, reps))
-        for i, e, one in scan_others(exact, m_id, m_entity, q_exact[few:], right.own.to_numpy()[few:], k):
-            near.append(i)
-            ents.append(e)
-            sims.append(one)
-        return pd.DataFrame({"node": right.node.to_numpy(), "large": right.large.to_numpy(), "own": right.own.to_numpy(), "near": near, "sims": sims, "ents": ents})
-
-    graphs = graphs.select("shard", "block", "node", "vec", "edges", "m_id", "m_entity")
-    found = graphs.groupBy("shard", "block").cogroup(queries.select("shard", "block", "node", "vec", "large", "own").groupBy("shard", "block")).applyInPandas(search, "node long, large boolean, own long, near array<long>, sims array<double>, ents array<long>")
-    best = found.groupBy("node", "large", "own").agg(F.flatten(F.collect_list(F.arrays_zip(F.transform("sims", lambda s: -s).alias("s"), F.col("near").alias("n"), F.col("ents").alias("e")))).alias("all"))
-    top = asks.join(best, ["node", "large", "own"]).select("id", F.slice(F.array_sort(F.filter("all", lambda a: (a["n"] != F.col("id")) & (a["e"] != F.col("entity")))), 1, k).alias("top"))
+        out: dict[str, list] = {"node": [], "near": [], "sims": [], "ents": []}
+        if len(left) and len(right):
+            raw = _matrix(left.vec, dim)
+            x, g = _unit(raw), np.stack([np.frombuffer(e, np.int32) for e in left.edges])
+            raw = raw.astype(np.float64)
+            exact = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+            m_id, m_entity = left.m_id.to_numpy(), left.m_entity.to_numpy()
+            size = np.array([len(m) for m in m_id])
+            begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+            all_id, all_ent = np.concatenate(m_id), np.concatenate(m_entity)
+            lone = np.array([(np.asarray(e) == e[0]).all() for e in m_entity])
+            owner = all_ent[begin]
+            here = pd.Index(left.node)
+            for b in range(0, len(right), 512):
+                part = right.iloc[b : b + 512]
+                q_raw = _matrix(part.vec, dim).astype(np.float64)
+                q_exact = q_raw / np.linalg.norm(q_raw, axis=1, keepdims=True)
+                ids, _ = beam_search(x, g, entry_points(len(x)), q_exact.astype(np.float32), beam, own=here.get_indexer(part.node))
+                s = np.round(np.einsum("qkd,qd->qk", exact[np.maximum(ids, 0)], q_exact), 9)
+                own, mixed = part.sole.tolist(), part.mixed.tolist()
+                for i, (node, one, sim) in enumerate(zip(part.node.tolist(), ids, s)):
+                    sole_ = None if mixed[i] else own[i]
+                    ok = one >= 0
+                    # an entity that fills most of the beam and may ask: it is compared with all of the shard's others
+                    lords = owner[one[ok & lone[one]]]
+                    fills = None
+                    if 2 * len(lords) > ok.sum() and len(x) > ok.sum():
+                        e, c = np.unique(lords, return_counts=True)
+                        if 2 * c.max() > ok.sum() and (sole_ is None or sole_ == e[c.argmax()]):
+                            fills = int(e[c.argmax()])
+                    more = next(scan_others(exact, m_id, m_entity, q_exact[i : i + 1], np.array([fills]), k)) if fills is not None else None
+                    if sole_ is not None:
+                        ok &= ~(lone[one] & (owner[one] == sole_))
+                    one, sim = one[ok], sim[ok]
+                    reps = size[one]
+                    if (reps == 1).all():
+                        flat = begin[one]
+                    else:
+                        flat = np.concatenate([np.arange(begin[j], begin[j] + size[j]) for j in one])
+                        sim = np.repeat(sim, reps)
+                    near, ents = all_id[flat], all_ent[flat]
+                    if fills is not None and sole_ is not None:
+                        near, ents, sim = more[0], more[1], more[2]
+                    else:
+                        keep = keep_for_all(near, ents, sim, sole_, k)
+                        near, ents, sim = near[keep], ents[keep], sim[keep]
+                        if more is not None:
+                            fresh = ~np.isin(more[0], near)
+                            near, ents, sim = (np.concatenate([u, v[fresh]]) for u, v in zip((near, ents, sim), more))
+                    out["node"].append(node)
+                    out["near"].append(near)
+                    out["sims"].append(sim)
+                    out["ents"].append(ents)
+        return pd.DataFrame({"node": pd.Series(out["node"], dtype="int64"), **{c: pd.Series(out[c], dtype=object) for c in ("near", "sims", "ents")}})
+
+    found = graphs.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInPandas(search, "node long, near array<long>, sims array<double>, ents array<long>")
+    best = found.groupBy("node").agg(F.flatten(F.collect_list(F.arrays_zip(F.transform("sims", lambda s: -s).alias("s"), F.col("near").alias("n"), F.col("ents").alias("e")))).alias("all"))
+    # every row of the node's copies asks with its own entity; the join's hot side is one row a node
+    asks = rows.select("id", "entity", "vec").join(nodes.select("vec", "node"), "vec").select("id", "entity", "node")
+    top = asks.join(best, "node").select("id", F.slice(F.array_sort(F.filter("all", lambda a: (a["n"] != F.col("id")) & (a["e"] != F.col("entity")))), 1, k).alias("top"))
     return top.select("id", F.explode("top").alias("t")).select("id", F.col("t.n").alias("neighbour"), (-F.col("t.s")).alias("similarity"))

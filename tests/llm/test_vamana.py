@@ -94,3 +94,26 @@ def test_graph_is_searchable():
     true = np.argsort(-(x[:200] @ x.T), axis=1)[:, :10]
     assert np.mean([len(set(a[:10]) & set(b)) / 10 for a, b in zip(ids, true)]) >= 0.95
     assert (np.diff(sims, axis=1) <= 1e-6).all()
+
+
+def test_work_grows_with_the_rows_not_with_rows_times_shards(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 64))
+    for n in (800, 1600, 3200):
+        some = [(i, "f", i, [float(x) for x in centres[i % 40] + 0.5 * rng.normal(size=64)]) for i in range(n)]
+        got = {(r.id, r.neighbour) for r in vm.nearest(frame(spark, some), shard_rows=64, fan=6).collect()}
+        want = {(i, m) for i, ns in brute(some).items() for m in ns}
+        assert len(got & want) / len(want) >= 0.95 and len(got) == 10 * n
+
+
+def test_one_entity_with_most_rows_finds_others(spark):
+    rng = np.random.default_rng(11)
+    centre = rng.normal(size=64)
+    big = [(i, "file", 1, [float(x) for x in centre + 0.05 * rng.normal(size=64)]) for i in range(300)]
+    rest = [(1000 + i, "class", i, [float(x) for x in rng.normal(size=64)]) for i in range(50)]
+    for shard_rows in (40, 32768):
+        got = {}
+        for r in vm.nearest(frame(spark, big + rest), shard_rows=shard_rows).collect():
+            got.setdefault(r.id, set()).add(r.neighbour)
+        assert len(got) == 350 and all(len(v) == 10 for v in got.values())
+        assert all(min(got[i]) >= 1000 for i, *_ in big)
