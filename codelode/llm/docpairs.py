@@ -22,13 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# --- islands ----------------------------------------------------------------------------------------------------------
-_PY_DEF = re.compile(r"[ \t]*(?:async[ \t]+)?def[ \t]+(\w+)")
-_PY_SKIP = re.compile(r"(?:[ \t\f]*(?:\#[^\n]*)?\r?\n)*[ \t\f]*")
-_PY_DOC = re.compile(r"(?i:r|u|)(\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')", re.S)
-_PY_SIG = re.compile(r"\"\"\"(?:[^\\]|\\.)*?\"\"\"|'''(?:[^\\]|\\.)*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|\#[^\n]*|[()\[\]{}:]", re.S)
-_BRACE = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`|//[^\n]*|/\*.*?(?:\*/|\Z)|[{};]", re.S)
-_ANNOTATION = re.compile(r"\s*(?:@[\w.]+(?:\(.*\))?|#\[.*\])\s*$")
+from codelode.session import ship
+
+from . import islands
+
+EXTENSIONS = {"py": "py", "js": "js", "jsx": "js", "mjs": "js", "cjs": "js", "ts": "ts", "tsx": "ts", "mts": "ts", "cts": "ts", "java": "java", "php": "php"}
 
 
 def starts_of(text: str) -> list[int]:
@@ -39,101 +37,23 @@ def starts_of(text: str) -> list[int]:
     return out
 
 
-def python_doc(text: str, at: int) -> str | None:
-    """The docstring of the function whose signature begins at ``at``."""
-    depth = 0
-    for m in _PY_SIG.finditer(text, at):
-        t = m.group()
-        if t in "([{":
-            depth += 1
-        elif t in ")]}":
-            depth -= 1
-        elif t == ":" and depth == 0:
-            k = _PY_SKIP.match(text, m.end()).end()
-            d = _PY_DOC.match(text, k)
-            if d is None:
-                return None
-            body = d.group(1)
-            return body[3:-3] if body[:3] in ('"""', "'''") else body[1:-1]
-        if depth < 0:
-            return None
-    return None
-
-
-def block_doc(text: str, lines: list[int], line: int) -> str | None:
-    """The ``/** */`` block that ends right above line number ``line`` (from 0) and its annotations."""
-    k = line - 1
-    while k >= 0 and _ANNOTATION.match(text, lines[k], lines[k + 1] - 1):
-        k -= 1
-    if k < 0:
-        return None
-    above = text[: lines[k + 1] - 1].rstrip(" \t\r")
-    if not above.endswith("*/") or lines[k] >= len(above):
-        return None
-    start = above.rfind("/*")
-    if start < 0 or not above.startswith("/**", start) or len(above) - start < 5:
-        return None
-    if above[above.rfind("\n", 0, start) + 1 : start].strip():
-        return None
-    return above[start:]
-
-
-def body_end(text: str, at: int, lines: list[int], line: int, ext: str) -> int:
-    """Where the function's balanced body ends."""
-    if ext == "py":
-        first = text[lines[line] :]
-        indent = len(first) - len(first.lstrip(" \t"))
-        depth, k = 0, line + 1
-        end = lines[line + 1] if line + 1 < len(lines) else len(text)
-        sig = False
-        for m in _PY_SIG.finditer(text, at):
-            t = m.group()
-            depth += (t in "([{") - (t in ")]}")
-            if t == ":" and depth == 0:
-                sig = True
-                break
-        if not sig:
-            return end
-        while k < len(lines) and lines[k] <= m.start():
-            k += 1
-        while k < len(lines):
-            s = text[lines[k] : lines[k + 1] - 1 if k + 1 < len(lines) else len(text)]
-            if s.strip() and len(s) - len(s.lstrip(" \t")) <= indent:
-                break
-            if s.strip():
-                end = lines[k + 1] if k + 1 < len(lines) else len(text)
-            k += 1
-        return end
-    depth = 0
-    for m in _BRACE.finditer(text, at):
-        t = m.group()
-        if t == "{":
-            depth += 1
-        elif t == "}":
-            depth -= 1
-            if depth <= 0:
-                return m.end()
-        elif t == ";" and depth == 0:
-            return m.end()
-    return len(text)
-
-
-def island(text: str, lines: list[int], name: str | None, line: int | None, ext: str, code: bool) -> tuple[str | None, str | None]:
-    """(documentation, code) of the function ``name`` at the 1-based ``line``."""
-    if line is None or not name or not 1 <= line <= len(lines) or ext not in ("py", "js", "ts", "java", "php"):
-        return None, None
-    k = line - 1
-    here = text[lines[k] : lines[k + 1] if k + 1 < len(lines) else len(text)]
-    if name not in here:
-        return None, None
-    at = lines[k]
-    doc = python_doc(text, at) if ext == "py" else block_doc(text, lines, k)
-    if not code:
-        return doc, None
-    top = k
-    while top > 0 and _ANNOTATION.match(text, lines[top - 1], lines[top] - 1):
-        top -= 1
-    return doc, text[lines[top] : body_end(text, at, lines, k, ext)].rstrip()
+class File:
+    """A file's islands, read when the first of its functions is asked for."""
+
+    def __init__(self, text: str | None, ext: str | None) -> None:
+        self.text, self.kind = text, EXTENSIONS.get(ext or "")
+        self.lines: list[int] = []
+        self.read: islands.Braces | islands.Lines | None = None
+
+    def island(self, name: str | None, line: int | None) -> tuple[str | None, str | None]:
+        """(documentation, code) of the function ``name`` at the 1-based ``line``."""
+        if self.text is None or self.kind is None or line is None or not name:
+            return None, None
+        if self.read is None:
+            self.lines, self.read = starts_of(self.text), islands.reader(self.text, self.kind)
+        if not 1 <= line <= len(self.lines):
+            return None, None
+        return self.read.island(name, self.lines[line - 1], self.lines[line] if line < len(self.lines) else len(self.text))
 
 
 # --- what documentation says -----------------------------------------------------------------------------------------
@@ -267,52 +187,41 @@ def tells(doc: str | None, name: str | None, params: list[str] | None = None, cl
 
 
 # --- on Spark --------------------------------------------------------------------------------------------------------
-def pairs(functions: DataFrame, modules: DataFrame, classes: DataFrame, files: DataFrame, contents: DataFrame, code: bool = True) -> DataFrame:
-    """(function_id, name, class_docstring, description, code) of the functions whose documentation says something.
+def pairs(functions: DataFrame, modules: DataFrame, classes: DataFrame, files: DataFrame, contents: DataFrame) -> DataFrame:
+    """(function_id, name, class_docstring, description, code, agrees) of the functions whose documentation says something.
 
-    Without ``code`` only functions that lack the field need their file, so the others don't wait for the join.
+    Every function's island is read. ``agrees``: whether field and source hold the same documentation, null if one has none.
     """
+    ship(functions.sparkSession)
     f = functions.select("id", "module_id", "class_id", "name", "docstring", F.transform("parameters", lambda p: p["name"]).alias("params"), "start_line").dropDuplicates(["id"])
     c = classes.filter(F.col("docstring").isNotNull()).select(F.col("id").alias("class_id"), F.col("docstring").alias("class_docstring")).dropDuplicates(["class_id"])
     # functions outside of classes, most of them, would be one key: they get keys of their own and lose what those find
     f = f.withColumn("loose", F.col("class_id").isNull()).withColumn("class_id", F.coalesce("class_id", -F.col("id"))).join(c, "class_id", "left")
     f = f.withColumn("class_docstring", F.when(~F.col("loose"), F.col("class_docstring"))).drop("class_id", "loose")
-    need = f if code else f.filter(F.col("docstring").isNull())
-    m = modules.select(F.col("id").alias("module_id"), "file_id").dropDuplicates(["module_id"])
-    ext = files.select(F.col("id").alias("file_id"), F.regexp_extract("path", r"\.(py|js|ts|java|php)$", 1).alias("ext")).dropDuplicates(["file_id"])
+    m = modules.filter(F.col("file_id").isNotNull()).select(F.col("id").alias("module_id"), "file_id").dropDuplicates(["module_id"])
+    ext = files.select(F.col("id").alias("file_id"), F.lower(F.regexp_extract("path", r"\.([A-Za-z]+)$", 1)).alias("ext")).dropDuplicates(["file_id"])
+    # a function without a module or file keeps its field: it gets a group of its own
+    placed = f.join(m, "module_id", "left").withColumn("file_id", F.coalesce("file_id", -F.col("id") - 1))
     one = F.struct("id", "name", "docstring", "params", "start_line", "class_docstring")
-    by_file = need.join(m, "module_id").groupBy("file_id").agg(F.collect_list(one).alias("functions")).join(ext, "file_id", "left")
+    by_file = placed.groupBy("file_id").agg(F.collect_list(one).alias("functions")).join(ext, "file_id", "left")
     text = contents.filter(F.col("content").isNotNull()).select("file_id", "content").dropDuplicates(["file_id"])
-    src = by_file.join(text, "file_id", "left" if code else "inner").select("functions", "ext", "content")
+    src = by_file.join(text, "file_id", "left").select("functions", "ext", "content")
 
-    schema = "function_id long, name string, class_docstring string, description string, code string"
-    fields = pa.schema([("function_id", pa.int64()), ("name", pa.string()), ("class_docstring", pa.string()), ("description", pa.string()), ("code", pa.string())])
+    schema = "function_id long, name string, class_docstring string, description string, code string, agrees boolean"
+    fields = pa.schema([("function_id", pa.int64()), ("name", pa.string()), ("class_docstring", pa.string()), ("description", pa.string()), ("code", pa.string()), ("agrees", pa.bool_())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
             for fs, x, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                lines = starts_of(t) if t is not None else []
+                file = File(t, x)
                 for g in fs:
-                    doc, body = island(t, lines, g["name"], g["start_line"], x or "", code) if t is not None else (None, None)
-                    doc = g["docstring"] if g["docstring"] is not None else doc
+                    found, body = file.island(g["name"], g["start_line"])
+                    doc = g["docstring"] if g["docstring"] is not None else found
                     if tells(doc, g["name"], g["params"], g["class_docstring"]):
-                        rows.append((g["id"], g["name"], g["class_docstring"], clean(doc), body))
-            yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows) if rows else [[]] * 5, fields.types)], schema=fields)
-
-    got = src.mapInArrow(read, schema)
-    if code:
-        # functions without a module or file keep their field
-        lone = f.join(m, "module_id", "left_anti")
-    else:
-        lone = f.filter(F.col("docstring").isNotNull())
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(5)]
-            keep = [tells(d, n, p, k) for _, n, d, p, k in zip(*cols)]
-            mask = pa.array(keep, pa.bool_())
-            text_ = pa.array([clean(d) for d, k in zip(cols[2], keep) if k], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(mask), b.column(1).filter(mask), b.column(4).filter(mask), text_, pa.nulls(len(text_), pa.string())], schema=fields)
+                        said = clean(doc)
+                        same = None if found is None or g["docstring"] is None else said.split() == clean(found).split()
+                        rows.append((g["id"], g["name"], g["class_docstring"], said, body, same))
+            yield pa.RecordBatch.from_arrays([pa.array(list(v), t) for v, t in zip(zip(*rows) if rows else [[]] * 6, fields.types)], schema=fields)
 
-    return got.unionByName(lone.select("id", "name", "docstring", "params", "class_docstring").mapInArrow(judge, schema))
+    return src.mapInArrow(read, schema)

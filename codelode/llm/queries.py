@@ -14,16 +14,12 @@ from . import abuse, corpus_bpe, docpairs, handwritten, leakage, splitting, synt
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _p1(spark: SparkSession, d: str, code: bool) -> DataFrame:
-    return docpairs.pairs(*(table(spark, d, t) for t in ("code_functions", "code_modules", "code_classes", "code_files", "file_contents")), code=code)
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return docpairs.pairs(*(table(spark, d, t) for t in ("code_functions", "code_modules", "code_classes", "code_files", "file_contents")))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p1(spark, d, False).select("function_id")
-
-
-def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _p1(spark, d, True)
+    return p1_pairs(spark, d).select("function_id")
 
 
 def p2_flags(spark: SparkSession, d: str) -> DataFrame:

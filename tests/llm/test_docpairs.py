@@ -24,17 +24,46 @@ PY = 'import os\n\n@deco\ndef f(a=")", b: dict[str, int] = {}):\n    # note\n
 TS = "/** Header. */\n\n/** First. */\n@dec()\nfunction a(x: string) {\n  return '}';\n}\n/* no doc */\nfunction b() {}\n"
 
 
+def island(text, name, line, ext):
+    return dp.File(text, ext).island(name, line)
+
+
 def test_islands():
-    lines = dp.starts_of(PY)
-    doc, code = dp.island(PY, lines, "f", 4, "py", True)
+    doc, code = island(PY, "f", 4, "py")
     assert doc == "Says a thing." and code.startswith("@deco\ndef f") and code.endswith("return x")
-    assert dp.island(PY, lines, "g", 11, "py", True) == (None, "def g(): pass")
-    lines = dp.starts_of(TS)
-    doc, code = dp.island(TS, lines, "a", 5, "ts", True)
+    assert island(PY, "g", 11, "py") == (None, "def g(): pass")
+    doc, code = island(TS, "a", 5, "ts")
     assert dp.clean(doc) == "First." and code == "@dec()\nfunction a(x: string) {\n  return '}';\n}"
-    assert dp.island(TS, lines, "b", 9, "ts", False)[0] is None
-    assert dp.island("/** Header. */\n\nfunction a() {}", dp.starts_of("/** Header. */\n\nfunction a() {}"), "a", 3, "js", False)[0] is None
-    assert dp.island(PY, dp.starts_of(PY), "f", None, "py", True) == dp.island(PY, dp.starts_of(PY), "f", 99, "py", True) == (None, None)
+    assert island(TS, "b", 9, "ts")[0] is None
+    assert island("/** Header. */\n\nfunction a() {}", "a", 3, "js")[0] is None
+    assert island(PY, "f", None, "py") == island(PY, "f", 99, "py") == island(PY, None, 4, "py") == island(None, "f", 4, "py") == island(PY, "f", 4, "md") == (None, None)
+
+
+#: (extension, text, name, line, documentation, code from its first to its last character)
+ISLANDS = [
+    ("js", "function f({a, b}, c = {}) {\n  return a + b;\n}\nx();", "f", 1, None, ("function f({a", "a + b;\n}")),
+    ("js", "/** Cuts. */\nexport function g(s) {\n  return s.replace(/[}]\\/{/g, `}${h({a: '}'})}`) / 2;\n}\nlet y = 1;", "g", 2, "Cuts.", ("export function", "/ 2;\n}")),
+    ("js", "const o = {\n  a() { return 1 },\n  /** Says. */\n  b(x = {}) { return /}/.test(x) },\n}", "b", 4, "Says.", ("b(x", "test(x) }")),
+    ("js", "class A {\n  x = {a: 1};\n  /** Runs. */\n  @log({deep: true})\n  static async *run(a, b = ')') {\n    yield '}'\n  }\n}", "run", 5, "Runs.", ("@log", "'}'\n  }")),
+    ("js", "/** Adds. */\nexport const add = async (a, {b} = {}) => {\n  return a;\n};\n", "add", 2, "Adds.", ("export const", "return a;\n}")),
+    ("js", "const twice = x => x * 2;\nconst z = 1;", "twice", 1, None, ("const twice", "x * 2;")),
+    ("ts", "/** Maps. */\nfunction m<T extends { k: string }>(a: { b: T }, f: (x: T) => void): { r: T[] } | null {\n  return { r: [] };\n}\n", "m", 2, "Maps.", ("function m", "[] };\n}")),
+    ("ts", "abstract class Q {\n  /** Opens. */\n  abstract open(a: Map<string, { x: 1 }>, b?: string): Promise<void>;\n  next() {}\n}", "open", 3, "Opens.", ("abstract open", "Promise<void>;")),
+    ("java", "class A {\n  int x;\n  /** Reads all rows. */\n  @Get(\n    path = \"/{id}\",\n    codes = {1, 2}\n  )\n  @Deprecated\n  public Map<String, List<int[]>> rows(@P(\")\") int a, String... b) throws E, F {\n    char c = '}';\n    return null;\n  }\n}", "rows", 9, "Reads all rows.", ("@Get(", "null;\n  }")),
+    ("java", "interface I {\n  /** Counts. */\n  int count(List<? super T> a);\n}", "count", 3, "Counts.", ("int count", "a);")),
+    ("php", "<?php\n/** Opens it. */\n#[Route(\n  '/x',\n  methods: ['GET'],\n)]\nfunction open(array $a = ['}'], ?int $b = null): ?array {\n  // }\n  return [<<<T\n }\n T];\n}\n", "open", 7, "Opens it.", ("#[Route(", "T];\n}")),
+    ("php", "<?php $a = 1; ?>\n<p>{</p>\n<?php\n/** Shows. */\nfunction show() { return 1; }", "show", 5, "Shows.", ("function show", "1; }")),
+    ("py", "class A:\n    @deco(\n        a=1,\n    )\n    @other\n    async def f(self, a=lambda: ')', b: dict = {1: 2}) -> dict[str, int]:\n        # first\n        r\"\"\"Says: \\d.\"\"\"\n        x = \"\"\"\nnot the end\n\"\"\"\n        return (x,\n  1)\n\n    # next\n    def g(self): pass\n", "f", 6, "Says: \\d.", ("@deco(", "  1)")),
+    ("py", "def f(a): 'One line.'; return a\nx = 1\n", "f", 1, "One line.", ("def f", "return a")),
+]
+
+
+@pytest.mark.parametrize(("ext", "text", "name", "line", "says", "span"), ISLANDS)
+def test_code_is_the_source_span(ext, text, name, line, says, span):
+    doc, code = island(text, name, line, ext)
+    assert (doc if doc is None else dp.clean(doc)) == says
+    begin, end = text.index(span[0]), text.index(span[1]) + len(span[1])
+    assert code is not None and code.strip() == text[begin:end]
 
 
 @pytest.fixture(scope="module")
@@ -51,10 +80,9 @@ def tables(spark):
 
 
 def test_table(tables):
-    assert sorted(r.function_id for r in dp.pairs(*tables, code=False).collect()) == [1, 2, 3]
     rows = {r.function_id: r for r in dp.pairs(*tables).collect()}
     assert sorted(rows) == [1, 2, 3] and rows[1].description == "Says a thing." and "return x" in rows[1].code and rows[3].code is None
 
 
 def test_empty(tables):
-    assert dp.pairs(*[t.limit(0) for t in tables]).count() == 0 and dp.pairs(*[t.limit(0) for t in tables], code=False).count() == 0
+    assert dp.pairs(*[t.limit(0) for t in tables]).count() == 0
