@@ -65,3 +65,49 @@ def test_table(spark):
     two = f.filter("coalesce(repository_id, 0) <> 3")
     assert {x.file_id for x in hw.not_handwritten(two, c, r).collect()} == {9}
     assert hw.not_handwritten(f.limit(0), c.limit(0), r.limit(0)).count() == 0
+
+
+def test_an_attribute_taken_back():
+    text = "lib/** linguist-vendored\nlib/own/** !linguist-vendored\n"
+    assert hw.declared("lib/own/y.js", [("", text)]) == {} and hw.declared("lib/y.js", [("", text)]) == {"vendored": True}
+    assert hw.declared("lib/own/y.js", [("", text), ("lib/own", "*.js linguist-generated")]) == {"generated": True}
+
+
+@pytest.mark.parametrize(("pattern", "want"), [("vendor/**", "**/vendor/**"), ("/a-b/", "**/a-b/**"), ("**/x/**", "**/x/**"), ("*_pb2.py", "**/*_pb2.py"), ("*.py", "**/*.py"), ("a/b/*.py", None), ("x.py", None)])
+def test_general_patterns(pattern, want):
+    assert hw.general(pattern) == want
+
+
+def test_mined_patterns(spark):
+    mark = "# Code generated by maker. DO NOT EDIT.\n"
+    files, texts = [], []
+
+    def add(repository, path, text):
+        files.append((len(files), repository, path))
+        texts.append((len(files) - 1, text))
+
+    for r in range(1, 5):
+        add(r, f"src/made/a{r}.py", mark + CODE + f"z = {r}\n")
+        add(r, f"src/made/b{r}.py", CODE + f"y = {r}\n")
+        add(r, f"src/main{r}.py", CODE + f"x = {r}\n")
+    add(9, "odd/made/c.py", CODE + "c = 1\n")
+    add(10, "odd/made/c.py", CODE + "d = 1\n")  # its repository declares something
+    add(10, ".gitattributes", "docs/** linguist-generated\n")
+    for r in (11, 12, 13):
+        add(r, ".gitattributes", "borrowed/ linguist-vendored\n*_zz.py linguist-generated\n")
+    add(14, "x/borrowed/e.py", CODE + "e = 1\n")
+    add(14, "x/f_zz.py", CODE + "f = 1\n")
+    add(14, "x/g.py", CODE + "g = 1\n")
+    f = spark.createDataFrame(files, "id long, repository_id long, path string")
+    c = spark.createDataFrame(texts, "file_id long, content string")
+    got = {x.path + f":{x.repository_id}": x.why for x in hw.not_handwritten(f, c, spark.createDataFrame([(1, "own")], "id long, name string")).collect()}
+    assert {p for p, w in got.items() if w == "marked generated"} == {f"src/made/a{r}.py:{r}" for r in range(1, 5)}
+    assert {p for p, w in got.items() if w == "mined path of generated"} == {f"src/made/b{r}.py:{r}" for r in range(1, 5)} | {"odd/made/c.py:9", "x/f_zz.py:14"}
+    assert {p for p, w in got.items() if w == "mined path of vendored"} == {"x/borrowed/e.py:14"} and len(got) == 11
+
+
+def test_rules_beyond_the_broadcast_are_joined_with_salts(spark):
+    f = spark.createDataFrame([(i, i % 2, f"lib/a{i}.py") for i in range(40)], "file_id long, repository_id long, path string")
+    rules = spark.createDataFrame([(1, [("", "lib/** linguist-vendored")])], "repository_id long, attributes array<struct<at: string, text: string>>")
+    want = {(i, "declared vendored") for i in range(1, 40, 2)}
+    assert {tuple(r) for r in hw.said_of(f, rules).collect()} == {tuple(r) for r in hw.said_of(f, rules, most_bytes=0).collect()} == want
