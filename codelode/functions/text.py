@@ -132,3 +132,26 @@ def verify_signature(payload: bytes, header: str | None, secret: str | None) ->
     if not header or not header.startswith("sha256="):
         return False
     return hmac.compare_digest(hmac.new(secret.encode(), payload, hashlib.sha256).hexdigest(), header[7:])
+
+
+def error_response(message: Column, code: Column | None = None, details: Column | None = None) -> Column:
+    """A struct (status, error, code, details) as every failed request returns it."""
+    none = F.lit(None).cast("string")
+    return F.struct(F.lit("error").alias("status"), message.alias("error"), (none if code is None else code).alias("code"), (none if details is None else details).alias("details"))
+
+
+def relative_module(path: str | Column, dots: Column, name: Column) -> Column:
+    """The module that a relative import with so many dots names from the file at path: one dot is the file's package."""
+    parts = F.split(F.regexp_replace(path, r"(/__init__)?\.py$", ""), "/")
+    base = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - dots, F.lit(0))), ".")
+    return F.concat_ws(".", F.nullif(base, F.lit("")), F.nullif(name, F.lit("")))
+
+
+def iso(ts: Column) -> Column:
+    """The time in ISO 8601 with microseconds."""
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def parse_iso(c: Column) -> Column:
+    """The naive time in UTC of an ISO 8601 text; without an offset it is UTC already, null if it can't be read."""
+    return F.to_utc_timestamp(c.try_cast("timestamp"), F.current_timezone()).cast("timestamp_ntz")

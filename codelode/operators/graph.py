@@ -42,6 +42,8 @@ def components(vertices: DataFrame, edges: DataFrame, rounds: int = 60) -> DataF
         if now == before:
             break
         before = now
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return vertices.select("id").join(e.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
@@ -244,3 +246,31 @@ def context_links(edges: DataFrame, members: DataFrame) -> DataFrame:
     e = edges.join(m.select(F.col("id").alias("a"), F.col("community").alias("ca")), "a").join(m.select(F.col("id").alias("b"), F.col("community").alias("cb")), "b").filter("ca <> cb")
     g = e.groupBy(F.least("ca", "cb").alias("left"), F.greatest("ca", "cb").alias("right")).agg(F.count("*").alias("links"), F.round(F.sum("weight") / F.count("*"), 6).alias("strength"), F.array_sort(F.collect_set("type")).alias("types"))
     return g.withColumn("relationship", relationship_type(F.col("types"), F.col("links")))
+
+
+def import_edges(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """(source, target) file ids from imports (file_id, repository_id, module_name): the importer and the repository's file of that module."""
+    name = F.replace(F.regexp_replace("path", r"(/__init__)?\.py$", ""), F.lit("/"), F.lit("."))
+    local = files.groupBy("repository_id", name.alias("module_name")).agg(F.min("id").alias("target"))
+    return imports.select(F.col("file_id").alias("source"), "repository_id", "module_name").join(local, ["repository_id", "module_name"]).filter("source <> target").select("source", "target").distinct()
+
+
+def cycle_core(edges: DataFrame, rounds: int = 1000) -> DataFrame:
+    """(id): the vertices on a way from a cycle to a cycle, of any length; none if and only if there is no cycle.
+
+    Vertices that nothing leads to or that lead nowhere are taken off until none is left of them. ``cycles`` stops at a
+    length; what is here and not in its paths lies on longer cycles or between cycles.
+    """
+    shared_dir(edges.sparkSession)
+    e = edges.select(F.col("source").alias("s"), F.col("target").alias("t")).filter("s <> t").distinct().checkpoint()
+    n = e.count()
+    for _ in range(rounds):
+        for _ in range(3):
+            e = e.join(e.select(F.col("t").alias("s")).distinct(), "s", "left_semi")
+            e = e.join(e.select(F.col("s").alias("t")).distinct(), "t", "left_semi")
+        e = e.checkpoint()
+        left = e.count()
+        if left == n:
+            return e.select(F.col("s").alias("id")).unionByName(e.select(F.col("t").alias("id"))).distinct()
+        n = left
+    raise RuntimeError(f"the core of cycles did not settle in {rounds} rounds")

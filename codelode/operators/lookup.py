@@ -107,3 +107,32 @@ def source_lines(contents: DataFrame, spans: DataFrame, context: int = 0) -> Dat
     hi = F.least(F.coalesce("end_line", n) + context, n)
     got = F.when(hi >= lo, F.array_join(F.slice(lines, lo, F.greatest(hi - lo + 1, F.lit(0))), "\n")).otherwise("")
     return spans.join(contents.filter(F.col("content").isNotNull()), "file_id").withColumn("code", got).drop("content")
+
+
+def any_keyword(sym: DataFrame, keywords: list[str]) -> DataFrame:
+    """Symbols that hold any of the keywords in their name or docstring; ``in_name`` ones come first, then by name."""
+    name = any_of([contains("name", k) for k in keywords])
+    doc = any_of([contains(F.coalesce("docstring", F.lit("")), k) for k in keywords])
+    return sym.filter(name | doc).withColumn("in_name", F.coalesce(name, F.lit(False))).orderBy(F.desc("in_name"), "name", "symbol_type", "id")
+
+
+def elements(modules: DataFrame, classes: DataFrame, functions: DataFrame) -> DataFrame:
+    """(element_id, parent_id, kind, module, full_name, line_count): the tree of modules, classes, functions and methods."""
+    lines = lambda lo="start_line": (F.col("end_line") - F.col(lo) + 1).cast("int").alias("line_count")
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    m = modules.select(key("m", "id").alias("element_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("module").alias("kind"), F.col("name").alias("module"), F.col("name").alias("full_name"), (F.col("end_line") - F.coalesce("start_line", F.lit(1)) + 1).cast("int").alias("line_count"))
+    top = modules.select(F.col("id").alias("module_id"), F.col("name").alias("module"))
+    c = classes.join(top, "module_id").select(key("c", "id").alias("element_id"), key("m", "module_id").alias("parent_id"), F.lit("class").alias("kind"), "module", F.concat("module", F.lit("."), "name").alias("full_name"), lines())
+    owner = classes.select(F.col("id").alias("class_id"), F.col("id").alias("owner"), F.col("name").alias("class_name"))
+    f = functions.join(top, "module_id").join(owner, "class_id", "left")
+    own = F.col("owner").isNotNull()
+    f = f.select(key("f", "id").alias("element_id"), F.when(own, key("c", "owner")).otherwise(key("m", "module_id")).alias("parent_id"), F.when(own, "method").otherwise("function").alias("kind"), "module", F.when(own, F.concat("module", F.lit("."), "class_name", F.lit("."), "name")).otherwise(F.concat("module", F.lit("."), "name")).alias("full_name"), lines())
+    return m.unionByName(c).unionByName(f)
+
+
+def calls(contents: DataFrame, names: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(name, file_id, line) of each line where one of the names stands before a parenthesis, without the definitions (file_id, line, name)."""
+    lines = contents.filter(F.col("content").isNotNull()).select("file_id", F.posexplode(F.split("content", "\n")).alias("i", "text"))
+    words = lines.select("file_id", (F.col("i") + 1).alias("line"), F.explode(F.regexp_extract_all("text", F.lit(r"([A-Za-z_][A-Za-z0-9_]*) ?\("), F.lit(1))).alias("name"))
+    known = words.join(names.select("name").distinct(), "name", "left_semi").distinct()
+    return known.join(definitions, ["file_id", "line", "name"], "left_anti").select("name", "file_id", "line")

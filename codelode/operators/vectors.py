@@ -116,3 +116,13 @@ def embed_missing(df: DataFrame, cache: DataFrame, text: str = "text", embedder=
 def centroids(df: DataFrame, by: str) -> DataFrame:
     """(by, position, mean): the mean vector of each group, position by position, with map-side combining."""
     return df.select(by, F.posexplode("embedding").alias("position", "x")).groupBy(by, "position").agg(F.avg(F.col("x").cast("double")).alias("mean"))
+
+
+def similar_patterns(patterns: DataFrame, pattern_type: str, confidence: float = 0.8) -> DataFrame:
+    """Of what an analyzer found, the rows of a type that it is confident of, the surest first."""
+    return patterns.filter((F.col("pattern_type") == pattern_type) & (F.col("confidence") >= confidence)).orderBy(F.desc("confidence"), *[c for c in patterns.columns if c not in ("pattern_type", "confidence")])
+
+
+def similarity_metrics(pairs: DataFrame) -> DataFrame:
+    """(pairs, mean, highest) of the similarities of pairs."""
+    return pairs.agg(F.count("*").alias("pairs"), F.round(F.avg("similarity"), 4).alias("mean"), F.max("similarity").alias("highest"))

@@ -88,13 +88,13 @@ def gr18_hierarchy_rollup(d: Data):
     return d.region.join(d.nation, F.col("n_regionkey") == F.col("r_regionkey")).join(c, "n_nationkey", "left").select(F.col("r_name").alias("region"), F.col("n_name").alias("nation"), F.coalesce("customers", F.lit(0)).alias("customers"), "balance")
 
 
-@query("WITH RECURSIVE e AS (SELECT DISTINCT c.name, b.base FROM classes c, unnest(c.base_classes) AS b(base)), r AS (SELECT name, base, 1 AS depth FROM e UNION SELECT r.name, e.base, r.depth + 1 FROM r JOIN e ON e.name = r.base WHERE r.depth < 4) SELECT name, max(depth) AS depth, bool_or(name = base) AS circular FROM r GROUP BY 1", "classes")
+@query("WITH RECURSIVE e AS (SELECT DISTINCT c.name, b.base FROM classes c, unnest(c.base_classes) AS b(base)), r AS (SELECT name, base, 1 AS depth FROM e UNION SELECT r.name, e.base, r.depth + 1 FROM r JOIN e ON e.name = r.base WHERE r.depth < 10) SELECT name, max(depth) AS depth, bool_or(name = base) AS circular FROM r GROUP BY 1", "classes")
 def gr15_inheritance(d: Data):
     e = d.classes.select("name", F.explode("base_classes").alias("base")).distinct()
     step = e.select(F.col("name").alias("base"), F.col("base").alias("next"))
     level = e.select("name", "base", F.lit(1).alias("depth"))
     out = level
-    for n in range(2, 5):
+    for n in range(2, 11):
         level = level.join(step, "base").select("name", F.col("next").alias("base"), F.lit(n).alias("depth")).distinct()
         out = out.unionByName(level)
     return out.groupBy("name").agg(F.max("depth").alias("depth"), F.bool_or(F.col("name") == F.col("base")).alias("circular"))
@@ -108,9 +108,3 @@ def agg20_degrees(d: Data):
     o, i = e.groupBy(F.col("source").alias("node")).agg(F.count("*").alias("outgoing")), e.groupBy(F.col("target").alias("node")).agg(F.count("*").alias("incoming"))
     g = d.nation.select(F.col("n_nationkey").alias("node")).join(o, "node", "left").join(i, "node", "left").fillna(0)
     return g.withColumn("isolated", F.col("outgoing") + F.col("incoming") == 0)
-
-
-@query("WITH f AS (SELECT f.id, f.name, f.module_id FROM functions f WHERE NOT starts_with(f.name, '_')) SELECT f.id FROM f WHERE NOT EXISTS (SELECT 1 FROM embs e WHERE e.entity_type = 'function' AND e.entity_id = f.id)", "functions embs")
-def gr24_unreferenced(d: Data):
-    e = d.where("embs", "entity_type = 'function'").select(F.col("entity_id").alias("id"))
-    return d.where("functions", ~F.col("name").startswith("_")).select("id").join(e, "id", "left_anti")

@@ -167,13 +167,6 @@ def gr12_package_cycles(d: Data):
     return gr.cycles(e.select(name("source").alias("source"), name("target").alias("target")))
 
 
-@query(f"WITH {PAIRS}, e AS (SELECT source AS s, target AS t FROM pair WHERE n > 1.2 * (SELECT avg(n) FROM pair)) SELECT [a.s, a.t] AS path, 2 AS length FROM e a JOIN e b ON b.s = a.t AND b.t = a.s WHERE a.s < a.t")
-def gr10_entity_cycles(d: Data):
-    from codelode.operators.rules import _with_mean, pair_counts
-
-    return gr.cycles(_with_mean(pair_counts(relations(d))).filter("n > 1.2 * mean").select("source", "target"), 2)
-
-
 @query("SELECT kind, count(*) AS n, count(DISTINCT s) AS statements FROM (SELECT s, CASE WHEN regexp_matches(s, '^from \\.') THEN 'relative' WHEN regexp_matches(s, '^(from|import) (app|src|core)(\\.| |$)') THEN 'internal' ELSE 'external' END AS kind FROM (SELECT unnest(string_split(c.content, chr(10))) AS s FROM contents c JOIN files f ON f.id = c.file_id WHERE f.path LIKE '%.py') WHERE regexp_matches(s, '^(from|import) [A-Za-z_.]')) GROUP BY 1", "contents files")
 def gr21_import_groups(d: Data):
     py = d.where("files", F.col("path").endswith(".py")).select(F.col("id").alias("file_id"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import functions as F
 
 from codelode.operators import chunks as ch
@@ -10,8 +12,8 @@ from codelode.parse import registry as rg
 
 from .base import Data, query
 
-#: Modules of the standard library that count as such in import statistics.
-STDLIB = "os sys re json logging pathlib typing collections itertools functools datetime time math random subprocess threading asyncio abc io csv hashlib shutil tempfile unittest dataclasses enum copy string contextlib argparse glob pickle socket struct uuid warnings inspect types operator traceback urllib http".split()
+#: Modules of the standard library, as the interpreter lists them.
+STDLIB = sorted(m for m in sys.stdlib_module_names if not m.startswith("_"))
 
 
 @query()
