@@ -15,6 +15,7 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.session import shared_dir, ship
+
 #: Fixed value: the pre-tokenizer of the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -75,19 +78,37 @@ def chunks_of(data: bytes, asked: np.ndarray, base: int = 0) -> list[bytes]:
     return out
 
 
+#: No pre-token spans the place between such a sign and a letter or digit, nor the one before a white space.
+_SURE = regex.compile(r"[!-&(-/:-@\[-`{-~](?=[A-Za-z0-9])|\S(?=\s)")
+
+
+@functools.cache
+def _lengths(enc) -> np.ndarray:
+    """Bytes of each token."""
+    return np.array([len(enc.decode_single_token_bytes(i)) for i in range(enc.n_vocab)], np.int64)
+
+
 def encode_chunk(enc, data: bytes, head: int = 6) -> tuple[list[int], int, list[tuple[int, int]]]:
     """ids; how many of them may change with what follows; (bytes, ids) up to each of the first pre-tokens' ends."""
     text = data.decode()
     ids = enc.encode_ordinary(text)
-    ends, size, count, before, last = [], 0, 0, "", ""
+    upto = np.cumsum(_lengths(enc)[ids])
+    sizes, plain = [], len(text) == len(data)
     for m in _PRE.finditer(text):
+        sizes.append(m.end() if plain else len(text[: m.end()].encode()))
+        if len(sizes) == head:
+            break
+    counts = (np.searchsorted(upto, sizes) + 1).tolist()
+    # the last pre-tokens, read from the last sure boundary that is not far away
+    start = max(0, len(text) - 64)
+    for m in _SURE.finditer(text, start):
+        start = m.end()
+    before = last = ""
+    for m in _PRE.finditer(text, start if start and start > len(text) - 64 else 0):
         before, last = last, m.group()
-        if len(ends) < head:
-            size, count = size + len(last.encode()), count + len(enc.encode_ordinary(last))
-            ends.append((size, count))
     # what follows can lengthen the last pre-token; of 're, 'll and 've cut after one letter the apostrophe is one by itself here
-    open_ = len(enc.encode_ordinary(last)) + (before == "'" and last in ("r", "l", "v"))
-    return ids, open_, ends
+    open_ = len(ids) - int(np.searchsorted(upto, len(data) - len(last.encode()), "right")) + (before == "'" and last in ("r", "l", "v"))
+    return ids, open_, list(zip(sizes, counts))
 
 
 def joined(enc, parts: list[tuple[list[int], int, list[tuple[int, int]]]]) -> list[int]:
@@ -120,6 +141,7 @@ def joined(enc, parts: list[tuple[list[int], int, list[tuple[int, int]]]]) -> li
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """(key, ids array<int>) for every row of docs."""
     # rows are told apart by their place, so a row that is there twice comes out twice
+    ship(docs.sparkSession)
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,6 +152,13 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
             asked = cut_points(np.frombuffer(b"".join(texts), np.uint8))
             lo = 0
             for r, d, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), texts):
+                if not data:
+                    doc.append(r)
+                    key_.append(d)
+                    seq.append(-1)
+                    digest.append(None)
+                    body.append(None)
+                    continue
                 here = asked[np.searchsorted(asked, lo, "right") : np.searchsorted(asked, lo + len(data), "left")]
                 for i, c in enumerate(chunks_of(data, here, lo)):
                     h = hashlib.blake2b(c, digest_size=16).digest()
@@ -143,7 +172,10 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(key_, b.column(1).type), pa.array(seq, pa.int32()), pa.array(digest, pa.binary()), pa.array(body, pa.binary())], ["row", "doc_id", "seq", "digest", "body"])
 
     kind = dict(src.dtypes)["doc_id"]
-    parts = src.mapInArrow(cut, f"row long, doc_id {kind}, seq int, digest binary, body binary")
+    # cut once; three readers take their columns of it
+    at = f"{shared_dir(docs.sparkSession)}/chunks-{uuid.uuid4().hex}"
+    src.mapInArrow(cut, f"row long, doc_id {kind}, seq int, digest binary, body binary").write.option("compression", "zstd").parquet(at)
+    parts = docs.sparkSession.read.parquet(at)
     distinct = parts.filter(F.col("body").isNotNull()).groupBy("digest").agg(F.first("body").alias("body"))
 
     def encode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,7 +188,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
 
     coded = distinct.mapInArrow(encode_chunks, "digest binary, ids binary, last int, ends binary")
     # of a chunk that a third of all texts share, the references are one skewed partition, which AQE splits
-    lists = parts.select("row", "doc_id", "seq", "digest").join(coded, "digest").groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "ids", "last", "ends"))).alias("parts"))
+    lists = parts.filter("seq >= 0").select("row", "doc_id", "seq", "digest").join(coded, "digest").groupBy("row", "doc_id").agg(F.array_sort(F.collect_list(F.struct("seq", "ids", "last", "ends"))).alias("parts"))
 
     def join_up(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _encoder(vocabulary)
@@ -168,5 +200,5 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary:
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     done = lists.mapInArrow(join_up, f"doc_id {kind}, ids array<int>")
-    empty = src.filter(F.coalesce(F.length("text"), F.lit(0)) == 0).select("doc_id", F.array().cast("array<int>").alias("ids"))
+    empty = parts.filter("seq < 0").select("doc_id", F.array().cast("array<int>").alias("ids"))
     return done.unionByName(empty).select(F.col("doc_id").alias(key), "ids")
