@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ivf_search(df: DataFrame, key: str, k: int = 10, lists: int = 100, probes: int = 10, sample: int = 20_000, every: int = 20, cell_rows: int = 4096) -> DataFrame:
+def ivf_search(df: DataFrame, key: str, k: int = 10, lists: int | None = None, probes: int = 10, sample: int = 20_000, every: int = 20, cell_rows: int = 4096) -> DataFrame:
     """(id, neighbour, similarity): for every id divisible by ``every`` its k nearest of all rows.
 
-    Cells are fitted on at most ``sample`` rows by hash order; every row is indexed. Large cells are split into slices of
+    There are about as many cells as the root of the rows, unless ``lists`` says otherwise, so a query's share of the rows
+    shrinks as they grow. Cells are fitted on at most ``sample`` rows by hash order; every row is indexed. Large cells are split into slices of
     about ``cell_rows`` rows, each searched in a task of its own, and the slices' best are merged.
     """
     spark = df.sparkSession
@@ -21,7 +22,7 @@ def ivf_search(df: DataFrame, key: str, k: int = 10, lists: int = 100, probes: i
         return spark.createDataFrame([], "id long, neighbour long, similarity double")
     x = np.stack(fit.embedding).astype(np.float32)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    lists = min(lists, len(x))
+    lists = min(lists or max(16, int(rows.count() ** 0.5)), max(1, len(x) // 4))
     c = x[np.linspace(0, len(x) - 1, lists).astype(int)].copy()
     for _ in range(15):
         at = np.argmax(x @ c.T, axis=1)

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.session import ship
+
 from . import braces, python
 
 EXTENSIONS = {".py": "python", ".js": "js", ".jsx": "js", ".ts": "ts", ".tsx": "ts", ".java": "java", ".php": "php"}
@@ -35,28 +37,65 @@ def language(path: str) -> str | None:
     return EXTENSIONS.get(path[dot:]) if dot >= 0 else None
 
 
-def _parse(files: DataFrame, contents: DataFrame, parser: dict[str, Parser], cols: list[str], schema: str) -> DataFrame:
-    src = files.select(F.col("id").alias("file_id"), "path").join(contents.filter(F.col("content").isNotNull()).select("file_id", "content"), "file_id")
+def _sources(files: DataFrame, contents: DataFrame) -> DataFrame:
+    """(file_id, path, content) of the files some parser takes, each once; other texts are not shuffled."""
+    ship(files.sparkSession)
+    known = F.regexp_extract("path", r"(\.[^./]*)$", 1).isin(*EXTENSIONS)
+    f = files.filter(known).select(F.col("id").alias("file_id"), "path").dropDuplicates(["file_id"])
+    c = contents.filter(F.col("content").isNotNull()).select("file_id", "content")
+    return f.join(c, "file_id").dropDuplicates(["file_id"])
+
+
+def _parse(files: DataFrame, contents: DataFrame, parser: dict[str, Parser], cols: list[str], schema: str, instead: Callable[[str], list[dict]] = lambda text: []) -> DataFrame:
+    """Rows of a parser for each file; of a file that breaks the parser those of ``instead``, while ``report`` has its error."""
     names = ["file_id", *cols]
+    parser, kinds = dict(parser), dict(EXTENSIONS)  # as they are on the driver now, registered languages included
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             rows = []
             for fid, path, text in zip(pdf.file_id, pdf.path, pdf.content):
-                lang = language(path)
+                lang = kinds.get(path[path.rfind(".") :])
                 if lang in parser:
                     try:
-                        rows += [(fid, *[r.get(c) for c in cols]) for r in parser[lang](text)]
-                    except Exception:  # a file that breaks a parser is a file without rows, not a failed job
-                        continue
+                        got = parser[lang](text)
+                    except Exception:  # told by report(); a file must not fail the job
+                        got = instead(text)
+                    rows += [(fid, *[r.get(c) for c in cols]) for r in got]
             yield pd.DataFrame(rows, columns=names)
 
-    return src.mapInPandas(run, schema)
+    return _sources(files, contents).mapInPandas(run, schema)
+
+
+def _module(text: str) -> list[dict]:
+    """What is left of a file that can't be parsed: the module."""
+    return [{"kind": "module", "start_line": 1, "end_line": text.count("\n") + 1}]
+
+
+def report(files: DataFrame, contents: DataFrame) -> DataFrame:
+    """(file_id, language, elements, errors): a row for each file that was read; one that breaks its parser has one element, the module, and its error."""
+    parser, kinds = dict(_ENTITIES), dict(EXTENSIONS)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            rows = []
+            for fid, path, text in zip(pdf.file_id, pdf.path, pdf.content):
+                lang = kinds.get(path[path.rfind(".") :])
+                if lang in parser:
+                    errors = [e] if lang == "python" and (e := python.tree_of(text)[1]) else []
+                    try:
+                        n = len(parser[lang](text))
+                    except Exception as e:
+                        n, errors = 1, [*errors, f"{type(e).__name__}: {e}"]
+                    rows.append((fid, lang, n, errors))
+            yield pd.DataFrame(rows, columns=["file_id", "language", "elements", "errors"])
+
+    return _sources(files, contents).mapInPandas(run, "file_id long, language string, elements int, errors array<string>")
 
 
 def entities(files: DataFrame, contents: DataFrame) -> DataFrame:
     """(file_id, kind, name, class_name, start_line, end_line, complexity) of all supported files."""
-    return _parse(files, contents, _ENTITIES, ["kind", "name", "class_name", "start_line", "end_line", "complexity"], "file_id long, kind string, name string, class_name string, start_line int, end_line int, complexity int")
+    return _parse(files, contents, _ENTITIES, ["kind", "name", "class_name", "start_line", "end_line", "complexity"], "file_id long, kind string, name string, class_name string, start_line int, end_line int, complexity int", _module)
 
 
 def imports(files: DataFrame, contents: DataFrame) -> DataFrame:

@@ -66,7 +66,7 @@ def jn15_files_under_packages(d: Data):
 @query()
 def jn17_references_with_files(d: Data):
     f = d.files.select(F.col("id").alias("file_id"), "path")
-    return rg.references(d.files, d.contents).join(f, "file_id").select("path", "source", "target", "type", "line")
+    return rg.references(d.raw("code_files"), d.raw("file_contents")).join(f, "file_id").select("path", "source", "target", "type", "line")
 
 
 STRATEGIES = {"by_type": "entity_type", "by_embedding": "embedding_type"}
@@ -162,7 +162,7 @@ def agg_distinct_counts(d: Data):
 
 @query()
 def gr12_package_cycles(d: Data):
-    e = pk.edges(rg.imports(d.files, d.contents).select("file_id", "module_name"), d.files, pk.discover(d.files))
+    e = pk.edges(rg.imports(d.raw("code_files"), d.raw("file_contents")).select("file_id", "module_name"), d.files, pk.discover(d.files))
     name = lambda c: F.concat(F.col("repository_id").cast("string"), F.lit(":"), F.col(c))
     return gr.cycles(e.select(name("source").alias("source"), name("target").alias("target")))
 
@@ -213,7 +213,7 @@ def snk8_touch_synced(d: Data):
 @query()
 def snk9_store_parsed(d: Data):
     shared_dir(d.spark)
-    e = rg.entities(d.files, d.contents).filter("kind <> 'module'").withColumn("id", F.xxhash64("file_id", "kind", "name", "start_line")).checkpoint()  # parsed once for both sides
+    e = rg.entities(d.raw("code_files"), d.raw("file_contents")).filter("kind <> 'module'").withColumn("id", F.xxhash64("file_id", "kind", "name", "start_line")).checkpoint()  # parsed once for both sides
     c = e.filter("kind in ('class', 'interface', 'trait', 'enum', 'record')").groupBy("file_id", F.col("name").alias("class_name")).agg(F.min("id").alias("class_id"))
     return e.filter("kind in ('function', 'method')").join(c, ["file_id", "class_name"], "left").select("file_id", "id", "name", "class_id", "complexity")
 

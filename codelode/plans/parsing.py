@@ -18,19 +18,24 @@ STDLIB = sorted(m for m in sys.stdlib_module_names if not m.startswith("_"))
 
 @query()
 def par_entities(d: Data):
-    return rg.entities(d.files, d.contents)
+    return rg.entities(d.raw("code_files"), d.raw("file_contents"))
+
+
+@query()
+def par19_report(d: Data):
+    return rg.report(d.raw("code_files"), d.raw("file_contents"))
 
 
 @query()
 def par_imports(d: Data):
-    return rg.imports(d.files, d.contents)
+    return rg.imports(d.raw("code_files"), d.raw("file_contents"))
 
 
 @query()
 def par_references_resolved(d: Data):
     m = d.modules.select(F.col("id").alias("module_id"), "file_id")
     sym = d.functions.select("name", "id", "module_id").join(m, "module_id").select("name", "id", "file_id")
-    return rg.resolve(rg.references(d.files, d.contents), sym)
+    return rg.resolve(rg.references(d.raw("code_files"), d.raw("file_contents")), sym)
 
 
 @query()
@@ -56,7 +61,7 @@ def agg10_import_frequency(d: Data):
 
 @query()
 def gr20_dependencies(d: Data):
-    i = rg.imports(d.files, d.contents)
+    i = rg.imports(d.raw("code_files"), d.raw("file_contents"))
     f = d.files.select("id", "repository_id", "path")
     local = f.select("repository_id", F.replace(F.regexp_replace("path", r"(/__init__)?\.py$", ""), F.lit("/"), F.lit(".")).alias("module_name"), F.col("id").alias("imported_file_id")).groupBy("repository_id", "module_name").agg(F.min("imported_file_id").alias("imported_file_id"))
     j = i.join(f.select(F.col("id").alias("file_id"), "repository_id"), "file_id").join(local, ["repository_id", "module_name"], "left")
@@ -66,13 +71,13 @@ def gr20_dependencies(d: Data):
 
 @query()
 def agg17_package_edges(d: Data):
-    return pk.edges(rg.imports(d.files, d.contents).select("file_id", "module_name"), d.files, pk.discover(d.files))
+    return pk.edges(rg.imports(d.raw("code_files"), d.raw("file_contents")).select("file_id", "module_name"), d.files, pk.discover(d.files))
 
 
 @query()
 def agg19_package_coupling(d: Data):
     p = pk.discover(d.files)
-    return pk.coupling(pk.edges(rg.imports(d.files, d.contents).select("file_id", "module_name"), d.files, p), p)
+    return pk.coupling(pk.edges(rg.imports(d.raw("code_files"), d.raw("file_contents")).select("file_id", "module_name"), d.files, p), p)
 
 
 @query(

@@ -48,11 +48,19 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the cluster names it in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder all executors share, as the cluster names it in spark.checkpoint.dir.
+
+    Where that is unset, a temporary one on a local master; on a cluster that would be a folder of the driver, an error.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if at is None:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        at = got.get() if got.isDefined() else tempfile.mkdtemp(prefix="codelode-")
+        if got.isDefined():
+            at = got.get()
+        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
+            at = tempfile.mkdtemp(prefix="codelode-")
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
     return at

@@ -1,10 +1,7 @@
-"""Directory trees, commits and Parquet stores as sources and sinks."""
+"""Directory trees and Parquet tables as sources and sinks."""
 
 from __future__ import annotations
 
-import subprocess
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,8 +13,10 @@ EXCLUDED = (".git", "__pycache__", "node_modules", ".venv", "venv", "dist", "bui
 
 def walk(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".py",), excluded: tuple[str, ...] = EXCLUDED, most: int | None = None) -> DataFrame:
     """(path, size, last_modified, content_hash, git_hash, language, content) of the files below root."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), "^" + root.rstrip("/") + "/", "")
+    # the glob prunes by name, so no other file's content is read; the folders go before the content is used
+    glob = "{" + ",".join(f"*{s}" for s in suffixes) + "}"
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    base = F.regexp_replace(F.regexp_replace("path", r"^file:/*", "/"), "^\\Q" + root.rstrip("/") + "/\\E", "")
     f = raw.withColumn("rel", base)
     keep = F.lit(False)
     for s in suffixes:
@@ -29,20 +28,6 @@ def walk(spark: SparkSession, root: str, suffixes: tuple[str, ...] = (".py",), e
     return f.select(F.col("rel").alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"), F.sha2("content", 256).alias("content_hash"), F.sha1(F.concat(head, "content")).alias("git_hash"), language_of("rel").alias("language"), F.col("content").cast("string").alias("content"))
 
 
-def commits(spark: SparkSession, repository: str, branch: str = "HEAD", limit: int = 100) -> DataFrame:
-    """(sha, author, author_email, timestamp, message, files_changed, additions, deletions) of a local repository, newest first."""
-    sep, end = "\x1f", "\x1e"
-    out = subprocess.run(["git", "-C", repository, "log", branch, f"-{limit}", f"--pretty=format:{end}%H{sep}%an{sep}%ae{sep}%ct{sep}%B{sep}", "--numstat"], capture_output=True, text=True, check=True).stdout
-    rows = []
-    for block in filter(None, out.split(end)):
-        sha, author, email, ts, message, stats = block.split(sep)
-        lines = [x.split("\t") for x in stats.strip().split("\n") if x.count("\t") == 2]
-        n = lambda i: sum(int(x[i]) for x in lines if x[i].isdigit())
-        rows.append((sha, author, email, int(ts), message.strip(), [x[2] for x in lines], n(0), n(1)))
-    df = spark.createDataFrame(rows, "sha string, author string, author_email string, ts long, message string, files_changed array<string>, additions int, deletions int")
-    return df.withColumn("timestamp", F.timestamp_seconds("ts")).drop("ts")
-
-
 def last_commit_per_path(commits_: DataFrame) -> DataFrame:
     """(path, sha, timestamp) of the newest commit that touched each path."""
     return commits_.select("sha", "timestamp", F.explode("files_changed").alias("path")).groupBy("path").agg(F.max_by("sha", F.struct("timestamp", "sha")).alias("sha"), F.max("timestamp").alias("timestamp"))
@@ -52,20 +37,6 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
-def replace(df: DataFrame, path: str) -> DataFrame:
-    """Writes a table that df may read from: to a new folder first, then over the old one."""
-    spark = df.sparkSession
-    fresh = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
-    jvm = spark.sparkContext._jvm
-    hconf = spark.sparkContext._jsc.hadoopConfiguration()
-    old, new = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(fresh)
-    fs = old.getFileSystem(hconf)
-    fs.delete(old, True)
-    fs.rename(new, old)
-    return spark.read.parquet(path)
-
-
 def bucketed(df: DataFrame, table: str, key: str, buckets: int) -> None:
     """A table whose later joins on the key need no shuffle."""
     df.write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(table)

@@ -3,6 +3,7 @@ import ast
 import pytest
 
 from codelode.parse import braces, python
+from codelode.parse import registry as rg
 
 SNIPPETS = [
     ("def f():\n    return 1\n", 1),
@@ -83,3 +84,19 @@ def test_docblock_trims_tabs_and_carriage_returns_like_spaces(spark):
     df = spark.createDataFrame(list(enumerate(blocks)), "id long, docstring string")
     got = [r.prose for r in df.orderBy("id").select(docblock("docstring").alias("prose")).collect()]
     assert got == [brute(x) for x in blocks] == ["One line.", "Reads\tthe row.", "Writes it.", ""]
+
+
+def test_a_file_that_breaks_its_parser_keeps_a_row_and_tells(spark, monkeypatch):
+    files = spark.createDataFrame([(1, "a.py"), (2, "b.py"), (3, "c.zz"), (4, "d.md")], "id long, path string")
+    contents = spark.createDataFrame([(1, "def f(): pass\n"), (2, "def ("), (3, "x\ny"), (4, "x")], "file_id long, content string")
+
+    def bad(text):
+        raise KeyError("zz")
+
+    monkeypatch.setitem(rg.EXTENSIONS, ".zz", "zz")
+    monkeypatch.setitem(rg._ENTITIES, "zz", bad)
+    got = {r.file_id: r for r in rg.report(files, contents).collect()}
+    assert got[1].errors == [] and got[1].elements == 2
+    assert got[2].errors[0].startswith("SyntaxError") and got[2].elements == 1
+    assert got[3].elements == 1 and "KeyError" in got[3].errors[0] and 4 not in got
+    assert {(r.file_id, r.kind) for r in rg.entities(files, contents).collect()} == {(1, "module"), (1, "function"), (2, "module"), (3, "module")}

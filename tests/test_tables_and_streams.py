@@ -11,6 +11,8 @@ from codelode.operators import chunks as ch
 from codelode.operators import ivf, tables
 from codelode.operators import vectors as vx
 from codelode.sources import files as sf
+from codelode.sources import git as sg
+from codelode.sources import store
 from codelode.streaming import incremental as inc
 
 
@@ -41,7 +43,7 @@ def test_commits_of_a_repository(spark, tmp_path):
         (tmp_path / "f.py").write_text(f"x = {i}\n")
         run("add", "-A")
         run("commit", "-qm", f"step {i}")
-    got = sf.commits(spark, str(tmp_path))
+    got = sg.commits(spark, str(tmp_path))
     assert [r.message for r in got.collect()] == ["step 1", "step 0"]
     assert sf.last_commit_per_path(got).collect()[0].path == "f.py"
 
@@ -49,7 +51,7 @@ def test_commits_of_a_repository(spark, tmp_path):
 def test_replace_a_table_it_reads(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(3).write.parquet(path)
-    assert sf.replace(spark.read.parquet(path).filter("id > 0"), path).count() == 2
+    assert store.replace(spark.read.parquet(path).filter("id > 0"), path).count() == 2
 
 
 def test_merge_stream_is_idempotent(spark, tmp_path):
@@ -119,3 +121,95 @@ def test_shared_dir_is_the_clusters(spark):
 
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     assert os.path.isdir(shared_dir(spark))
+
+
+def repository(at, steps=2):
+    at.mkdir()
+    run = lambda *a: subprocess.run(["git", "-C", str(at), "-c", "user.name=n", "-c", "user.email=e@x", *a], check=True, capture_output=True, env=os.environ | {"GIT_COMMITTER_DATE": when, "GIT_AUTHOR_DATE": when})
+    when = "2024-01-01T00:00:00Z"
+    run("init", "-q", "-b", "main")
+    for i in range(steps):
+        when = f"2024-01-0{i + 1}T00:00:00Z"
+        (at / f"f{i}.py").write_text(f"def f{i}():\n    return {i}\n")
+        run("add", "-A")
+        run("commit", "-qm", f"step {i}")
+    return run
+
+
+def test_clone_fetch_and_since(spark, tmp_path):
+    from datetime import datetime
+
+    run = repository(tmp_path / "origin")
+    url, clone = f"file://{tmp_path}/origin/.git", str(tmp_path / "clones" / "1")
+    assert sg.checkout(url, clone) == clone and os.path.exists(f"{clone}/f1.py")
+    (tmp_path / "origin" / "g.py").write_text("x = 1\n")
+    run("add", "-A")
+    run("commit", "-qm", "more")
+    run("branch", "other")
+    assert os.path.exists(f"{sg.checkout(url, clone)}/g.py") and sg.checkout(url, clone, "other") == clone
+    assert sg.git(clone, "rev-parse", "--abbrev-ref", "HEAD").strip() == "other"
+    # a folder that is no repository is cloned anew
+    (tmp_path / "clones" / "2").mkdir()
+    (tmp_path / "clones" / "2" / "junk").write_text("x")
+    assert not os.path.exists(f"{sg.checkout(url, str(tmp_path / 'clones' / '2'))}/junk")
+    own = f"file://{tmp_path}/origin"
+    assert sg.checkout(own, "unused") == f"{tmp_path}/origin"
+    c = sg.commits(spark, f"{tmp_path}/origin", "no-such-branch", since=datetime(2024, 1, 2))
+    assert [(r.message, r.additions) for r in c.filter("message like 'step%'").collect()] == [("step 1", 2)]
+    assert sg.changed_since(sg.commits(spark, f"{tmp_path}/origin"), None).first()[0] == 3
+    assert sg.with_token("https://h/x", "t") == "https://t@h/x" and sg.with_token("file:///x", "t") == "file:///x"
+
+
+def test_a_repository_that_fails_does_not_stop_the_others(spark, tmp_path):
+    repository(tmp_path / "a")
+    files, report = sg.scan_all(spark, [(1, f"file://{tmp_path}/a"), (2, f"file://{tmp_path}/missing"), (3, f"file://{tmp_path}/missing.git")], str(tmp_path / "clones"))
+    assert {(r.repository_id, r.status) for r in report.collect()} == {(1, "success"), (2, "failed"), (3, "failed")} and report.filter("error is not null").count() == 2
+    assert {(r.path, r.last_commit_at.day) for r in files.collect()} == {("f0.py", 1), ("f1.py", 2)}
+
+
+def test_one_file_is_synced_and_parsed(spark, tmp_path):
+    repository(tmp_path / "a")
+    stored = spark.createDataFrame([(1, "f0.py", "HEAD", "old", None, 1, "python"), (1, "f9.py", "HEAD", "h", None, 1, "python")], "repository_id long, path string, branch string, content_hash string, git_hash string, size int, language string")
+    after, entities, errors = sg.sync_file(stored, str(tmp_path / "a"), 1, "f0.py")
+    assert {(r.path, r.outcome) for r in after.collect()} == {("f0.py", "updated"), ("f9.py", "kept")}
+    assert {(r.kind, r.name) for r in entities.collect()} == {("module", None), ("function", "f0")} and errors.first().errors == []
+
+
+def test_merge_keeps_the_table_when_the_pointer_is_lost(spark, tmp_path):
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    schema = "k string, id long, ts long"
+    put = lambda rows: spark.createDataFrame(rows, schema).write.mode("append").parquet(src)
+    go = lambda: inc.merge_stream(spark.readStream.schema(schema).parquet(src), out, ["k"], "ts", parts=4).awaitTermination()
+    assert inc.current(spark, out) is None
+    put([(f"k{i}", i, 1) for i in range(20)])
+    go()
+    before = inc.pointer(spark, out)
+    put([("k3", 3, 2)])
+    go()
+    after = inc.pointer(spark, out)
+    assert sum(before["folders"][p] != after["folders"][p] for p in before["folders"]) == 1  # only the touched part moved
+    assert inc.current(spark, out).count() == 20 and inc.current(spark, out).filter("k = 'k3'").first().ts == 2
+    assert len(inc.vacuum(spark, out)) <= 1 and inc.current(spark, out).count() == 20
+    os.remove(f"{out}/pointer.json")
+    put([("k4", 4, 3)])
+    with pytest.raises(Exception, match="no pointer"):
+        go()
+    with pytest.raises(OSError):
+        inc.current(spark, out)
+
+
+def test_a_failed_replacement_leaves_the_old_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    spark.range(3).write.parquet(path)
+    real, calls = store.move, []
+
+    def move(s, a, b):
+        calls.append(a)
+        if len(calls) == 2:
+            raise OSError("no")
+        real(s, a, b)
+
+    monkeypatch.setattr(store, "move", move)
+    with pytest.raises(OSError):
+        store.replace(spark.range(9), path)
+    assert spark.read.parquet(path).count() == 3
