@@ -4,18 +4,22 @@ Words that look disguised (digits or signs for letters, look-alike letters, spac
 lattices of what each character may stand for. A Viterbi search finds the cheapest reading under two character language
 models: one over the words that abuse needs, a prefix tree whose branch counts are its probabilities, and one over all
 documents' characters. Insults are looked for first, then all words of the rules. The reading is taken if the first model explains the characters better than the second.
-Restored sentences are scored by what is said to whom: insults, threats and wishes of harm against people, contempt for
-a group, sexual wording.
+Restored sentences are scored twice. Rules say what is said to whom: insults, threats and wishes of harm against people,
+contempt for a group, sexual wording. And phrases learnt from labelled documents: runs of up to four words that at least
+``least`` labelled documents hold and of which at least ``purity`` of the holders are abusive; a sentence that consists of
+them to a half is abusive whatever its words. At most ``most_labels`` labelled documents, the first by hash, are read.
 
 Defined results
 * null, empty and blank texts score 0; every document gets one row, a repeated doc_id one;
 * a text is abusive from a score of 0.5 on, which one sentence can reach; harsh words about code or oneself, technical
   terms and neutral mentions stay below;
-* without any letters in the corpus the background model is uniform.
+* without any letters in the corpus the background model is uniform, without labels there are no learnt phrases;
+* verdicts on one document count by their majority, a tie or null verdicts not at all.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import unicodedata
@@ -27,21 +31,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codelode.session import ship
+
 from .leakage import ALIKE
 
 # --- what abuse needs -------------------------------------------------------------------------------------------------
-#: Nouns that are an insult whoever they are said of.
+#: Nouns that are an insult whoever they are said of.
 INSULTS = """idiot moron imbecile cretin halfwit asshole arsehole bastard scumbag dumbass jackass loser dickhead dipshit
 shithead douchebag motherfucker cocksucker wanker twat cunt bitch prick tosser retard numbskull nitwit dimwit scum
 bellend shitbag fuckwit fuckface halfwits imbeciles""".split()
-#: Adjectives that go with them.
+#: Adjectives that go with them.
 SCORN = """useless worthless pathetic clueless spineless gutless filthy miserable braindead disgusting brainless stupid
 dumb ugly lazy incompetent vile rotten hopeless""".split()
-#: Sexual wording that no code needs.
+#: Sexual wording that no code needs.
 SEXUAL = """fuckable tits titties pussy cock cocks dick slut sluts whore whores nudes horny porn porno cum cumming blowjob
 handjob boobs orgasm milf dildo hentai gangbang threesome housewives busty clit""".split()
+#: Words of those lists that mean something else as well: they need company.
+DOUBLE = """bastard bastards prick pricks jackass twat twats tit tits cock cocks dick cum pussy hentai milf clit""".split()
+#: What nobody is called in earnest praise; an insult when said of the reader.
+NAMES = """buffoon fool clown dunce dolt oaf simpleton nobody failure disgrace embarrassment parasite leech worm cockroach donkey creep pervert
+freak coward liar fraud joke waste vermin cancer degenerate lowlife nuisance rat snake monkey cow dog idiot""".split()
+#: What belongs to a person and not to a program.
+BELONGINGS = "house|home|car|family|kids|children|child|wife|husband|mother|father|sister|brother|face|legs?|arms?|bones?|neck|throat|fingers?|teeth|skull|head|dog|cat|hands?|nose|ribs?|eyes?"
 SWEAR = "fuck fucking fucked fucker shit bullshit damn ass crap goddamn".split()
-#: Words of other languages.
+#: Words of other languages.
 OTHER = """arschloch scheiße scheisse fresse verpiss verreckst verrecke mistvieh mistkerl hurensohn wichser schlampe
 fotze drecksau dreckskerl missgeburt vollidiot schwein trottel puta mierda cabrón cabron gilipollas pendejo imbécil carajo
 hijoputa cállate callate inútil zorra maricón enculé connard salaud foutre gueule abruti merde salope pute bordel crétin
@@ -84,7 +97,7 @@ def _unmojibake(m: re.Match[str]) -> str:
 
 
 # --- the decoder ------------------------------------------------------------------------------------------------------
-#: What a sign may stand for.
+#: What a sign may stand for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "€": "e", "£": "l", "(": "c", "%": "x", "#": "h", "*": "?", "_": "?", "•": "?", "·": "?"}
 LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßáéíóúñçàèêôûîœ"
 _AT = {c: i + 1 for i, c in enumerate(LETTERS)}
@@ -204,8 +217,6 @@ class Decoder:
                             then[k] = v
             if not then:
                 return None
-            if len(then) > 64:
-                then = dict(sorted(then.items(), key=lambda x: x[1])[:64])
             now = then
         best = min(((cost, word[node]) for (node, _), cost in now.items() if word[node]), default=None)
         if best is None:
@@ -302,11 +313,13 @@ def _pieces(s: str, decoder: Decoder) -> str | None:
 # --- the score --------------------------------------------------------------------------------------------------------
 _I = r"(?:" + "|".join(sorted(INSULTS, key=len, reverse=True)) + r"|pig|swine|piece of shit|pieces of shit|waste of oxygen|wastes of oxygen|waste of space|son of a bitch|sack of shit)(?:s|es)?"
 _S = r"(?:" + "|".join(SCORN) + r")"
+_D = "|".join(DOUBLE)
 _GROUP_END = r"(?:vermin|parasites?|a disease|a plague|a cancer|subhuman|animals|rats|cockroaches|filth|scum|born thieves|savages|a burden)"
 #: (pattern, weight). Weights of one sentence add up; what counts by itself has at least 0.5.
 RULES: list[tuple[str, float]] = [
     # insults
-    (rf"\b(?!(?:pigs?|losers?|scum|pricks?|ticks?|swine)\b){_I}\b", 0.5),
+    (rf"\b(?!(?:pigs?|losers?|scum|ticks?|swine|{_D})\b){_I}\b", 0.5),
+    (rf"\b(?:{_D})\b", 0.2),
     (r"\b(?:pigs?|losers?|scum|pricks?|swine)\b", 0.3),
     (rf"\b(?:you|your|u|ur|yourself|youre)\b.{{0,60}}\b{_I}\b|\b{_I}\b.{{0,60}}\b(?:you|your)\b", 0.5),
     (rf"\b{_S} {_I}\b", 0.5),
@@ -314,14 +327,21 @@ RULES: list[tuple[str, float]] = [
     (rf"\b(?:only|just|such|what) an? (?:{_S} )*{_I}\b|\bis an? (?:{_S} )*{_I}\b|\bwrites? .{{0,20}}than an? .{{0,24}}{_I}\b", 0.5),
     (rf"\byou (?:{_S}|{_I}),|\byou are (?:all |just |such |so |really )?(?:an? )?{_S}(?: people| excuse| person| human)?\b(?! at the)", 0.4),
     (r"\b(?:go )?fuck (?:you|yourself|off|u|them)\b|\bfuck your\b|\b(?:eat shit|suck my|kiss my ass|screw yourself|piss off)\b", 0.6),
-    (r"\byou (?:people )?(?:make me sick|disgust me)\b|\beveryone laughs at you\b|\byour brain is (?:mush|mud|rotten)\b|\bdumber than\b.{0,20}\b(?:linter|rock|brick|door)|\bnobody (?:here )?(?:wants|likes|loves) you\b|\bwere you dropped as a baby\b|\bcan you not count to three\b", 0.6),
+    (r"\byou (?:people )?(?:make me sick|disgust me)\b|\beveryone laughs at you\b|\byour brain is (?:mush|mud|rotten)\b|\bdumber than\b.{0,20}\b(?:linter|rock|brick|door)|\bnobody (?:here )?(?:wants|likes|loves) you\b", 0.6),
     # contempt without a slur
     (r"\bpeople like you (?:are|is|make) (?:why|the reason|what)\b", 0.7),
-    (r"\bmust be so ashamed of\b|\bashamed of (?:you|what they raised|ever having met you|the thing you)\b", 0.7),
+    (r"\bmust be (?:so |really |very )?ashamed of\b|\bashamed of you\b", 0.7),
     (r"\bnot even your (?:mother|father|dog|parents|kids|family) (?:likes?|loves?|wants?) you\b|\bno(?:body| one) would (?:miss you|come to your funeral|cry for you|notice)\b", 0.7),
     (r"\bwe would all breathe easier\b|\b(?:us all|the world|everyone|everybody|humanity|mankind) a favou?r and\b", 0.6),
-    (r"\b(?:now |just |please |so |and |go )(?:go )?(?:play in traffic|jump off a (?:bridge|cliff|roof|building)|crawl back under your rock|delete your account|disappear for good|never come near a keyboard again|kill yourself|drink bleach|hang yourself|drop dead)\b|\b(?:kill yourself|kys|go die|drop dead)\b", 0.7),
+    (r"\b(?:now |just |please |so |and |go )(?:go )?(?:play in traffic|jump off a (?:bridge|cliff|roof|building)|crawl back under your rock|delete your account|disappear for good|kill yourself|drink bleach|hang yourself|drop dead)\b|\b(?:kill yourself|kys|go die|drop dead)\b", 0.7),
+    (rf"\byou(?:'re| are|r) (?:all |just |really |truly |nothing but |such )*(?:an? |the |such an? )(?:(?!good|great|brave|lucky)\w+ ){{0,2}}(?:{'|'.join(NAMES)})s?\b(?! (?:to|if|not)\b)", 0.5),
+    (r"\bi (?:really |truly |do |so )*(?:despise|hate|loathe|detest) you(?:r guts)?\b(?! know)|\b(?:despise|hate|loathe|detest) you with\b", 0.6),
+    (r"\b(?:kill yourself|hang yourself|drown yourself|drink bleach|kys|go die|drop dead|go and die|end your(?: miserable| sorry)? life)\b", 0.7),
+    (r"\b(?:jump (?:off|from|under) (?:a|the) (?:bridge|cliff|roof|building|train|bus))\b", 0.5),
     # threats and wishes of harm
+    (r"\b(?:i|we)(?:'ll| will|'m going to| am going to|'re going to| are going to|'m gonna) (?:\w+ ){0,2}(?:kill|hurt|beat|stab|shoot|strangle|hunt|bury|drown|poison|choke|slap|punch) (?:you|u)\b", 0.7),
+    (rf"\b(?:i|we|somebody|someone)(?:'ll| will|'m going to| am going to|'re going to| are going to| should| ought to) (?:\w+ ){{0,2}}(?:set|burn|torch|smash|break|cut|crush|destroy|visit|find|follow|slash) (?:\w+ )?(?:you|your) (?:{BELONGINGS})\b", 0.6),
+    (r"\b(?:we|i) know (?:where you|which (?:\w+ )?you|your (?:address|kids|children|family|name|car|shift))\b", 0.6),
     (r"\bif i (?:ever )?(?:meet|see|find|catch|get) you\b", 0.6),
     (r"\byou will need an? (?:dentist|coffin|surgeon|wheelchair|doctor|ambulance|hospital|priest|undertaker)\b", 0.5),
     (r"\bwatch your back\b|\bwe know (?:where you live|your (?:shift|kids|address|name|family|car)|which (?:train|bus|way|car) you)\b|\bi know where you live\b", 0.6),
@@ -330,7 +350,7 @@ RULES: list[tuple[str, float]] = [
     (r"\bshould be (?:slapped|shot|hanged|hung|beaten|locked away|locked up|fired on the spot|thrown|kicked|banned|whipped|burned|put down)\b", 0.3),
     (r"\b(?:smash your|break your|cut your|knock your|punch your) (?:teeth|fingers|legs|face|hands|neck|head|skull|nose|arms|knees)\b", 0.6),
     (r"\bi hope (?:that )?(?:you|your)\b.{0,60}\b(?:rot|die|choke|suffer|ditch|cancer|burn|truck|bleed|starve|drown|crash|grave|hit by|never wake|alone)\b", 0.7),
-    (r"\b(?:i|we) (?:will|am going to|'ll|are going to) (?:kill|hurt|beat|stab|shoot|find|burn|strangle|hunt) (?:you|your)\b", 0.7),
+    (rf"\b(?:i|we)(?: will| am going to|'ll| are going to) (?:kill|hurt|beat|stab|shoot|find|burn|strangle|hunt) (?:you|your (?:\w+ )?(?:{BELONGINGS}))\b", 0.7),
     # hate against a group
     (r"\bthe sooner\b.{0,40}\b(?:vanish from|go back where|die out|are gone|are dead|leave this country|disappear from)\b", 0.7),
     (r"\b(?:belongs?|belonging) in (?:a|the) (?:cage|camp|zoo|kitchen|gutter|oven|jail|ghetto|asylum|swamp|stable|sewer|desert|trash)\b, not\b", 0.7),
@@ -342,7 +362,8 @@ RULES: list[tuple[str, float]] = [
     (r"\b(?:has|have) no place in (?:this|our)\b|\bmust be kept away from our\b|\bdeserve whatever is coming\b|\bwill never be like us\b|\bno rights? here\b|\bare (?:too )?(?:inferior|subhuman)\b|\bare (?:vermin|subhuman)\b", 0.6),
     (r"\bi (?:take|accept|review|merge|want) no (?:\w+ )?(?:from|by)\b.{0,40}\btoo (?:dishonest|primitive|dirty|stupid|lazy|inferior)\b|\banother (?:patch|patches|commit|bug|pull request)\w* (?:by|from)\b.{0,40}\bno wonder\b", 0.6),
     # sexual
-    (r"\b(?:" + "|".join(SEXUAL) + r")\b", 0.5),
+    (r"\b(?:" + "|".join(w for w in SEXUAL if w not in DOUBLE) + r")\b", 0.5),
+    (r"\b(?:her|his|my|your|nice|wet|hard|big|suck|lick|see) (?:\w+ )?(?:tits|cock|dick|pussy|clit)\b", 0.5),
     (r"\b(?:strip|fuck|lick|spank|suck|ride|bend|undress|kiss|touch|pound|taste) (?:you|her|him|every inch|your)\b.{0,40}\b(?:naked|dry|beg|scream|desk|till|until|over|hard|inch|here|all night|deep)?", 0.4),
     (r"\bevery inch of you\b|\bsuck (?:you|him|me) dry\b|\bstrip you naked\b|\byou (?:lying )?naked\b|\btill you scream\b|\buntil you beg\b|\bbent over\b|\bride you\b|\bfuck (?:you|her|him|me)\b.{0,20}\b(?:until|till|on|right|hard)\b", 0.6),
     (r"\b(?:spread her legs|licked her|moaned|begged for more|tore off her|pushed (?:his|deep) |deep inside her|came as he|screamed with lust|fucked her|her (?:pussy|tits|legs|ass))\b", 0.6),
@@ -471,20 +492,79 @@ def score_sentence(s: str) -> float:
     return min(1.0, total)
 
 
-def score(text: str | None, decoder: Decoder) -> float:
+_TOKEN = re.compile(r"[^\W_]+")
+_IDEOGRAPH = re.compile("[぀-ヿ㐀-鿿]")
+LONGEST = 4
+
+
+def tokens(sentence: str) -> list[str]:
+    """Words but for numbers; of scripts without spaces each character."""
+    out: list[str] = []
+    for w in _TOKEN.findall(sentence):
+        if _IDEOGRAPH.search(w):
+            out += w
+        elif not w.isdigit():
+            out.append(w)
+    return out
+
+
+def phrases_of(sentence: str) -> set[str]:
+    w = tokens(sentence)
+    return {" ".join(w[i : i + n]) for n in range(1, LONGEST + 1) for i in range(len(w) - n + 1)}
+
+
+class Phrases:
+    """What labelled documents taught: phrases that hardly any harmless document holds."""
+
+    def __init__(self, phrases: set[str] = frozenset(), least_words: int = 3) -> None:
+        self.phrases, self.least_words = phrases, least_words
+        self.words = {w for p in phrases for w in p.split()}
+
+    def score(self, sentence: str) -> float:
+        """The share of the sentence's words that stand in learnt phrases, if there are at least ``least_words`` of them."""
+        if not self.phrases:
+            return 0.0
+        w = tokens(sentence)
+        known = [x in self.words for x in w]
+        if sum(known) < max(self.least_words, len(w) / 2):
+            return 0.0
+        covered = bytearray(len(w))
+        for n in range(1, LONGEST + 1):
+            for i in range(len(w) - n + 1):
+                if known[i] and " ".join(w[i : i + n]) in self.phrases:
+                    covered[i : i + n] = b"\x01" * n
+        n = sum(covered)
+        return n / len(w) if n >= self.least_words else 0.0
+
+
+NO_PHRASES = Phrases()
+
+
+def sentences(text: str) -> Iterator[str]:
+    """The sentences of a restored text, also of its lines joined, each once."""
+    flat = re.sub(r"(?<!\n)\n(?!\n)", " ", text)
+    seen: set[str] = set()
+    for form in (text, flat) if flat != text else (text,):
+        for s in _SPLIT.split(form):
+            s = _tidy(_CHAT.sub("", s))
+            if s and s not in seen:
+                seen.add(s)
+                yield s
+
+
+def score(text: str | None, decoder: Decoder, learnt: Phrases = NO_PHRASES) -> float:
     """0 to 1: the strongest sentence of the restored text."""
     if not text or text.isspace():
         return 0.0
     t = restore(text, decoder)
-    if not _worth_reading(_tidy(t)):
+    if not learnt.phrases and not _worth_reading(_tidy(t)):
         return 0.0
     best = 0.0
-    flat = re.sub(r"(?<!\n)\n(?!\n)", " ", t)
-    for form in (t, flat) if flat != t else (t,):
-        for s in _SPLIT.split(form):
-            s = _tidy(_CHAT.sub("", s))
-            if s and best < 1 and _worth_reading(s):
-                best = max(best, score_sentence(s))
+    for s in sentences(t):
+        if best < 1 and _worth_reading(s):
+            best = max(best, score_sentence(s))
+        if best < 1:
+            best = max(best, learnt.score(s))
     return round(best, 4)
 
 
@@ -514,18 +594,57 @@ def char_counts(documents: DataFrame, text: str = "text") -> np.ndarray:
     return out
 
 
-def scores(documents: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(doc_id, source, score) of every document."""
-    shared = documents.sparkSession.sparkContext.broadcast(char_counts(documents, text).astype(np.float32))
-    made: dict[str, Decoder] = {}
+_MADE: dict[str, tuple[Decoder, Phrases]] = {}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "d" not in made:
-            made["d"] = Decoder(CharModel(shared.value))
+
+def _made(digest: str, counts: np.ndarray, phrases: list[str]) -> tuple[Decoder, Phrases]:
+    """Decoder and phrases, built once a worker."""
+    if digest not in _MADE:
+        _MADE.clear()
+        _MADE[digest] = (Decoder(CharModel(counts)), Phrases(set(phrases)))
+    return _MADE[digest]
+
+
+def _digest(*parts: bytes) -> str:
+    return hashlib.blake2b(b"\0".join(parts), digest_size=16).hexdigest()
+
+
+def learn(documents: DataFrame, labels: DataFrame, counts: np.ndarray, least: int = 4, purity: float = 0.9, most_labels: int = 50_000) -> list[str]:
+    """The phrases of labelled documents, sorted; their number is bounded by the words of ``most_labels`` documents."""
+    verdict = labels.filter(F.col("abusive").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("abusive").alias("share")).filter("share <> 0.5")
+    some = verdict.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels).select("doc_id", (F.col("share") > 0.5).alias("abusive"))
+    texts = documents.filter(F.col("text").isNotNull()).select("doc_id", "text").join(some, "doc_id").dropDuplicates(["doc_id"]).select("text", "abusive")
+    shared = documents.sparkSession.sparkContext.broadcast(counts)
+    digest = _digest(counts.tobytes())
+
+    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder, _ = _made(digest, shared.value, [])
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([score(t, made["d"]) for t in b.column(2).to_pylist()], pa.float64())], ["doc_id", "source", "score"])
+            count: dict[str, list[int]] = {}
+            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                for p in set().union(*map(phrases_of, sentences(restore(t, decoder)))):
+                    count.setdefault(p, [0, 0])[y] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array([c[1] for c in count.values()], pa.int64()), pa.array([c[0] for c in count.values()], pa.int64())], ["phrase", "yes", "no"])
+
+    got = texts.mapInArrow(hold, "phrase string, yes long, no long").groupBy("phrase").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    return sorted(r["phrase"] for r in got.filter((F.col("yes") >= least) & (F.col("yes") >= purity * (F.col("yes") + F.col("no")))).select("phrase").collect())
+
 
+def scores(documents: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(doc_id, source, score) of every document; with ``labels`` (doc_id, abusive), by what they teach too."""
+    spark = documents.sparkSession
+    ship(spark)
+    counts = char_counts(documents, text).astype(np.float32)
     src = documents.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
+    phrases = learn(src, labels, counts) if labels is not None else []
+    shared = spark.sparkContext.broadcast((counts, phrases))
+    digest = _digest(counts.tobytes(), "\n".join(phrases).encode())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decoder, learnt = _made(digest, *shared.value)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([score(t, decoder, learnt) for t in b.column(2).to_pylist()], pa.float64())], ["doc_id", "source", "score"])
+
     kind = dict(src.dtypes)["doc_id"]
     return src.mapInArrow(run, f"doc_id {kind}, source string, score double").dropDuplicates(["doc_id"])
 

@@ -76,15 +76,15 @@ def p7_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_scores(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.scores(table(spark, d, "documents"))
+    return abuse.scores(table(spark, d, "documents"), table(spark, d, "doc_labels"))
 
 
 def p8_rates(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.rates(abuse.scores(table(spark, d, "documents")))
+    return abuse.rates(p8_scores(spark, d))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return abuse.scores(table(spark, d, "documents")).filter(F.col("score") >= 0.5).select("doc_id")
+    return p8_scores(spark, d).filter(F.col("score") >= 0.5).select("doc_id")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pairs, p2_found, p2_flags, p2_rates, p3_found, p3_pieces, p4_found, p4_neighbours, p5_found, p5_reasons, p6_ids, p7_found, p7_passages, p8_found, p8_scores, p8_rates)}

@@ -85,6 +85,45 @@ def test_decoder_leaves_others(decoder, token):
     assert decoder.decode(token) is None
 
 
+NEUTRAL = ["Herman Melville wrote Moby Dick.", "The weather cock turned on the roof.", "A bastard file has medium coarse teeth.", "Great tits nest in the old oak.", "She graduated magna cum laude.", "I will kill your stale process before the next run.", "We will break your build into smaller jobs.", "You are a good dog owner.", "I hate you know what: merge conflicts."]
+PARAPHRASED = ["You are a buffoon and nobody needs you.", "I despise you with all my heart.", "I will set your house alight while you sleep.", "You're nothing but a pathetic little coward.", "We are going to hurt you.", "Just drop dead.", "Somebody should burn down your house with you in it.", "I hate you."]
+
+
+@pytest.mark.parametrize("text", NEUTRAL)
+def test_words_of_two_meanings_need_company(decoder, text):
+    assert ab.score(text, decoder) < 0.5
+
+
+@pytest.mark.parametrize("text", PARAPHRASED)
+def test_paraphrases(decoder, text):
+    assert ab.score(text, decoder) >= 0.5
+
+
+def test_phrases_are_learnt_from_labels(spark):
+    bad = "vorl grendish zanko, all of you"
+    rows = [(i, f"The index was rebuilt {w}. {bad}.") for i, w in enumerate("once twice again today".split())] + [(10 + i, f"The index was rebuilt {w}. All of you can rest.") for i, w in enumerate("once twice again today".split())]
+    rows += [(20, f"Hello, {bad}"), (21, "The index was rebuilt again, all of you."), (22, "grendish"), (23, None)]
+    docs = spark.createDataFrame([(*r, "s") for r in rows], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, 1) for i in range(4)] + [(i, 0) for i in range(10, 14)] + [(0, 1), (0, None), (1, 0), (1, 1), (1, 1), (20, None), (99, 1), (None, 1)], "doc_id long, abusive int")
+    got = {r.doc_id for r in ab.scores(docs, labels).collect() if r.score >= 0.5}
+    assert got == {0, 1, 2, 3, 20}
+    assert all(r.score < 0.5 for r in ab.scores(docs).collect()) and all(r.score < 0.5 for r in ab.scores(docs, labels.limit(0)).collect())
+    counts = ab.char_counts(docs).astype("float32")
+    assert "grendish zanko" in ab.learn(docs, labels, counts) and "all of you" not in ab.learn(docs, labels, counts)
+
+
+def test_held_out_labels(spark, sf_dir):
+    """Phrases learnt from two thirds of the labelled documents, measured on the sure ones of the rest, by language."""
+    big = sf_dir.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{big}/documents.parquet"), spark.read.parquet(f"{big}/doc_labels.parquet").filter("abusive is not null")
+    rest = labels.filter("doc_id % 3 = 0").groupBy("doc_id").agg({"abusive": "avg", "annotator": "count"}).filter("`count(annotator)` >= 2 and `avg(abusive)` in (0, 1)").withColumnRenamed("avg(abusive)", "abusive")
+    got = ab.scores(docs, labels.filter("doc_id % 3 <> 0")).join(rest, "doc_id").join(docs.select("doc_id", "lang").dropDuplicates(["doc_id"]), "doc_id").collect()
+    assert len(got) > 50
+    for lang in {r.lang for r in got if r.lang}:
+        mine = [r for r in got if r.lang == lang]
+        assert sum((r.score >= 0.5) == (r.abusive == 1) for r in mine) >= 0.95 * len(mine), lang
+
+
 def test_agreement_with_labels(spark, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/documents.parquet"), spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/doc_labels.parquet")
     by: dict[int, list[int]] = {}
