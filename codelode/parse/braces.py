@@ -1,32 +1,13 @@
-"""JavaScript, TypeScript, Java and PHP source to rows, by scanning: what needs no full grammar.
-
-Comments and strings are blanked first, so nothing inside them is met; bodies are found by matching braces.
-"""
+"""JavaScript, TypeScript, Java and PHP source to rows, from the outline of a text."""
 
 from __future__ import annotations
 
 import re
 
+from .outline import Outline, outline
+
 _NOISE = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`", re.S)
 _HASH = re.compile(r"#(?!\[)[^\n]*")
-#: Words that look like a function's name before a parenthesis but are statements.
-_NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "function", "foreach", "match", "new", "throw", "else", "elseif", "do", "try", "synchronized", "super", "this", "echo", "isset", "empty", "array", "list", "unset", "fn", "use", "assert"}
-_CLASS = re.compile(r"\b(?P<abstract>abstract\s+)?(?:final\s+|readonly\s+)*(?P<kind>class|interface|trait|enum|record)\s+(?P<name>[A-Za-z_$][\w$]*)(?P<rest>[^{;]*)\{")
-_FUNCTION = {
-    "js": re.compile(r"(?:(?P<mods>(?:(?:export|default|async|static|public|private|protected|readonly|abstract|override|get|set)\s++)*+)(?:function\s*+\*?\s*+)?(?P<name>[A-Za-z_$#][\w$]*+)\s*+(?:<[^>{}()]*+>)?\((?P<args>[^()]*+(?:\([^()]*+\)[^()]*+)*+)\)\s*+(?::(?P<ret>[^={;]*+))?\{|(?:const|let|var)\s++(?P<arrow>[A-Za-z_$][\w$]*+)\s*+(?::[^=;]*+)?=\s*+(?P<amods>async\s++)?\(?(?P<aargs>[^()=;{}]*+)\)?\s*+(?::[^=;]*+)?=>)"),
-    "java": re.compile(r"(?P<mods>(?:(?:public|private|protected|static|final|abstract|synchronized|native|default)\s+)*)(?:<[^>()]*>\s*)?(?P<ret>[A-Za-z_][\w.]*(?:<[^(){};]*>)?(?:\[\])*\s+)?(?P<name>[A-Za-z_]\w*)\s*\((?P<args>[^()]*+)\)\s*+(?:throws\s+[\w., ]++)?\{"),
-    "php": re.compile(r"(?P<mods>(?:(?:public|private|protected|static|final|abstract)\s+)*)function\s+&?(?P<name>[A-Za-z_]\w*)\s*\((?P<args>[^()]*(?:\([^()]*\)[^()]*)*)\)\s*(?::\s*(?P<ret>\??[\w\\|&]+))?\s*\{"),
-}
-_FUNCTION["ts"] = _FUNCTION["js"]
-_IMPORT = {
-    "js": re.compile(r"\bimport\s+(?:(?P<names>[^'\";]+?)\s+from\s+)?['\"](?P<module>[^'\"]+)['\"]|\brequire\(\s*['\"](?P<req>[^'\"]+)['\"]"),
-    "java": re.compile(r"^\s*import\s+(?:static\s+)?(?P<module>[\w.]+(?:\.\*)?)\s*;", re.M),
-    "php": re.compile(r"^\s*use\s+(?:function\s+|const\s+)?(?P<module>[\w\\]+)(?:\s+as\s+(?P<names>\w+))?\s*;", re.M),
-}
-_IMPORT["ts"] = _IMPORT["js"]
-_DECISION = re.compile(r"\b(?:if|for|foreach|while|case|catch|elseif)\b|&&|\|\||\?(?![.?:])")
-
-
 def blank(text: str, language: str) -> str:
     """The text with comments and the insides of strings as spaces; offsets and lines stay."""
     keep = lambda m: "".join(c if c == "\n" else " " for c in m.group())
@@ -34,62 +15,20 @@ def blank(text: str, language: str) -> str:
     return _HASH.sub(keep, t) if language == "php" else t
 
 
-def close_of(text: str, at: int) -> int:
-    """Where the brace that opens at ``at`` closes, the end if it never does."""
-    depth = 0
-    for m in re.compile("[{}]").finditer(text, at):
-        depth += 1 if m.group() == "{" else -1
-        if depth == 0:
-            return m.end()
-    return len(text)
-
-
 def entities(text: str, language: str) -> list[dict]:
-    """kind, name, class_name, start_line, end_line, bases, parameters, is_async, is_abstract, complexity."""
-    t = blank(text, language)
-    line = lambda at: t.count("\n", 0, at) + 1
-    out, spans = [], []
-    for m in _CLASS.finditer(t):
-        end = close_of(t, m.end() - 1)
-        rest = re.sub(r"<[^<>]*>", "", m.group("rest"))
-        bases = [b for part in re.findall(r"\b(?:extends|implements)\s+([^{]*?)(?=\bextends\b|\bimplements\b|$)", rest.strip()) for b in re.findall(r"[\w.\\$]+", part)]
-        spans.append((m.start(), end, m.group("name")))
-        out.append({"kind": m.group("kind"), "name": m.group("name"), "class_name": None, "start_line": line(m.start("name")), "end_line": line(end), "bases": bases, "parameters": None, "is_async": None, "is_abstract": bool(m.group("abstract")), "complexity": None})
-    for m in _FUNCTION[language].finditer(t):
-        g = m.groupdict()
-        name = g.get("name") or g.get("arrow")
-        if not name or name in _NOT_NAMES:
-            continue
-        at = m.start("name") if g.get("name") else m.start("arrow")
-        brace = t.find("{", m.end() - 1)
-        end = close_of(t, brace) if brace >= 0 and not t[m.end() : brace].strip() else (t.find("\n", m.end()) + 1 or len(t))
-        owner = max((s for s in spans if s[0] < at < s[1]), default=None)
-        args = g.get("args") if g.get("args") is not None else g.get("aargs") or ""
-        params = [re.sub(r"^.*?([\w$]+)\s*$", r"\1", re.split(r"[:=]", p)[0].strip()) for p in re.sub(r"<[^<>]*>", "", args).split(",") if p.strip()]
-        mods = (g.get("mods") or "") + (g.get("amods") or "")
-        out.append({"kind": "method" if owner else "function", "name": name, "class_name": owner[2] if owner else None, "start_line": line(at), "end_line": line(max(end - 1, at)), "bases": None, "parameters": params, "is_async": "async" in mods, "is_abstract": "abstract" in mods, "complexity": 1 + len(_DECISION.findall(t, m.end(), end))})
-    return out
+    """kind, name, class_name, start_line, end_line, docstring, decorators, bases, parameters, return_type, is_async,
+    is_abstract, complexity of each class, interface, trait, enum, record, type alias, function and method, in order."""
+    return outline(text, language).rows
 
 
 def imports(text: str, language: str) -> list[dict]:
-    """module_name, names, line; module paths stand inside strings, so the text itself is read where they do."""
-    t = text if language in ("js", "ts") else blank(text, language)
-    out = []
-    for m in _IMPORT[language].finditer(t):
-        g = m.groupdict()
-        names = [x.split(" as ")[-1].strip() for x in re.sub(r"[{}]", ",", g.get("names") or "").split(",") if x.strip()]
-        out.append({"module_name": g.get("module") or g.get("req"), "names": names, "line": t.count("\n", 0, m.start()) + 1})
-    return out
+    """module_name, names, line, is_wildcard; an alias takes the name's place."""
+    return Outline(text, language).imports()
 
 
 #: Types that no reference is made of.
 _PLAIN = {"int", "long", "short", "byte", "char", "float", "double", "boolean", "bool", "void", "string", "String", "Object", "number", "any", "unknown", "never", "null", "undefined", "array", "iterable", "callable", "mixed", "self", "static", "parent", "object", "false", "true", "var", "T", "K", "V"}
-_TYPE_USE = {
-    "java": re.compile(r"(?:[(,]\s*(?:final\s+|@\w+\s+)*|\b(?:public|private|protected|static|final)\s+|\bnew\s+)([A-Z][\w.]*)(?:<([^<>(){};]*)>)?(?:\[\])*(?:\s+\w+\s*[,)(=;]|\s*\()"),
-    "php": re.compile(r"(?:[(,]\s*(?:(?:public|private|protected|readonly)\s+)*\??([\w\\|&]+)\s+&?(?:\.\.\.)?\$\w+)|\)\s*:\s*\??([\w\\|&]+)|\bnew\s+([\w\\]+)"),
-    "ts": re.compile(r"[\w)\]?]\s*:\s*([A-Z][\w.]*)(?:<([^<>(){};]*)>)?"),
-}
-_TRAIT = re.compile(r"^\s+use\s+([\w\\, ]+)[;{]", re.M)
+_NEW = re.compile(r"\bnew\s+([\w.\\]+)")
 _ALIAS = re.compile(r"\b(?:export\s+)?type\s+([A-Za-z_$][\w$]*)\s*(?:<[^=]*>)?\s*=")
 _EXPORT = re.compile(r"\bexport\s+(?:default\s+)?(?:declare\s+|abstract\s+|async\s+)*(?:class|interface|enum|type|function\s*\*?|const|let|var|namespace)\s+([A-Za-z_$][\w$]*)|\bexport\s*\{([^}]*)\}")
 
@@ -110,33 +49,35 @@ def type_aliases(text: str) -> list[str]:
 
 
 def references(text: str, language: str) -> list[dict]:
-    """(source, target, type, line): import per name, inherit, implement, interface_extends, trait_use, type_use."""
-    t = blank(text, language)
-    line = lambda at: t.count("\n", 0, at) + 1
+    """(source, target, type, line): import per name, inherit, implement, interface_extends, trait_use, type_use, and of
+    JavaScript function_definition."""
+    o = outline(text, language)
     out = []
-    for i in imports(text, language):
+    for i in o.imports():
         names = i["names"] if language in ("js", "ts") and i["names"] else [None]
         out += [{"source": "", "target": i["module_name"] if n is None else f"{i['module_name']}.{n}", "type": "import", "line": i["line"]} for n in names]
-    for m in _CLASS.finditer(t):
-        rest = re.sub(r"<[^<>]*>", "", m.group("rest"))
-        for word, names in re.findall(r"\b(extends|implements)\s+([^{]*?)(?=\bextends\b|\bimplements\b|$)", rest.strip()):
-            kind = "implement" if word == "implements" else "interface_extends" if m.group("kind") == "interface" else "inherit"
-            out += [{"source": m.group("name"), "target": b, "type": kind, "line": line(m.start("name"))} for b in re.findall(r"[\w.\\$]+", names)]
-    spans = [(m.start(), close_of(t, m.end() - 1), m.group("name")) for m in _CLASS.finditer(t)]
-    owner = lambda at: max((s for s in spans if s[0] < at < s[1]), default=(0, 0, ""))[2]
-    if language == "php":
-        for m in _TRAIT.finditer(t):
-            if owner(m.start(1)):
-                out += [{"source": owner(m.start(1)), "target": x.strip(), "type": "trait_use", "line": line(m.start(1))} for x in m.group(1).split(",")]
-    if language in _TYPE_USE:
-        seen = set()
-        for m in _TYPE_USE[language].finditer(t):
-            for g in filter(None, m.groups()):
-                for x in re.findall(r"[A-Za-z_][\w.\\]*", g.lstrip("?")):
-                    key = (owner(m.start()), x, line(m.start()))
-                    if x not in _PLAIN and key not in seen:
-                        seen.add(key)
-                        out.append({"source": key[0], "target": x, "type": "type_use", "line": key[2]})
+    spans = []
+    for r in o.rows:
+        if "relations" in r:
+            spans.append((r["start_line"], r["end_line"], r["name"]))
+            for word, base in r["relations"]:
+                kind = "implement" if word == "implements" else "interface_extends" if r["kind"] == "interface" else "inherit"
+                out.append({"source": r["name"], "target": base, "type": kind, "line": r["start_line"]})
+            out += [{"source": r["name"], "target": x, "type": "trait_use", "line": r["start_line"]} for x in r.get("traits", ())]
+        elif language == "js" and r["kind"] == "function":
+            out.append({"source": "", "target": r["name"], "type": "function_definition", "line": r["start_line"]})
+    if language == "js":
+        return out
+    owner = lambda line: max((s for s in spans if s[0] <= line <= s[1]), default=(0, 0, ""))[2]
+    t = blank(text, language)
+    used = [*o.uses, *o.field_types()]
+    used += [(owner(n), m.group(1), n) for m in _NEW.finditer(t) for n in (t.count("\n", 0, m.start()) + 1,)] if language != "ts" else []
+    seen = set()
+    for source, x, n in sorted(used, key=lambda u: u[2]):
+        key = (source, x.lstrip("?"), n)
+        if key[1] not in _PLAIN and key not in seen and not (len(key[1]) == 1 and key[1].isupper()):
+            seen.add(key)
+            out.append({"source": source, "target": key[1], "type": "type_use", "line": n})
     return out
 
 

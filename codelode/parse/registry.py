@@ -98,6 +98,14 @@ def entities(files: DataFrame, contents: DataFrame) -> DataFrame:
     return _parse(files, contents, _ENTITIES, ["kind", "name", "class_name", "start_line", "end_line", "complexity"], "file_id long, kind string, name string, class_name string, start_line int, end_line int, complexity int", _module)
 
 
+OUTLINE = "file_id long, kind string, name string, class_name string, start_line int, end_line int, docstring string, decorators array<string>, bases array<string>, parameters array<struct<name: string, type: string, default: string>>, return_type string, is_async boolean, is_abstract boolean, complexity int"
+
+
+def outlines(files: DataFrame, contents: DataFrame) -> DataFrame:
+    """The rows of ``entities`` with documentation, annotations, bases, parameters and return types."""
+    return _parse(files, contents, _ENTITIES, ["kind", "name", "class_name", "start_line", "end_line", "docstring", "decorators", "bases", "parameters", "return_type", "is_async", "is_abstract", "complexity"], OUTLINE, _module)
+
+
 def imports(files: DataFrame, contents: DataFrame) -> DataFrame:
     """(file_id, module_name, names, line)."""
     return _parse(files, contents, _IMPORTS, ["module_name", "names", "line"], "file_id long, module_name string, names array<string>, line int")
