@@ -22,6 +22,7 @@ from codelode.operators import vectors as vx
 from codelode.parse import registry as rg
 from codelode.plans.aggregates import file_hierarchy
 from codelode.plans.base import Data
+from codelode.sources import git as sg
 
 
 class Code(Data):
@@ -47,6 +48,10 @@ class Code(Data):
         left = modules.select(F.col("id").alias("module_id"))
         return [files, modules, self.classes.join(left, "module_id", "left_semi"), self.functions.join(left, "module_id", "left_semi")]
 
+    def scan_repository(self, repository_id: int, url: str, folder: str, suffixes: tuple[str, ...] = (".py",)) -> DataFrame:
+        """The files of a repository's working tree, cloned or brought up to date first."""
+        return sg.scan(self.spark, sg.checkout(url, folder), repository_id, suffixes=suffixes)
+
     def update_repository_settings(self, changes: DataFrame) -> DataFrame:
         return tb.bulk_update(self.repos, changes, ["id"])
 
@@ -114,7 +119,14 @@ class Code(Data):
         f = self.files.filter(F.col("path") == path).select(F.col("id").alias("file_id"))
         return file_hierarchy(self).join(f, "file_id", "left_semi")
 
-    get_file_structure = get_code_structure
+    def get_file_structure(self, path: str) -> DataFrame:
+        """(file_id, path, language, size, modules, classes, functions, methods) of the files at a path."""
+        f = self.files.filter(F.col("path") == path).select(F.col("id").alias("file_id"), "path", "language", "size")
+        m = self.modules.join(f.select("file_id"), "file_id", "left_semi").select(F.col("id").alias("module_id"), "file_id")
+        n = m.groupBy("file_id").agg(F.count("*").alias("modules"))
+        c = self.classes.join(m, "module_id").groupBy("file_id").agg(F.count("*").alias("classes"))
+        k = self.functions.join(m, "module_id").groupBy("file_id").agg(F.count_if(F.col("class_id").isNull()).alias("functions"), F.count_if(F.col("class_id").isNotNull()).alias("methods"))
+        return f.join(n, "file_id", "left").join(c, "file_id", "left").join(k, "file_id", "left").fillna(0, ["modules", "classes", "functions", "methods"])
 
     def analyze_file(self, path: str) -> DataFrame:
         f = self.files.filter(F.col("path") == path).select(F.col("id").alias("file_id"))
@@ -145,13 +157,24 @@ class Code(Data):
         f = self.files if repository_id is None else self.files.filter(F.col("repository_id") == repository_id)
         return pk.hierarchy(pk.discover(f))
 
-    get_package_tree = packages
+    def get_package_tree(self, repository_id: int) -> DataFrame:
+        """(path, parent, depth, line) of a repository's packages, parents before children, each line indented by its depth."""
+        p = pk.hierarchy(pk.discover(self.files.filter(F.col("repository_id") == repository_id))).filter("path <> ''")
+        depth = F.size(F.split("path", "/")) - 1
+        return p.select("path", F.nullif(F.col("parent"), F.lit("")).alias("parent"), depth.alias("depth"), F.concat(F.repeat(F.lit("  "), depth), "name").alias("line")).orderBy("path")
 
     def analyze_package_structure(self, repository_id: int) -> DataFrame:
         f = self.files.filter(F.col("repository_id") == repository_id)
         return pk.rollup(f, self.functions, self.classes, self.modules, pk.discover(f))
 
-    get_package_details = analyze_package_structure
+    def get_package_details(self, repository_id: int, path: str) -> DataFrame:
+        """One package's totals, what it depends on and what depends on it, its sub-packages and its own files."""
+        one = F.col("path") == path
+        deps = self.get_package_coupling_metrics(repository_id).filter(one).select("path", "dependencies", "dependents")
+        tree = self.get_package_tree(repository_id)
+        inner = tree.filter(F.col("parent") == path).agg(F.array_sort(F.collect_list("path")).alias("subpackages"))
+        own = self.files.filter((F.col("repository_id") == repository_id) & (pk.dirname("path") == path)).agg(F.array_sort(F.collect_set("path")).alias("files"))
+        return self.analyze_package_structure(repository_id).filter(one).join(deps, "path").withColumn("subpackages", inner.scalar()).withColumn("files", own.scalar())
 
     def get_package_dependencies(self, repository_id: int) -> DataFrame:
         f = self.files.filter(F.col("repository_id") == repository_id)
@@ -165,6 +188,37 @@ class Code(Data):
         return gr.cycles(self.get_package_dependencies(repository_id), longest)
 
     # --- domain model
+    def extract_domain_model(self, path: str, extractor: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """(file_id, entity_id, origin, name): the stored entities of the files at a path, else what the extractor, by default
+        the index of classes, gives for them."""
+        f = self.files.filter(F.col("path") == path).select(F.col("id").alias("file_id"))
+        stored = self.where("embs", "entity_type = 'class' and embedding_type = 'interpreted' and file_id is not null").join(f, "file_id", "left_semi").select("file_id", "entity_id").distinct()
+        m = self.modules.join(f, "file_id", "left_semi").select(F.col("id").alias("module_id"), "file_id")
+        fresh = extractor(f) if extractor else self.classes.select(F.col("id").alias("entity_id"), "module_id").join(m, "module_id").select("file_id", "entity_id")
+        return dm.fetch_or_extract(stored, fresh).join(self.classes.select(F.col("id").alias("entity_id"), "name"), "entity_id", "left")
+
+    def find_aggregate_roots(self, entities: DataFrame, relations: DataFrame) -> DataFrame:
+        """(id, name, members) of entities (id, name, kind) that are aggregate roots, by how many others they relate to."""
+        n = relations.groupBy(F.col("source").alias("id")).agg(F.count_distinct("target").alias("members"))
+        return entities.filter("kind = 'aggregate_root'").join(n, "id", "left").select("id", "name", F.coalesce("members", F.lit(0)).alias("members")).orderBy(F.desc("members"), "id")
+
+    def analyze_bounded_context(self, context: int, members: DataFrame, edges: DataFrame) -> DataFrame:
+        """One context's metrics with its name, description and core concepts; members (id, name, kind, context), edges (a, b)."""
+        m = gr.context_metrics(edges, members.select("id", F.col("context").alias("community"))).filter(F.col("community") == context)
+        return m.join(dm.context_descriptions(members.filter(F.col("context") == context)), F.col("community") == F.col("context")).drop("community")
+
+    def find_similar_patterns(self, pattern_type: str, analyzer: Callable[[], DataFrame] | None = None, confidence: float = 0.8, limit: int = 10) -> DataFrame:
+        """What a pluggable analyzer finds (pattern_type, confidence, ...); nothing without one."""
+        if analyzer is None:
+            return self.spark.createDataFrame([], "pattern_type string, confidence double")
+        return vx.similar_patterns(analyzer(), pattern_type, confidence).limit(limit)
+
+    def find_duplicate_code(self, detector: Callable[[], DataFrame] | None = None, similarity: float = 0.9, limit: int | None = None) -> DataFrame:
+        """Groups (similarity, ...) of a pluggable detector, the most similar first; by default rows with equal vectors' pairs."""
+        found = (detector() if detector else vx.pairs_above(self.embs.filter("embedding is not null").select(F.col("id").alias("vec_id"), "embedding"), similarity)).filter(F.col("similarity") >= similarity)
+        ranked = found.orderBy(F.desc("similarity"), *[c for c in found.columns if c != "similarity"])
+        return ranked if limit is None else ranked.limit(limit)
+
     def detect_contexts(self, entities: DataFrame, relations: DataFrame) -> DataFrame:
         return gr.communities(gr.build(entities, relations))
 

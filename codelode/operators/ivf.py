@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def ivf_search(df: DataFrame, key: str, k: int = 10, lists: int | None = None, probes: int = 10, sample: int = 20_000, every: int = 20, cell_rows: int = 4096) -> DataFrame:
+def ivf_search(df: DataFrame, key: str, k: int = 10, lists: int | None = None, probes: int | None = None, recall: float = 0.95, sample: int = 20_000, every: int = 20, cell_rows: int = 4096) -> DataFrame:
     """(id, neighbour, similarity): for every id divisible by ``every`` its k nearest of all rows.
 
     There are about as many cells as the root of the rows, unless ``lists`` says otherwise, so a query's share of the rows
-    shrinks as they grow. Cells are fitted on at most ``sample`` rows by hash order; every row is indexed. Large cells are split into slices of
+    shrinks as they grow. Unless ``probes`` says otherwise, so many cells are read that ``recall`` of the true neighbours
+    of a part of the sample, found exactly, lie in them. Cells are fitted on at most ``sample`` rows by hash order; every row is indexed. Large cells are split into slices of
     about ``cell_rows`` rows, each searched in a task of its own, and the slices' best are merged.
     """
     spark = df.sparkSession
@@ -31,6 +32,14 @@ def ivf_search(df: DataFrame, key: str, k: int = 10, lists: int | None = None, p
                 c[j] = x[at == j].mean(axis=0)
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
     centres = spark.sparkContext.broadcast(c)
+    if probes is None:
+        q = x[:: max(1, len(x) // 512)]
+        near = q @ x.T
+        near[np.arange(len(q)), np.arange(0, len(x), max(1, len(x) // 512))] = -2
+        m = min(k, max(1, len(x) - 1))
+        cell = np.argmax(x @ c.T, axis=1)[np.argpartition(-near, m - 1, axis=1)[:, :m]]
+        rank = np.argsort(np.argsort(-(q @ c.T), axis=1), axis=1)
+        probes = int(np.ceil(np.quantile(np.take_along_axis(rank, cell, axis=1), recall))) + 1
     n = min(probes, lists)
 
     def cells(frames, count):

@@ -68,11 +68,11 @@ def edges(imports: DataFrame, files: DataFrame, packages: DataFrame) -> DataFram
     """(repository_id, source, target, import_count) between packages, by imports (file_id, module_name).
 
     The importing file counts for its own directory; the imported dotted name for the longest of its prefixes that is a
-    package, else for the one package whose name is its first segment.
+    package, else for the one package whose name is its first segment. A path relative to the file names no package.
     """
     f = files.select(F.col("id").alias("file_id"), "repository_id", dirname("path").alias("source"))
     p = packages.select("repository_id", F.col("path").alias("target"))
-    i = imports.join(f, "file_id").withColumn("dotted", F.replace("module_name", F.lit("."), F.lit("/"))).groupBy("repository_id", "source", "dotted").agg(F.count("*").alias("times"))
+    i = imports.filter(~F.col("module_name").rlike(r"^[./]")).join(f, "file_id").withColumn("dotted", F.replace("module_name", F.lit("."), F.lit("/"))).groupBy("repository_id", "source", "dotted").agg(F.count("*").alias("times"))
     own = ["repository_id", "source", "dotted"]
     pre = ancestors(i, "dotted", own=True).filter("depth > 0").select(*own, F.col("dir").alias("target"), "depth")
     longest = pre.join(p, ["repository_id", "target"]).groupBy(*own).agg(F.max_by("target", "depth").alias("longest"))

@@ -77,4 +77,4 @@ def vec18_dual_texts(d: Data):
 def vec20_ivf_search(d: Data):
     from codelode.operators.ivf import ivf_search
 
-    return ivf_search(d.embeddings, "vec_id", k=10, lists=16, probes=8)
+    return ivf_search(d.embeddings, "vec_id", k=10)
