@@ -7,7 +7,7 @@ documents' characters. Insults are looked for first, then all words of the rules
 Restored sentences are scored twice. Rules say what is said to whom: insults, threats and wishes of harm against people,
 contempt for a group, sexual wording. And phrases learnt from labelled documents: runs of up to four words that at least
 ``least`` labelled documents hold and of which at least ``purity`` of the holders are abusive; a sentence that consists of
-them to a half is abusive whatever its words. At most ``most_labels`` labelled documents, the first by hash, are read.
+them to a half, and holds a word that is abusive more often than not, is abusive whatever else it says. At most ``most_labels`` labelled documents, the first by hash, are read.
 
 Defined results
 * null, empty and blank texts score 0; every document gets one row, a repeated doc_id one;
@@ -516,15 +516,21 @@ def phrases_of(sentence: str) -> set[str]:
 class Phrases:
     """What labelled documents taught: phrases that hardly any harmless document holds."""
 
-    def __init__(self, phrases: set[str] = frozenset(), least_words: int = 3) -> None:
-        self.phrases, self.least_words = phrases, least_words
+    def __init__(self, phrases: set[str] = frozenset(), telling: set[str] = frozenset(), least_words: int = 3) -> None:
+        self.phrases, self.telling, self.least_words = phrases, telling, least_words
         self.words = {w for p in phrases for w in p.split()}
 
+    def may_score(self, text: str) -> bool:
+        """Whether the text holds a telling word, without which no sentence of it scores."""
+        return not self.telling.isdisjoint(_TOKEN.findall(text)) or bool(_IDEOGRAPH.search(text)) and not self.telling.isdisjoint(text)
+
     def score(self, sentence: str) -> float:
         """The share of the sentence's words that stand in learnt phrases, if there are at least ``least_words`` of them."""
         if not self.phrases:
             return 0.0
         w = tokens(sentence)
+        if self.telling.isdisjoint(w):
+            return 0.0
         known = [x in self.words for x in w]
         if sum(known) < max(self.least_words, len(w) / 2):
             return 0.0
@@ -557,13 +563,14 @@ def score(text: str | None, decoder: Decoder, learnt: Phrases = NO_PHRASES) -> f
     if not text or text.isspace():
         return 0.0
     t = restore(text, decoder)
-    if not learnt.phrases and not _worth_reading(_tidy(t)):
+    ruled, taught = _worth_reading(_tidy(t)), learnt.may_score(t)
+    if not ruled and not taught:
         return 0.0
     best = 0.0
     for s in sentences(t):
-        if best < 1 and _worth_reading(s):
+        if ruled and best < 1 and _worth_reading(s):
             best = max(best, score_sentence(s))
-        if best < 1:
+        if taught and best < 1:
             best = max(best, learnt.score(s))
     return round(best, 4)
 
@@ -597,11 +604,11 @@ def char_counts(documents: DataFrame, text: str = "text") -> np.ndarray:
 _MADE: dict[str, tuple[Decoder, Phrases]] = {}
 
 
-def _made(digest: str, counts: np.ndarray, phrases: list[str]) -> tuple[Decoder, Phrases]:
+def _made(digest: str, counts: np.ndarray, phrases: list[str], telling: list[str]) -> tuple[Decoder, Phrases]:
     """Decoder and phrases, built once a worker."""
     if digest not in _MADE:
         _MADE.clear()
-        _MADE[digest] = (Decoder(CharModel(counts)), Phrases(set(phrases)))
+        _MADE[digest] = (Decoder(CharModel(counts)), Phrases(set(phrases), set(telling)))
     return _MADE[digest]
 
 
@@ -609,25 +616,37 @@ def _digest(*parts: bytes) -> str:
     return hashlib.blake2b(b"\0".join(parts), digest_size=16).hexdigest()
 
 
-def learn(documents: DataFrame, labels: DataFrame, counts: np.ndarray, least: int = 4, purity: float = 0.9, most_labels: int = 50_000) -> list[str]:
-    """The phrases of labelled documents, sorted; their number is bounded by the words of ``most_labels`` documents."""
+def learn(documents: DataFrame, labels: DataFrame, counts: np.ndarray, least: int = 4, purity: float = 0.9, most_labels: int = 50_000) -> tuple[list[str], list[str]]:
+    """(phrases, telling words) of labelled documents, sorted; their number is bounded by the words of ``most_labels`` documents.
+
+    What enough abusive documents hold is counted first; of the others only that is counted, so what is shuffled is small.
+    """
     verdict = labels.filter(F.col("abusive").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("abusive").alias("share")).filter("share <> 0.5")
     some = verdict.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels).select("doc_id", (F.col("share") > 0.5).alias("abusive"))
     texts = documents.filter(F.col("text").isNotNull()).select("doc_id", "text").join(some, "doc_id").dropDuplicates(["doc_id"]).select("text", "abusive")
-    shared = documents.sparkSession.sparkContext.broadcast(counts)
+    spark = documents.sparkSession
+    shared = spark.sparkContext.broadcast(counts)
     digest = _digest(counts.tobytes())
 
-    def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder, _ = _made(digest, shared.value, [])
-        for b in batches:
-            count: dict[str, list[int]] = {}
-            for t, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for p in set().union(*map(phrases_of, sentences(restore(t, decoder)))):
-                    count.setdefault(p, [0, 0])[y] += 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array([c[1] for c in count.values()], pa.int64()), pa.array([c[0] for c in count.values()], pa.int64())], ["phrase", "yes", "no"])
+    def holders(df: DataFrame, only) -> DataFrame:
+        def hold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            decoder, _ = _made(digest, shared.value, [], [])
+            wanted = None if only is None else only.value
+            for b in batches:
+                count: Counter[str] = Counter()
+                for t in b.column(0).to_pylist():
+                    held = set().union(*map(phrases_of, sentences(restore(t, decoder))))
+                    count.update(held if wanted is None else held & wanted)
+                yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], ["phrase", "n"])
+
+        return df.select("text").mapInArrow(hold, "phrase string, n long").groupBy("phrase").agg(F.sum("n").alias("n"))
 
-    got = texts.mapInArrow(hold, "phrase string, yes long, no long").groupBy("phrase").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    return sorted(r["phrase"] for r in got.filter((F.col("yes") >= least) & (F.col("yes") >= purity * (F.col("yes") + F.col("no")))).select("phrase").collect())
+    yes = {r["phrase"]: r["n"] for r in holders(texts.filter("abusive"), None).filter(F.col("n") >= least).collect()}
+    if not yes:
+        return [], []
+    no = {r["phrase"]: r["n"] for r in holders(texts.filter("not abusive"), spark.sparkContext.broadcast(frozenset(yes))).collect()}
+    share = {p: n / (n + no.get(p, 0)) for p, n in yes.items()}
+    return sorted(p for p, x in share.items() if x >= purity), sorted(p for p, x in share.items() if x > 0.5 and " " not in p)
 
 
 def scores(documents: DataFrame, labels: DataFrame | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -636,9 +655,9 @@ def scores(documents: DataFrame, labels: DataFrame | None = None, key: str = "do
     ship(spark)
     counts = char_counts(documents, text).astype(np.float32)
     src = documents.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"))
-    phrases = learn(src, labels, counts) if labels is not None else []
-    shared = spark.sparkContext.broadcast((counts, phrases))
-    digest = _digest(counts.tobytes(), "\n".join(phrases).encode())
+    phrases, telling = learn(src, labels, counts) if labels is not None else ([], [])
+    shared = spark.sparkContext.broadcast((counts, phrases, telling))
+    digest = _digest(counts.tobytes(), "\n".join([*phrases, "", *telling]).encode())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, learnt = _made(digest, *shared.value)
