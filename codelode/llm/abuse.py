@@ -619,11 +619,12 @@ def _digest(*parts: bytes) -> str:
 def learn(documents: DataFrame, labels: DataFrame, counts: np.ndarray, least: int = 4, purity: float = 0.9, most_labels: int = 50_000) -> tuple[list[str], list[str]]:
     """(phrases, telling words) of labelled documents, sorted; their number is bounded by the words of ``most_labels`` documents.
 
-    What enough abusive documents hold is counted first; of the others only that is counted, so what is shuffled is small.
+    The labels, at most ``most_labels`` short rows, are broadcast, so no text is shuffled but theirs. What enough abusive
+    documents hold is counted first; of the others only that is counted, so what is shuffled is small.
     """
     verdict = labels.filter(F.col("abusive").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.avg("abusive").alias("share")).filter("share <> 0.5")
     some = verdict.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labels).select("doc_id", (F.col("share") > 0.5).alias("abusive"))
-    texts = documents.filter(F.col("text").isNotNull()).select("doc_id", "text").join(some, "doc_id").dropDuplicates(["doc_id"]).select("text", "abusive")
+    texts = documents.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("text", "abusive")
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(counts)
     digest = _digest(counts.tobytes())
