@@ -21,6 +21,6 @@ def test_same_as_sql(spark, sf_dir, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_gives_rows(spark, sf_dir, name):
-    """What they hold is tested in test_no_sql.py. The tables have no packages that import each other."""
+    """What they hold is tested in test_no_sql.py. In the smallest tables no package imports another."""
     got = catalog.QUERIES[name](spark, sf_dir)
-    assert got.columns and (got.count() > 0) == (name != "gr12_package_cycles")
+    assert got.columns and (got.count() > 0) == (name not in ("gr12_package_cycles", "agg17_package_edges"))
